@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, token_counts
+from . import bpe_codec, conv_quality, packing, quality_rules, token_counts
 from .common import table
 
 #: The vocabulary file; every machine has it at the same path.
@@ -17,16 +17,25 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_codec.encode_decode(table(spark, sf_dir, "documents"), TOKENIZER, ("n_tokens", "ids_text", "decoded"))
     return coded.select("doc_id", "n_tokens", F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op8_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_bpe_codec, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
 
 #: Queries that DuckDB can express on the whole tables.
 ORACLE_SQL: dict[str, str] = {}
