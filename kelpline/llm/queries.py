@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, conv_quality, packing, quality_rules, token_counts
+from . import bpe_codec, conv_quality, packing, quality_rules, simhash, token_counts
 from .common import table
 
 #: The vocabulary file; every machine has it at the same path.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -35,7 +39,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
 
 #: Queries that DuckDB can express on the whole tables.
 ORACLE_SQL: dict[str, str] = {}
