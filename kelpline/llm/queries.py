@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, conv_quality, packing, quality_rules, simhash, substring_dedup, token_counts
+from . import bpe_codec, conv_quality, lm_scores, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file; every machine has it at the same path.
@@ -17,11 +17,19 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -44,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_substring_dedup, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
 
 #: Queries that DuckDB can express on the whole tables.
 ORACLE_SQL: dict[str, str] = {}
