@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, conv_quality, lm_scores, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from . import bpe_codec, conv_quality, lm_scores, nn_descent, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter
 from .common import table
 
 #: The vocabulary file; every machine has it at the same path.
@@ -48,11 +48,15 @@ def op8_conv_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"), F.col("query_id") % 50 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op9_nn_descent, op10_token_counts)}
 
 #: Queries that DuckDB can express on the whole tables.
 ORACLE_SQL: dict[str, str] = {}
