@@ -264,8 +264,7 @@ def gmv_mtd_running(spark, d):
 
 @query(f"SELECT * FROM ({DAILY_SQL}) WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM ({DAILY_SQL}))")
 def current_snapshot_scalar_subquery(spark, d):
-    gmv_daily_by_region(spark, d).createOrReplaceTempView("kelpline_gmv")
-    return spark.sql("SELECT * FROM kelpline_gmv WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM kelpline_gmv)")
+    return spark.sql("SELECT * FROM {gmv} WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM {gmv})", gmv=gmv_daily_by_region(spark, d))
 
 
 @query(f"WITH g AS ({DAILY_SQL}), m AS (SELECT MAX(snapshot_date) AS newest FROM g) SELECT g.* FROM g CROSS JOIN m WHERE g.snapshot_date = m.newest")

@@ -112,7 +112,7 @@ class TableStore:
         return self.spark.sql(f"SELECT * FROM {t} WHERE snapshot_date = (SELECT max(snapshot_date) FROM {t}) ORDER BY gmv_date, subsidiary")
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.namespace))
+        return sorted(t.name for t in self.spark.catalog.listTables(self.namespace) if not t.isTemporary)
 
 
 def require_unique(names: Iterable[str]) -> None:
