@@ -58,5 +58,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op9_nn_descent, op10_token_counts)}
 
-#: Queries that DuckDB can express on the whole tables.
-ORACLE_SQL: dict[str, str] = {}
+#: Queries that DuckDB can express on the whole tables; the others rest on trained models, tokenizers or approximate search.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": """
+WITH w AS (SELECT doc_id, words, len(words) AS n FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents)),
+win AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, n - 11)) AS i FROM w WHERE n >= 13)),
+dup AS (SELECT doc_id, i FROM win JOIN (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g) USING (g) WHERE first_id < doc_id),
+cov AS (SELECT DISTINCT doc_id, i + k AS p FROM dup CROSS JOIN (SELECT unnest(range(13)) AS k)),
+tok AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, n + 1)) AS p FROM w),
+kept AS (SELECT tok.doc_id, string_agg(word, ' ' ORDER BY tok.p) AS left_over, count(*) AS c FROM tok LEFT JOIN cov ON tok.doc_id = cov.doc_id AND tok.p = cov.p WHERE cov.p IS NULL GROUP BY 1)
+SELECT w.doc_id, w.n AS n_words, w.n - coalesce(c, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+}
