@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most ids that are broadcast (some 16 bytes each, so 32 MB).
+SENT_IDS = 2_000_000
 #: What separates words: ASCII white space only, as ``bytes.split()`` has it.
 BLANKS = b" \t\n\v\f\r"
 
@@ -54,6 +56,28 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[[list[list]], list[bool]]]) -> DataFrame:
+    """The rows for which a function of column lists says so, with all their columns; nothing is shuffled or joined.
+
+    ``make`` is called once a task, as in ``map_rows``.
+    """
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        with without_gc():
+            for batch in batches:
+                for part in slices(batch):
+                    yield part.filter(pa.array(f([part.column(i).to_pylist() for i in at]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def sent(ids: DataFrame, limit: int = SENT_IDS) -> DataFrame:
+    """A frame of ids marked for broadcast if it has at most ``limit`` rows (a job counts them); larger ones are left to a shuffle."""
+    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+
+
 def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Zero-copy parts of a batch of about ``limit`` bytes each; a longer row stands alone."""
     rows = batch.num_rows

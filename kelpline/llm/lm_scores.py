@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_rows, slices, without_gc
+from .common import map_rows, sent, slices, without_gc
 from .substring_dedup import WordHashes
 
 #: Slots (powers of two) of words and of word pairs: 2 * 4 * (2**20 + 2**22) bytes of counts in all, whatever the input.
@@ -53,7 +53,7 @@ def sparse_counts(word_bits: int, pair_bits: int) -> Callable[[Iterable[pa.Recor
         known = WordHashes()
         with without_gc():
             for batch in batches:
-                for part in slices(batch, 16_000_000):
+                for part in slices(batch, 10_000_000):
                     word, _, pair, sizes = token_slots(known, part.column(0).to_pylist(), word_bits, pair_bits)
                     mine = np.array(part.column(1).to_pylist(), bool)
                     target = np.repeat(mine, sizes)
@@ -97,7 +97,7 @@ def losses(counts: np.ndarray, word_bits: int, words: np.ndarray, before: np.nda
     out = np.empty((2, len(words)))
     for m, c in enumerate(counts):
         total = float(c[:slots].sum(dtype=np.float64))
-        single = (c[words] + FLOOR) / (total + FLOOR * slots)
+        single = (c[words].astype(np.float64) + FLOOR) / (total + FLOOR * slots)
         out[m] = -np.log((c[slots + pairs] + BACKOFF * single) / (c[before] + BACKOFF))
     return out
 
@@ -109,14 +109,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, word_bits: int = WORD_BI
     repeated rows are kept (each row counts in the background); without target documents the target model is the uniform one.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("good_id")).distinct()
+    good = sent(good)  # ids go to the texts; beyond the bound both are shuffled
     marked = docs.select(id_col, text_col).join(good, F.col(id_col) == F.col("good_id"), "left")
     counts = count_slots(marked, F.col("good_id").isNotNull(), word_bits, pair_bits, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     kind = docs.schema[id_col].dataType
 
     def make() -> Callable[[list[list]], list[list]]:
         known = WordHashes()
-        tables = sent.value
+        tables = shared.value
 
         def score(columns: list[list]) -> list[list]:
             keys, texts = columns
