@@ -25,6 +25,11 @@ def calendar(frames: Sequence[DataFrame], date_col: str = "transaction_date", na
     return dates.agg(F.min("d").alias("lo"), F.max("d").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias(name))
 
 
+def last_date(frames: Sequence[DataFrame], date_col: str = "transaction_date") -> Column:
+    """The last date in any of the frames, as a scalar subquery."""
+    return reduce(DataFrame.unionByName, (f.select(F.col(date_col).alias("d")) for f in frames)).agg(F.max("d")).scalar()
+
+
 def one_day(spark: SparkSession, day: date, name: str = "snapshot_date") -> DataFrame:
     return spark.range(1).select(F.lit(day).cast("date").alias(name))
 
@@ -35,7 +40,8 @@ def first_seen(df: DataFrame, keys: Sequence[str], date_col: str = "transaction_
 
 def entity_days(df: DataFrame, keys: Sequence[str], last_day: Column, date_col: str = "transaction_date", name: str = "snapshot_date") -> DataFrame:
     """Each key on every day from its first one to ``last_day`` (no join; the guard keeps sequences from running backwards)."""
-    return first_seen(df, keys, date_col).where(F.col("first_date") <= last_day).select(*keys, F.explode(F.sequence(F.col("first_date"), last_day)).alias(name))
+    bounded = first_seen(df, keys, date_col).withColumn("_last", last_day).where("first_date <= _last")
+    return bounded.select(*keys, F.explode(F.sequence("first_date", "_last")).alias(name))
 
 
 def validity(df: DataFrame, keys: Sequence[str], payload: Sequence[str], order: Sequence[str] = ORDERING, date_col: str = "transaction_date") -> DataFrame:
@@ -108,9 +114,8 @@ def purchase_snapshot(silver: Mapping[str, DataFrame], created_at: str | None =
     """
     own = _intervals(silver, "purchase", PURCHASE_KEY)
     if day is None:
-        last = calendar([usable(f) for f in silver.values()]).agg(F.max("snapshot_date").alias("last_day"))
-        until = F.coalesce(F.date_sub("valid_to", 1), F.col("last_day"))
-        days = own.crossJoin(F.broadcast(last)).where(F.col("valid_from") <= until).withColumn("snapshot_date", F.explode(F.sequence("valid_from", until)))  # one row
+        until = F.coalesce(F.date_sub("valid_to", 1), last_date([usable(f) for f in silver.values()]))
+        days = own.withColumn("_until", until).where("valid_from <= _until").withColumn("snapshot_date", F.explode(F.sequence("valid_from", "_until")))
     else:
         days = own.alias("r").where(covers(F.lit(day), "r")).withColumn("snapshot_date", F.lit(day))
     base = days.select("snapshot_date", *PURCHASE_KEY, F.col("state").alias("purchase"))

@@ -34,9 +34,8 @@ def gmv_daily(snapshot: DataFrame) -> DataFrame:
 
 
 def latest_snapshot(df: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
-    """Rows of the newest snapshot."""
-    newest = df.agg(F.max(date_col).alias("_newest"))
-    return df.join(F.broadcast(newest), F.col(date_col) == F.col("_newest")).drop("_newest")  # one row
+    """Rows of the newest snapshot, found by a scalar subquery (on a partitioned table only that day is then read)."""
+    return df.where(F.col(date_col) == df.agg(F.max(date_col)).scalar())
 
 
 def reconciliation(snapshot: DataFrame, gmv: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

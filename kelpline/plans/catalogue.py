@@ -176,9 +176,7 @@ def snapshot_calendar(spark, d):
 SELECT user_id, CAST(UNNEST(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS snapshot_date FROM f, h WHERE lo <= hi""")
 def entity_day_base(spark, d):
     log = change_log(spark, d)
-    last = log.agg(F.max("day").alias("last_day"))
-    first = bitemporal.first_seen(log, ["user_id"], "day").crossJoin(F.broadcast(last))  # one row
-    return first.where("first_date <= last_day").select("user_id", F.explode(F.sequence("first_date", "last_day")).alias("snapshot_date"))
+    return bitemporal.entity_days(log, ["user_id"], bitemporal.last_date([log], "day"), "day")
 
 
 DAYS_SQL = f"""f AS (SELECT user_id, MIN(day) AS lo FROM ({E_SQL}) GROUP BY 1), h AS (SELECT MAX(day) AS hi FROM ({E_SQL})),
@@ -269,9 +267,26 @@ def current_snapshot_scalar_subquery(spark, d):
 
 @query(f"WITH g AS ({DAILY_SQL}), m AS (SELECT MAX(snapshot_date) AS newest FROM g) SELECT g.* FROM g CROSS JOIN m WHERE g.snapshot_date = m.newest")
 def current_snapshot_cross_join(spark, d):
+    """The newest day as one row, joined (the planner broadcasts it)."""
+    gmv = gmv_daily_by_region(spark, d)
+    newest = gmv.agg(F.max("snapshot_date").alias("newest"))
+    return gmv.join(newest, gmv.snapshot_date == newest.newest).drop("newest")
+
+
+@query(f"SELECT * FROM ({DAILY_SQL}) WHERE snapshot_date = (SELECT MAX(snapshot_date) FROM ({DAILY_SQL}))")
+def current_snapshot_operator(spark, d):
     return metrics.latest_snapshot(gmv_daily_by_region(spark, d))
 
 
+@query(f"""WITH {DAYS_SQL}
+SELECT user_id, snapshot_date, event_id, event_type, cents FROM (SELECT b.user_id, snapshot_date, event_id, event_type, cents,
+ROW_NUMBER() OVER (PARTITION BY b.user_id, snapshot_date ORDER BY ts DESC, event_id DESC) AS r FROM b JOIN ({E_SQL}) e ON e.user_id = b.user_id AND e.day <= b.snapshot_date) WHERE r = 1""")
+def asof_state_events_by_rank(spark, d):
+    """The literal form of ``asof_state_events``, kept to compare their speed."""
+    log = change_log(spark, d).withColumnRenamed("day", "transaction_date")
+    return bitemporal.as_of_by_rank(entity_day_base(spark, d), log, ["user_id"], "snapshot_date", ("ts", "event_id"), ["event_id", "event_type", "cents"])
+
+
 @query(f"""WITH g AS ({DAILY_SQL}), a AS (SELECT snapshot_date, gmv_date, subsidiary, CASE WHEN day(gmv_date) = 3 THEN gmv_daily_amount + 100 ELSE gmv_daily_amount END AS amount FROM g WHERE day(gmv_date) <> 5)
 SELECT g.snapshot_date, g.gmv_date, g.subsidiary, g.gmv_daily_amount AS expected_gmv_daily_amount, a.amount AS gmv_daily_amount FROM g FULL JOIN a USING (snapshot_date, gmv_date, subsidiary) WHERE a.amount IS NULL OR abs(g.gmv_daily_amount - a.amount) > 1e-9""")
 def gmv_reconciliation(spark, d):
