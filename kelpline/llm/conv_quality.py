@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_rows
+from .common import filter_rows, map_rows, sent
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
 #: Bound on labelled rows that the network learns from, per label, and on the bytes of each; it scores all rows whole.
@@ -38,6 +38,13 @@ class ConvNet:
         self.c = np.zeros(1, np.float32)
         self.pairs: np.ndarray | None = None
 
+    @staticmethod
+    def of(w: np.ndarray, rest: tuple[np.ndarray, ...]) -> ConvNet:
+        """A network with given weights, ready for scoring."""
+        net = ConvNet()
+        net.w, (net.b, net.v, net.c) = w, rest
+        return net.freeze()
+
     def freeze(self) -> ConvNet:
         """Add up the weights of byte pairs, for scoring."""
         self.pairs = np.stack([(self.w[2 * j][:, None, :] + self.w[2 * j + 1][None, :, :]).reshape(65536, FILTERS) for j in range(WIDTH // 2)])
@@ -131,6 +138,7 @@ class ConvNet:
 def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[tuple], dict[int, int]]:
     """A bounded sample of labelled, not held-out rows, and how many such rows each label has in all."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col))
+    known = sent(known)
     usable = docs.where(F.octet_length(text_col) <= most_bytes).join(known, id_col)
     odds = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
     # one hash threshold a label keeps about the wanted number without a sort
@@ -165,9 +173,7 @@ def score_documents(docs: DataFrame, net: ConvNet, threshold: float = THRESHOLD,
     kind, w, rest = docs.schema[id_col].dataType, net.w, (net.b, net.v, net.c)
 
     def make() -> Callable[[list[list]], list[list]]:
-        own = ConvNet()
-        own.w, (own.b, own.v, own.c) = w, rest
-        own.freeze()
+        own = ConvNet.of(w, rest)
 
         def score(columns: list[list]) -> list[list]:
             keys, texts = columns
@@ -186,10 +192,16 @@ def classify(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
     return score_documents(docs, train(docs, labels, **bounds))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to be of quality, with all their columns."""
-    kept = classify(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", **bounds: int) -> DataFrame:
+    """The rows predicted to be of quality, with all their columns, filtered where they are."""
+    net = train(docs, labels, **bounds)
+    w, rest = net.w, (net.b, net.v, net.c)
+
+    def make() -> Callable[[list[list]], list[bool]]:
+        own = ConvNet.of(w, rest)
+        return lambda columns: (own.scores([t.encode() if t else b"" for t in columns[0]]) >= threshold).tolist()
+
+    return filter_rows(docs, [text_col], make)
 
 
 def accuracy(scored: DataFrame, labels: DataFrame) -> Iterable:
