@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, map_rows
+from .common import cut, map_rows, sent
 from .components import components
 
 SHINGLE, RADIUS, PIVOTS = 4, 4, 16
@@ -203,6 +203,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each group of near-duplicates, with all its columns."""
-    keep = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """The document with the least id of each group of near-duplicates, with all its columns.
+
+    Rows without an id can't be named and stay; rows that repeat the least id are one document and stay.  Ids of the others are
+    broadcast to the texts up to a bound; beyond it both are shuffled.
+    """
+    gone = cut(near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
+    return docs.join(sent(gone), "doc_id", "left_anti").select(*docs.columns)
