@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, map_rows
+from .common import cut, filter_rows, map_rows
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -126,13 +126,12 @@ def choose_cutoffs(histogram: dict[tuple[str, str], list[int]], risk: float = RI
     return chosen
 
 
-def cutoff_table(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id") -> DataFrame:
-    """Cutoffs (stratum, one column a rule) from all labelled good documents that the base rules let pass.
+def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
+    """Cutoffs by (stratum, rule) from all labelled good documents that the base rules let pass.
 
     Only counts per stratum, rule and cutoff reach the driver; strata with too few documents for any certificate don't.
     """
-    spark = stats.sparkSession
-    least = math.ceil(math.log(ERROR / len(RULES)) / math.log1p(-risk / len(RULES)))
+    least = math.ceil(math.log(error / len(RULES)) / math.log1p(-risk / len(RULES)))
     good = labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
     passed = [F.expr(" + ".join(f"int(coalesce({value} > {c}D, false))" for c in CUTOFFS)).alias(rule) for rule, value in RULES.items()]
     held = stats.where(~base_failed()).join(good, id_col, "left_semi").select("stratum", *passed)
@@ -141,9 +140,7 @@ def cutoff_table(stats: DataFrame, labels: DataFrame, risk: float = RISK, error:
     histogram: dict[tuple[str, str], list[int]] = {}
     for r in counts.collect():
         histogram.setdefault((r["stratum"], r["rule"]), [0] * (len(CUTOFFS) + 1))[r["over"]] = r["count"]
-    chosen = choose_cutoffs(histogram, risk, error)
-    rows = [(s, *(chosen.get((s, rule)) for rule in RULES)) for s in sorted({s for s, _ in chosen})]
-    return spark.createDataFrame(rows, "stratum string, " + ", ".join(f"{rule} double" for rule in RULES))
+    return choose_cutoffs(histogram, risk, error)
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -153,13 +150,37 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float =
     alike.  Without labels, or with too few for a stratum, only the base rules apply there.  Other columns are not read.
     """
     stats = cut(document_statistics(docs, id_col, text_col, stratum_col), "quality-stats")
-    limits = cutoff_table(stats, labels, risk, error, id_col)
+    chosen = certified(stats, labels, risk, error, id_col)
+    rows = [(s, *(chosen.get((s, rule)) for rule in RULES)) for s in sorted({s for s, _ in chosen})]
+    limits = docs.sparkSession.createDataFrame(rows, "stratum string, " + ", ".join(f"{rule} double" for rule in RULES))
     over = [F.when(F.expr(value) > F.col(f"limits.{rule}"), F.lit(rule)) for rule, value in RULES.items()]
     judged = stats.join(limits.alias("limits"), "stratum", "left").withColumns({"base_failed": base_failed(), "failed_rules": F.array_compact(F.array(*over))})
     return judged.select(id_col, *STATS, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    kept = judge(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def passes(stats: tuple[int, ...], limits: dict[str, float]) -> bool:
+    """The verdict on one document's ``STATS``, as ``judge`` gives it."""
+    n, chars, symbols, dup, repeats = stats
+    if n < MIN_WORDS or 100 * repeats > 50 * n:
+        return False
+    values = {"symbols": symbols / chars, "dup_lines": dup / n, "repeats": repeats / n, "long_words": chars / n / 100}
+    return not any(values[rule] > cutoff for rule, cutoff in limits.items())
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """The rows that ``judge`` keeps, with all their columns.
+
+    Texts are read twice (for the cutoffs, then for the verdicts) instead of being shuffled to meet verdicts by id.
+    """
+    stats = cut(document_statistics(docs, id_col, text_col, stratum_col), "quality-stats")
+    limits: dict[str, dict[str, float]] = {}
+    for (stratum, rule), cutoff in certified(stats, labels, risk, error, id_col).items():
+        limits.setdefault(stratum, {})[rule] = cutoff
+
+    def make():
+        def keep(columns: list[list]) -> list[bool]:
+            return [passes(statistics_of(t), limits.get("" if s is None else str(s), {})) for t, s in zip(*columns)]
+
+        return keep
+
+    return filter_rows(docs, [text_col, stratum_col], make)

@@ -168,7 +168,8 @@ def test_simhash_components(docs, empty):
         assert (got[k]["fingerprint"], got[k]["component_id"]) == (f"{prints[k]:016x}", root[k])
     assert got[None]["component_id"] == root[ROWS[0][0]]
     assert simhash.near_duplicates(empty).count() == 0
-    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(root.values())
+    left = simhash.one_of_each(docs)
+    assert {r["doc_id"] for r in left.collect()} == {*root.values(), None} and left.columns == docs.columns
 
 
 @pytest.mark.parametrize("distinct", [10, 3_000_000, 2_000_000_000])
@@ -285,6 +286,9 @@ def test_judgement(docs, labels, empty, spark):
     many = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3900, good).otherwise(bad).alias("text"), F.lit("en").alias("lang"))
     marks = many.select("doc_id", (F.col("doc_id") < 3900).cast("int").alias("quality"))
     assert {r["doc_id"] for r in quality_rules.judge(many, marks).where("not kept").collect()} == set(range(3900, 4000))
+    assert {r["doc_id"] for r in quality_rules.kept_documents(many, marks).collect()} == set(range(3900))
+    kept = quality_rules.kept_documents(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if got[r["doc_id"]]["kept"])
 
 
 def test_network_learns_and_scores_whole_texts(docs, labels, empty):
@@ -300,7 +304,8 @@ def test_network_learns_and_scores_whole_texts(docs, labels, empty):
     assert len(got) == len(ROWS) + 1 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in got.items() if k is not None)
     assert conv_quality.classify(docs, labels.limit(0)).where("score between 0 and 1").count() == len(ROWS) + 2
-    assert conv_quality.classify(empty, labels).count() == 0
+    assert conv_quality.classify(empty, labels).count() == 0 == conv_quality.kept_documents(empty, labels).count()
+    assert sorted(str(r["doc_id"]) for r in conv_quality.kept_documents(docs, labels).collect()) == sorted(str(r["doc_id"]) for r in conv_quality.classify(docs, labels).where("predicted = 1").collect())
 
 
 def test_network_equals_direct_convolution():
