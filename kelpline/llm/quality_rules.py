@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, filter_rows, map_rows
+from .common import cut, filter_rows, map_rows, sent
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -126,13 +126,18 @@ def choose_cutoffs(histogram: dict[tuple[str, str], list[int]], risk: float = RI
     return chosen
 
 
+def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
+    """Ids whose labels are all 1."""
+    return labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
+
+
 def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from all labelled good documents that the base rules let pass.
 
     Only counts per stratum, rule and cutoff reach the driver; strata with too few documents for any certificate don't.
     """
     least = math.ceil(math.log(error / len(RULES)) / math.log1p(-risk / len(RULES)))
-    good = labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
+    good = good_ids(labels, id_col)
     passed = [F.expr(" + ".join(f"int(coalesce({value} > {c}D, false))" for c in CUTOFFS)).alias(rule) for rule, value in RULES.items()]
     held = stats.where(~base_failed()).join(good, id_col, "left_semi").select("stratum", *passed)
     strata = held.groupBy("stratum").count().where(F.col("count") >= least)
@@ -170,9 +175,10 @@ def passes(stats: tuple[int, ...], limits: dict[str, float]) -> bool:
 def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows that ``judge`` keeps, with all their columns.
 
-    Texts are read twice (for the cutoffs, then for the verdicts) instead of being shuffled to meet verdicts by id.
+    Labelled good texts are read for the cutoffs, then all for the verdicts, instead of being shuffled to meet verdicts by id.
     """
-    stats = cut(document_statistics(docs, id_col, text_col, stratum_col), "quality-stats")
+    good = sent(good_ids(labels, id_col))
+    stats = cut(document_statistics(docs.join(good, id_col, "left_semi"), id_col, text_col, stratum_col), "quality-stats")
     limits: dict[str, dict[str, float]] = {}
     for (stratum, rule), cutoff in certified(stats, labels, risk, error, id_col).items():
         limits.setdefault(stratum, {})[rule] = cutoff
