@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import slices, without_gc
 
 WIDTH = 13
-PART_BYTES, BUCKET_ENTRIES = 8_000_000, 1_000_000
+PART_BYTES, BUCKET_ENTRIES = 4_000_000, 500_000
 #: Perfect difference sets, each a smallest cover of its period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 LAST = 2**63 - 1
@@ -120,7 +120,7 @@ def anchors(buckets: int, parts: int, width: int) -> Callable[[Iterable[pa.Recor
         known = WordHashes()
         with without_gc():
             for batch in batches:
-                for part in slices(batch, 2 * PART_BYTES):
+                for part in slices(batch, 3 * PART_BYTES):
                     yield to_batch(of_slice(known, part.column(0).to_pylist(), part.column(1).to_pylist()))
 
     def of_slice(known: WordHashes, keys: list[int], texts: list[str | None]) -> list[tuple]:
