@@ -78,7 +78,7 @@ def sent(ids: DataFrame, limit: int = SENT_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
 
 
-def slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Zero-copy parts of a batch of about ``limit`` bytes each; a longer row stands alone."""
     rows = batch.num_rows
     if not rows:

@@ -90,23 +90,30 @@ def within(prints: np.ndarray, tables: np.ndarray, i: np.ndarray, j: np.ndarray,
     return alive
 
 
-def spanning_links(prints: np.ndarray, tables: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def spanning_links(prints: np.ndarray, tables: np.ndarray, radius: int, pairs: int = 1 << 18) -> list[tuple[int, int]]:
     """Links that connect what is connected within one large group, at most one per member.
 
-    Breadth-first: each fingerprint meets only those not reached yet, so a dense group costs little more than its size.
+    Breadth-first: a fingerprint meets only those not reached yet, so a dense group costs little more than its size.  About
+    ``pairs`` comparisons are made at a time, whatever the group's size.
     """
-    links, left = [], np.arange(len(prints))
-    queue: list[int] = []
+    links: list[tuple[int, int]] = []
+    left, queue = np.arange(len(prints)), np.zeros(0, np.int64)
     while len(left):
-        if queue:
-            at = queue.pop()
-        else:
-            at, left = int(left[0]), left[1:]
-        found = left[within(prints, tables, np.full(len(left), at), left, radius)]
-        if len(found):
-            links += [(at, x) for x in found.tolist()]
-            queue += found.tolist()
-            left = left[~np.isin(left, found, assume_unique=True)]
+        if not len(queue):
+            queue, left = left[:1], left[1:]
+            continue
+        wide = max(1, pairs // len(left))
+        front, queue = queue[:wide], queue[wide:]
+        found: list[np.ndarray] = []
+        for begin in range(0, len(left), pairs):
+            some = left[begin : begin + pairs]
+            i, j = np.repeat(front, len(some)), np.tile(some, len(front))
+            ok = within(prints, tables, i, j, radius)
+            reached, first = np.unique(j[ok], return_index=True)
+            links += zip(i[ok][first].tolist(), reached.tolist())
+            found.append(reached)
+        new = np.concatenate(found)
+        queue, left = np.concatenate([queue, new]), left[~np.isin(left, new, assume_unique=True)]
     return links
 
 
