@@ -19,13 +19,13 @@ import numpy as np
 import regex
 
 #: The pre-tokenizer's pattern, and what Unicode calls white space.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 WORDS = regex.compile(PATTERN)
-SPACES = frozenset("\t\n\v\f\r \x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
+SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 
 #: Longer pieces are encoded each time they occur, so that the cache stays small.
 CACHED_CHARS = 64
@@ -223,7 +223,7 @@ class PieceTable:
     """What is kept of each piece that follows a blank: ``value`` of its ids.  Holds at most ``CACHE_ENTRIES`` short pieces between batches."""
 
     def __init__(self, codec: ByteBpe, value=lambda ids: ids) -> None:
-        self.codec, self.value, self.known = codec, value, {}
+        self.codec, self.value, self.known, self.long = codec, value, {}, []
         self.get = self.known.__getitem__
 
     def fill(self, want: set[str]) -> None:
@@ -239,8 +239,6 @@ class PieceTable:
             value = self.value
             self.known.update((p, value(ids)) for p, ids in self.codec._learn(fresh).items())
 
-    long: list[str] = []
-
 
 @lru_cache(maxsize=2)
 def codec(path: str) -> ByteBpe:

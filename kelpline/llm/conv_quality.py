@@ -86,7 +86,7 @@ class ConvNet:
         return 1 / (1 + np.exp(-np.clip(features.astype(np.float64) @ self.v.astype(np.float64) + float(self.c[0]), -60, 60)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch_bytes: int = 150_000, rate: float = 0.01, seed: int = 7) -> ConvNet:
-        """Adam on the cross-entropy, labels weighted alike; afterwards the intercept is moved to the labels' true odds by ``prior``."""
+        """Adam on the cross-entropy, both labels weighted alike."""
         rng, params = np.random.default_rng(seed), [self.w, self.b, self.v, self.c]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         share = np.bincount(labels, minlength=2) / len(labels)

@@ -70,7 +70,7 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def tokenized_spans(docs: DataFrame, tokenizer: str, groups: int, capacity: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents' ids, with ``end_id`` at the end, cut into spans of ``capacity`` and a remainder.
 
-    ``pack_group`` deals documents to groups by a hash of id and text; equal rows differ in their count within the task,
+    ``pack_group`` deals documents to groups by a hash of id and ids; equal rows differ in their count within the task,
     so copies of one row spread as well.
     """
     id_type = docs.schema[id_col].dataType
@@ -86,10 +86,10 @@ def tokenized_spans(docs: DataFrame, tokenizer: str, groups: int, capacity: int
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     ids = np.append(encoder.ids(text or ""), np.uint32(end_id)).astype("<u4")
                     n = len(ids)
-                    mark = zlib.crc32(f"{key}/{n}/{(text or '')[:64]}".encode())
+                    data = ids.tobytes()
+                    mark = zlib.crc32(str(key).encode(), zlib.crc32(data))
                     seen[mark] += 1
                     group = zlib.crc32(f"{mark}/{seen[mark]}".encode()) % groups
-                    data = ids.tobytes()
                     for start in range(0, n, capacity):
                         size = min(capacity, n - start)
                         for to, x in zip(rows, (key, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n, group, *[ids[start : start + size].astype(np.int32)] * with_ids)):

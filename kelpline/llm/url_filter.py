@@ -121,6 +121,14 @@ def train(labelled: Iterable[tuple[str, int]] = LABELLED, bits: int = BITS) -> U
     return UrlModel(bits).fit(texts, np.array(y))
 
 
+def train_table(table: DataFrame, url_col: str = "url", label_col: str = "label", most: int = 100_000, bits: int = BITS) -> UrlModel:
+    """A model from a table of labelled URLs (1 for block), which must be small: over ``most`` rows are refused."""
+    rows = table.where(F.col(url_col).isNotNull() & F.col(label_col).isin(0, 1)).select(url_col, label_col).limit(most + 1).collect()
+    if not 0 < len(rows) <= most:
+        raise ValueError(f"1 to {most} labelled URLs are needed")
+    return train([(r[0], r[1]) for r in sorted(rows)], bits)
+
+
 def judge(pages: DataFrame, model: UrlModel | None = None, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col``, ``host``, ``path``, ``rule``, ``score`` (of the model; null where a rule decides) and ``verdict`` of every row.
 

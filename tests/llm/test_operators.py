@@ -373,6 +373,11 @@ def test_urls(spark):
         host, path, rule, verdict = list(urls.values())[r["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and verdict in (None, r["verdict"]) and (r["score"] is None) == (rule is not None)
     assert url_filter.judge(frame.limit(0)).count() == 0
+    own = spark.createDataFrame([("http://x.fr/aaa", 1), ("http://y.fr/zzz", 0), (None, 1)], "url string, label int")
+    learnt = url_filter.judge(spark.createDataFrame([(1, "http://z.fr/aaaa"), (2, "http://z.fr/zzzz")], "page_id bigint, url string"), url_filter.train_table(own))
+    assert [r["verdict"] for r in learnt.orderBy("page_id").collect()] == ["block", "allow"]
+    with pytest.raises(ValueError):
+        url_filter.train_table(own, most=1)
 
 
 # -- neighbours ----------------------------------------------------------
