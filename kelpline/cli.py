@@ -1,20 +1,24 @@
-"""Command line: ``python -m kelpline.cli LAYER [options]`` with a layer of bronze, silver, snapshot, gmv, quality, or tables to list them."""
+"""Command line: ``python -m kelpline.cli LAYER [options]`` with a layer of bronze, silver, snapshot,
+gmv or quality; ``tables`` lists the tables, ``sql FILE`` runs a script, ``console`` opens a prompt with ``spark`` and ``store``."""
 
 from __future__ import annotations
 
 import argparse
+import code
 import uuid
 
 from .plans import loads
 from .plans.dates import FULL, INCREMENTAL, target_day
 from .sources.csv_files import folder_loads
+from .sources.scripts import run_script
 from .sources.session import local_session
 from .sources.tables import TableStore
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kelpline", description=__doc__)
-    p.add_argument("layer", choices=["bronze", "silver", "snapshot", "gmv", "quality", "tables"])
+    p.add_argument("layer", choices=["bronze", "silver", "snapshot", "gmv", "quality", "tables", "sql", "console"])
+    p.add_argument("file", nargs="?", help="the script of sql")
     p.add_argument("--data-dir", default="data")
     p.add_argument("--warehouse")
     p.add_argument("--namespace", default="kelpline")
@@ -36,6 +40,16 @@ def main(argv: list[str] | None = None) -> int:
     if a.layer == "tables":
         print("\n".join(store.tables()))
         return 0
+    if a.layer == "sql":
+        for df in run_script(store.spark, a.file):
+            if df.columns:
+                df.show(50, truncate=False)
+        return 0
+    if a.layer == "console":
+        store.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{a.namespace}`")
+        store.spark.catalog.setCurrentDatabase(a.namespace)
+        code.interact(banner="\n".join(store.tables()), local={"spark": store.spark, "store": store}, exitmsg="")
+        return 0
     if a.layer == "quality":
         store.prepare("ops", reset=a.reset)
         summary = loads.load_quality(store, str(uuid.uuid4()))

@@ -178,13 +178,18 @@ def test_streamed_files(spark, store, tmp_path):
         assert store.read("bronze_purchase_extra_info_events").count() == 1
 
 
-def test_command_line(spark, folder, capsys):
+def test_command_line(spark, folder, capsys, tmp_path, monkeypatch):
     ns = f"c{uuid.uuid4().hex[:8]}"
     for layer in ("bronze", "silver", "snapshot", "gmv"):
         assert cli.main([layer, "--data-dir", folder, "--namespace", ns]) == 0
     assert cli.main(["silver", "--namespace", ns, "--mode", "incremental", "--process-date", "2023-01-05"]) == 0
     assert cli.main(["quality", "--namespace", ns]) == 0
     assert cli.main(["tables", "--namespace", ns]) == 0 and GMV_TABLE in capsys.readouterr().out
+    (tmp_path / "s.sql").write_text(f"SELECT count(*) AS published FROM {ns}.{GMV_TABLE};")
+    assert cli.main(["sql", str(tmp_path / "s.sql"), "--namespace", ns]) == 0 and "published" in capsys.readouterr().out
+    monkeypatch.setattr("code.interact", lambda banner, local, exitmsg: print(banner, sorted(local)))
+    assert cli.main(["console", "--namespace", ns]) == 0 and "['spark', 'store']" in capsys.readouterr().out
+    spark.catalog.setCurrentDatabase("default")
     store = TableStore(spark, ns)
     spark.sql(f"INSERT INTO {store.name(GMV_TABLE)} SELECT gmv_date, subsidiary, -1D, gmv_daily_purchase_count, gmv_daily_item_quantity, gmv_mtd_amount, quality_status, snapshot_created_at, snapshot_date FROM {store.name(GMV_TABLE)} LIMIT 1")
     assert cli.main(["quality", "--namespace", ns, "--reset"]) == 1
