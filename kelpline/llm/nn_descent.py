@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_cut
 
-NEIGHBOURS, LISTED, TREES, LEAF, PART_NODES, SAMPLE = 32, 24, 6, 4096, 4096, 20_000
-BEAM, EXPANDED, QUERY_NODES = 96, 24, 128
-STABLE = 0.02  # descent ends once a round changes a smaller share of all list entries
+NEIGHBOURS, LISTED, TREES, LEAF, PART_NODES, SAMPLE = 32, 32, 6, 4096, 4096, 20_000
+BEAM, EXPANDED, QUERY_NODES = 160, 24, 128
+STABLE = 0.01  # descent ends once a round changes a smaller share of all list entries
 EMPTY = np.int64(-(2**63))
 
 STATE = "part bigint, ids binary, vectors binary, near binary, sims binary, fresh binary, changed bigint"
