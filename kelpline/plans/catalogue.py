@@ -309,11 +309,11 @@ def duplicate_groups(spark, d):
     return quality.repeated_groups(_read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber")), LINE_KEYS)
 
 
-@query(f"""WITH e AS ({L_SQL}) SELECT COUNT(*) AS rows, COUNT(*) - COUNT(DISTINCT record_hash) AS duplicates, (COUNT(*) - COUNT(DISTINCT record_hash)) / CAST(COUNT(*) AS DOUBLE) AS duplicate_rate FROM e""")
+@query(f"""WITH e AS ({L_SQL}) SELECT COUNT(*) AS row_count, COUNT(*) - COUNT(DISTINCT record_hash) AS duplicates, (COUNT(*) - COUNT(DISTINCT record_hash)) / CAST(COUNT(*) AS DOUBLE) AS duplicate_rate FROM e""")
 def raw_duplicate_rate(spark, d):
     """Counted per hash first, so the global count is of pre-aggregated rows."""
     by_hash = line_events(spark, d).groupBy("record_hash").agg(F.count("*").alias("n"))
-    return by_hash.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("duplicates")).withColumn("duplicate_rate", F.col("duplicates") / F.col("rows"))
+    return by_hash.agg(F.sum("n").alias("row_count"), F.sum(F.col("n") - 1).alias("duplicates")).withColumn("duplicate_rate", F.col("duplicates") / F.col("row_count"))
 
 
 @query("""WITH t AS (SELECT 'orders' AS source, MAX(CAST(o_orderdate AS DATE)) AS latest FROM orders UNION ALL SELECT 'lineitem', MAX(CAST(l_shipdate AS DATE)) FROM lineitem UNION ALL SELECT 'events', MAX(CAST(ts AS DATE)) FROM events)
@@ -367,7 +367,7 @@ def impacted_partitions_semi(spark, d):
 CHECKS = {"low_value": "o_totalprice < 20000", "not_approved": "o_orderstatus <> 'F'", "urgent_cancelled": "o_orderpriority = '1-URGENT' and o_orderstatus = 'P'", "missing_customer": "o_custkey is null"}
 
 
-@query(" UNION ALL ".join(f"""SELECT '{n}' AS rule_name, COUNT(*) AS impacted_record_count, COALESCE(array_to_string(list_sort(array_agg(k ORDER BY k) FILTER (r <= 5)), ','), '') AS impacted_business_keys
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS rule_name, COUNT(*) AS impacted_record_count, COALESCE(array_to_string(list_sort(array_agg(k ORDER BY k) FILTER (WHERE r <= 5)), ','), '') AS impacted_business_keys
  FROM (SELECT k, ROW_NUMBER() OVER (ORDER BY k) AS r FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE {c}))""" for n, c in CHECKS.items()))
 def dq_results_single_pass(spark, d):
     """All rules in one pass; a failing row is an event per rule it breaks."""
@@ -379,8 +379,8 @@ def dq_results_single_pass(spark, d):
     return rules.join(counts, "rule_name", "left").join(first, "rule_name", "left").select("rule_name", F.coalesce("n", F.lit(0)).alias("impacted_record_count"), F.coalesce("keys", F.lit("")).alias("impacted_business_keys"))
 
 
-@query("""SELECT o_orderstatus AS source, COUNT(*) FILTER (o_totalprice < 10000) AS error_result_count, COUNT(*) FILTER (o_totalprice < 50000) AS warning_result_count,
-CASE WHEN COUNT(*) FILTER (o_totalprice < 10000) > 0 THEN 'failed' WHEN COUNT(*) FILTER (o_totalprice < 50000) > 0 THEN 'completed_with_warnings' ELSE 'succeeded' END AS run_status FROM orders GROUP BY 1""")
+@query("""SELECT o_orderstatus AS source, COUNT(*) FILTER (WHERE o_totalprice < 10000) AS error_result_count, COUNT(*) FILTER (WHERE o_totalprice < 50000) AS warning_result_count,
+CASE WHEN COUNT(*) FILTER (WHERE o_totalprice < 10000) > 0 THEN 'failed' WHEN COUNT(*) FILTER (WHERE o_totalprice < 50000) > 0 THEN 'completed_with_warnings' ELSE 'succeeded' END AS run_status FROM orders GROUP BY 1""")
 def run_log_status(spark, d):
     counts = _read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count_if(F.col("o_totalprice") < 10000).alias("error_result_count"), F.count_if(F.col("o_totalprice") < 50000).alias("warning_result_count"))
     return counts.withColumn("run_status", F.when(F.col("error_result_count") > 0, "failed").when(F.col("warning_result_count") > 0, "completed_with_warnings").otherwise("succeeded"))
