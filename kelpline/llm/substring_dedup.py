@@ -49,7 +49,7 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
@@ -120,7 +120,7 @@ def anchors(buckets: int, parts: int, width: int) -> Callable[[Iterable[pa.Recor
         known = WordHashes()
         with without_gc():
             for batch in batches:
-                for part in slices(batch, 2 * PART_BYTES):
+                for part in slices(batch, PART_BYTES):
                     yield to_batch(of_slice(known, part.column(0).to_pylist(), part.column(1).to_pylist()))
 
     def of_slice(known: WordHashes, keys: list[int], texts: list[str | None]) -> list[tuple]:
