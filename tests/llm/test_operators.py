@@ -347,6 +347,32 @@ def test_language_model_by_brute_force(docs, labels, empty):
     assert lm_scores.score_documents(empty, labels).count() == 0
 
 
+def test_language_model_counts_are_exact_at_any_size(spark, monkeypatch):
+    """Rare words and pairs stay apart however many there are; slots of fixed tables would share them."""
+    rng = random.Random(6)
+    texts = ["".join(f"w{rng.randrange(10**9)} " for _ in range(2000)) + "same pair" for _ in range(1200)] + ["same pair", None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    marks = spark.createDataFrame([(i, 1, 0) for i in range(0, 1200, 3)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(lm_scores, "BUCKET_KEYS", 50_000)
+    monkeypatch.setattr(lm_scores, "SLICE_BYTES", 3_000_000)
+    got = by_id(lm_scores.score_documents(frame, marks))
+    models = []
+    for own in (texts[:1200:3], texts):
+        words, pairs = Counter(), Counter()
+        for t in own:
+            tokens = (t or "").split()
+            words.update(["", *tokens] if tokens else [])
+            pairs.update(zip(["", *tokens], tokens))
+        models.append((words, pairs, sum(words.values())))
+    vocabulary = len(models[1][0])
+    assert vocabulary > 2**lm_scores.WORD_BITS  # the uniform distribution covers all words
+    for k in (0, 1, 600, 1200):
+        tokens = texts[k].split()
+        want = [np.mean([-np.log((pairs[b, w] + lm_scores.BACKOFF * (words[w] + lm_scores.FLOOR) / (total + lm_scores.FLOOR * vocabulary)) / (words[b] + lm_scores.BACKOFF)) for b, w in zip(["", *tokens], tokens)]) for words, pairs, total in models]
+        assert [got[k]["target_loss"], got[k]["background_loss"]] == pytest.approx(want, rel=1e-9)
+    assert len(got) == len(texts) and got[1201]["n_tokens"] == 0
+
+
 # -- urls ----------------------------------------------------------------
 
 
@@ -380,6 +406,14 @@ def test_urls(spark):
         url_filter.train_table(own, most=1)
 
 
+def test_url_scores_do_not_depend_on_their_batch():
+    model, rng = url_filter.train(), random.Random(8)
+    texts = [b"", *(f"site{rng.randrange(999)}.fr/{'casino-bonus/free' if i % 3 else 'guide/'}{rng.randrange(99)}".encode() for i in range(200)), b"", b"x"]
+    alone = [model.logits([t])[0] for t in texts]
+    assert model.logits(texts) == pytest.approx(alone, abs=1e-12)
+    assert model.logits(texts[::-1])[::-1] == pytest.approx(alone, abs=1e-12)
+
+
 # -- neighbours ----------------------------------------------------------
 
 
