@@ -79,7 +79,7 @@ def ngram_slots(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.nd
             h = h * np.uint64(0x100000001B3) + flat[j : count + j] + np.uint64(1)
         h ^= h >> np.uint64(31)
         h *= np.uint64(0x9E3779B97F4A7C15)
-        real = flat[n - 1 :] > 0
+        real = (flat[:count] > 0) & (flat[n - 1 :] > 0)  # none begins in the zeros after a text and ends in the next
         slots.append((h[real] >> np.uint64(64 - bits)).astype(np.int64))
         owners.append(owner[:count][real])
     return np.concatenate(slots), np.concatenate(owners)
