@@ -4,7 +4,9 @@ Base statistics come from whole texts.  On top, each rule rejects a document who
 chosen on labelled good documents so that, with the stated confidence over all rules and strata together, a rule rejects at
 most its share of a stratum's good documents.  Cutoffs of one rule and stratum are tested from the mildest on with the exact
 binomial tail (the Clopper-Pearson bound), and testing stops at the first that fails, which needs no further correction; rules
-and strata share the error by Bonferroni.
+and strata share half the error by Bonferroni.  The other half is for the pool of all strata with too few labelled documents for
+cutoffs of their own: there one sequence lowers the cutoffs of all rules together, and each step is tested as a whole, so neither
+risk nor error is split over rules and some 370 documents are enough.  The pool's risk is that of its strata taken together.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ RULES = {
 CUTOFFS = tuple(round(0.95 * 0.9**i, 6) for i in range(48))
 #: Largest share of a stratum's good documents that all rules together may reject, and the chance that this fails anywhere.
 RISK, ERROR = 0.01, 0.05
+#: The mildest of the pool's sequence is the first of ``CUTOFFS`` in all rules; a rule's cutoff falls no further than this place.
+POOL_LAST = {"symbols": len(CUTOFFS) - 1, "dup_lines": 10, "repeats": 5, "long_words": 16}
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -126,6 +130,21 @@ def choose_cutoffs(histogram: dict[tuple[str, str], list[int]], risk: float = RI
     return chosen
 
 
+def choose_pooled(counts: list[int], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
+    """The pool's cutoffs by rule after the last certified step; none if even the first can't be certified.
+
+    counts: good documents by the number of steps (0 to all) that reject them by any rule.
+    """
+    n, chosen = sum(counts), {}
+    rejected = np.cumsum(counts[::-1])[::-1]
+    for step in range(len(CUTOFFS)):
+        hit = int(rejected[len(CUTOFFS) - step])
+        if hit > risk * n or binomial_tail(hit, n, risk) > error:
+            break
+        chosen = {rule: CUTOFFS[min(step, POOL_LAST[rule])] for rule in RULES}
+    return chosen
+
+
 def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
     """Ids whose labels are all 1."""
     return labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
@@ -134,25 +153,46 @@ def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
 def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from all labelled good documents that the base rules let pass.
 
-    Only counts per stratum, rule and cutoff reach the driver; strata with too few documents for any certificate don't.
+    Only counts per stratum, rule and cutoff reach the driver, and the pool's counts per step.  Strata that have labelled good
+    documents, but too few for any certificate of their own, have the pool's cutoffs; strata without any have none.
     """
-    least = math.ceil(math.log(error / len(RULES)) / math.log1p(-risk / len(RULES)))
     good = good_ids(labels, id_col)
     passed = [F.expr(" + ".join(f"int(coalesce({value} > {c}D, false))" for c in CUTOFFS)).alias(rule) for rule, value in RULES.items()]
     held = stats.where(~base_failed()).join(good, id_col, "left_semi").select("stratum", *passed)
-    strata = held.groupBy("stratum").count().where(F.col("count") >= least)
-    counts = held.join(strata, "stratum", "left_semi").unpivot(["stratum"], list(RULES), "rule", "over").groupBy("stratum", "rule", "over").count()
+    sizes = {r["stratum"]: r["count"] for r in held.groupBy("stratum").count().collect()}
+    large = own_strata(sizes, risk, error / 2)
+    mine = held.where(F.col("stratum").isin(large))
+    counts = mine.unpivot(["stratum"], list(RULES), "rule", "over").groupBy("stratum", "rule", "over").count()
     histogram: dict[tuple[str, str], list[int]] = {}
     for r in counts.collect():
         histogram.setdefault((r["stratum"], r["rule"]), [0] * (len(CUTOFFS) + 1))[r["over"]] = r["count"]
-    return choose_cutoffs(histogram, risk, error)
+    chosen = choose_cutoffs(histogram, risk, error / 2)
+    # cutoffs fall: a ratio over so many is over them from that place of the end on
+    steps = F.greatest(*[F.when(F.col(rule) >= len(CUTOFFS) - POOL_LAST[rule], F.col(rule)).otherwise(0) for rule in RULES])
+    pool = [0] * (len(CUTOFFS) + 1)
+    for r in held.where(~F.col("stratum").isin(large)).groupBy(steps.alias("steps")).count().collect():
+        pool[r["steps"]] = r["count"]
+    for rule, cutoff in choose_pooled(pool, risk, error / 2).items():
+        chosen |= {(stratum, rule): cutoff for stratum in sizes if stratum not in large}
+    return chosen
+
+
+def own_strata(sizes: dict[str, int], risk: float, error: float) -> list[str]:
+    """The strata with enough documents for cutoffs of their own, where the error is shared by just these strata and their rules."""
+    large = sorted(sizes)
+    while True:
+        least = math.log(error / max(1, len(large)) / len(RULES)) / math.log1p(-risk / len(RULES))
+        new = [x for x in large if sizes[x] >= least]
+        if len(new) == len(large):
+            return large
+        large = new
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Every row's ``id_col``, ``STATS``, ``base_failed``, ``failed_rules`` and ``kept``.
 
     Null and empty texts have no words and fail the base rules.  A null stratum is one of its own.  Repeated rows are judged
-    alike.  Without labels, or with too few for a stratum, only the base rules apply there.  Other columns are not read.
+    alike.  Without labels, or with too few for the pool of small strata, only the base rules apply there.  Other columns are not read.
     """
     stats = cut(document_statistics(docs, id_col, text_col, stratum_col), "quality-stats")
     chosen = certified(stats, labels, risk, error, id_col)

@@ -291,6 +291,25 @@ def test_judgement(docs, labels, empty, spark):
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if got[r["doc_id"]]["kept"])
 
 
+def test_small_strata_are_certified_together(spark):
+    good, bad = " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, good if i % 10 else bad, ("de", "fr", "es", None)[i % 4]) for i in range(600)] + [(600, bad, "unlabelled")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(600)], "doc_id bigint, quality int")
+    want = {i for i in range(600) if i % 10} | {600}  # a stratum without good labels has no cutoffs
+    assert {r["doc_id"] for r in quality_rules.judge(frame, marks).where("kept").collect()} == want
+    assert {r["doc_id"] for r in quality_rules.kept_documents(frame, marks).collect()} == want
+
+
+def test_pooled_cutoffs_hold_their_risk():
+    size = len(quality_rules.CUTOFFS)
+    assert quality_rules.choose_pooled([366] + [0] * size, error=0.025) == {}
+    assert quality_rules.choose_pooled([368] + [0] * size, error=0.025)["symbols"] == quality_rules.CUTOFFS[-1]
+    counts = [980] + [0] * size
+    counts[20] = 20  # 2 % are rejected from the 29th step on
+    assert quality_rules.choose_pooled(counts, error=0.025)["symbols"] == quality_rules.CUTOFFS[27]
+
+
 def test_network_learns_and_scores_whole_texts(docs, labels, empty):
     rng = random.Random(1)
     good = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(30, 1500))) for _ in range(80)]
