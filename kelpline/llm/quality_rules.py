@@ -4,9 +4,9 @@ Base statistics come from whole texts.  On top, each rule rejects a document who
 chosen on labelled good documents so that, with the stated confidence over all rules and strata together, a rule rejects at
 most its share of a stratum's good documents.  Cutoffs of one rule and stratum are tested from the mildest on with the exact
 binomial tail (the Clopper-Pearson bound), and testing stops at the first that fails, which needs no further correction; rules
-and strata share half the error by Bonferroni.  The other half is for the pool of all strata with too few labelled documents for
+and strata share half the error by Bonferroni.  The other half (all of it if no stratum stands alone) is for the pool of all strata with too few labelled documents for
 cutoffs of their own: there one sequence lowers the cutoffs of all rules together, and each step is tested as a whole, so neither
-risk nor error is split over rules and some 370 documents are enough.  The pool's risk is that of its strata taken together.
+risk nor error is split over rules and 300 to 370 documents are enough.  The pool's risk is that of its strata taken together.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
     pool = [0] * (len(CUTOFFS) + 1)
     for r in held.where(~F.col("stratum").isin(large)).groupBy(steps.alias("steps")).count().collect():
         pool[r["steps"]] = r["count"]
-    for rule, cutoff in choose_pooled(pool, risk, error / 2).items():
+    for rule, cutoff in choose_pooled(pool, risk, error / 2 if large else error).items():
         chosen |= {(stratum, rule): cutoff for stratum in sizes if stratum not in large}
     return chosen
 
