@@ -89,37 +89,42 @@ def slices(batch: pa.RecordBatch, limit: int = 3_000_000) -> Iterator[pa.RecordB
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests, one machine)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine, where it may be unset, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/kelpline-scratch"
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/kelpline-scratch"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return base
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation.
+#: Folders that ``cut`` has written and nobody has removed yet, oldest first.
+WRITTEN: list[str] = []
 
-    The files belong to the run; the folder's owner (the cluster's checkpoint cleaner) removes them.
-    """
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
-    """Remove tables written by ``cut`` that nothing will read again."""
+def drop_folders(spark: SparkSession, folders: Iterable[str]) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for df in frames:
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for folder in list(folders):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in WRITTEN:
+            WRITTEN.remove(folder)
 
 
-def sha256_hex(column: str) -> F.Column:
-    return F.sha2(F.col(column).cast("binary"), 256)
+def drop_cut(spark: SparkSession, frames: Iterable[DataFrame]) -> None:
+    """Remove tables written by ``cut`` that nothing will read again."""
+    names = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in frames for f in df.inputFiles()}
+    drop_folders(spark, [f for f in WRITTEN if f.rsplit("/", 1)[1] in names])

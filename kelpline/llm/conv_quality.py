@@ -9,19 +9,19 @@ beforehand for all byte pairs, so a filter costs a lookup per two bytes.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import filter_rows, map_rows, sent
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
-#: Bound on labelled rows that the network learns from, per label, and on the bytes of each; it scores all rows whole.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 2_000, 65_536
+#: Bound on labelled rows that the network learns from, per label, and on the chunks of each; it scores all rows whole.
+SAMPLE_PER_LABEL, SAMPLE_CHUNKS = 2_000, 64
 THRESHOLD = 0.3
 
 
@@ -135,31 +135,48 @@ class ConvNet:
         return [gw, down.sum(axis=0), (err @ features).astype(np.float32), np.array([err.sum()], np.float32)]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[tuple], dict[int, int]]:
-    """A bounded sample of labelled, not held-out rows, and how many such rows each label has in all."""
+def spread_chunks(text: str | None, most: int) -> bytes:
+    """The text's bytes, or where it has more chunks than ``most``, so many of them from all over it."""
+    data = text.encode() if text else b""
+    n = -(-len(data) // CHUNK)
+    if n <= most:
+        return data
+    return b"".join(data[CHUNK * i : CHUNK * (i + 1)] for i in np.linspace(0, n - 1, most).astype(int).tolist())
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, chunks: int, id_col: str, text_col: str) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """A bounded sample of labelled, not held-out rows (label and bytes), and how many such rows each label has in all.
+
+    Of each label these are the rows with the least hashes of id and text, so a run is repeated exactly.  An id with several
+    labels has the least.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col))
-    known = sent(known)
-    usable = docs.where(F.octet_length(text_col) <= most_bytes).join(known, id_col)
+    usable = docs.join(sent(known), id_col).withColumn("place", F.xxhash64(id_col, text_col))
     odds = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-    # one hash threshold a label keeps about the wanted number without a sort
-    keep = F.lit(False)
-    for label, n in odds.items():
-        share = min(1.0, per_label / n)
-        keep = keep | ((F.col("quality") == label) & (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20))))
-    rows = usable.where(keep).select(id_col, "quality", text_col).limit(3 * per_label).collect()
-    return sorted((r[0], r[1], r[2]) for r in rows), odds
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> ConvNet:
-    """A network from at most about ``per_label`` rows of each label; without rows of both labels it gives every text the share of label 1."""
-    rows, odds = training_rows(docs, labels, per_label, most_bytes, id_col, text_col)
-    net, y = ConvNet(), np.array([r[1] for r in rows], np.int64)
+
+    def make() -> Callable[[list[list]], list[list]]:
+        return lambda columns: [columns[0], columns[1], [spread_chunks(t, chunks) for t in columns[2]]]
+
+    # a threshold on the hash leaves few rows to sort
+    likely = [(F.col("quality") == label) & (F.pmod("place", F.lit(1 << 20)) < int(min(1.0, 1.5 * per_label / n + 1e-4) * (1 << 20))) for label, n in odds.items()]
+    rows: list[tuple[int, bytes]] = []
+    for one in likely:
+        some = map_rows(usable.where(one), ["quality", "place", text_col], "quality int, place bigint, data binary", make, [pa.int32(), pa.int64(), pa.binary()])
+        first = some.orderBy(F.pmod("place", F.lit(1 << 20)), "place", "data").limit(per_label).collect()
+        rows += [(r["quality"], bytes(r["data"])) for r in first]
+    return sorted(rows), odds
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, chunks: int = SAMPLE_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> ConvNet:
+    """A network from at most ``per_label`` rows of each label; without rows of both labels it gives every text the share of label 1."""
+    rows, odds = training_rows(docs, labels, per_label, chunks, id_col, text_col)
+    net, y = ConvNet(), np.array([r[0] for r in rows], np.int64)
     true = (odds.get(1, 0) + 1) / (odds.get(0, 0) + 1)
     if len(set(y.tolist())) < 2:
         net.v[:] = 0
         net.c[0] = np.log(true)
         return net
-    net.fit([r[2].encode() for r in rows], y)
+    net.fit([r[1] for r in rows], y)
     net.c[0] += np.log(true)  # learnt as if both labels were as frequent
     return net
 
@@ -204,6 +221,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     return filter_rows(docs, [text_col], make)
 
 
-def accuracy(scored: DataFrame, labels: DataFrame) -> Iterable:
-    """Held-out counts by label and prediction."""
-    return scored.where("held_out").join(labels, "doc_id").groupBy("quality", "predicted").count().orderBy("quality", "predicted").collect()
+def held_out_figures(scored: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Accuracy and area under the ROC curve (by mean ranks) over the labelled rows that are held out."""
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    by_score = scored.where("held_out").join(known, "doc_id").groupBy("score").agg(F.sum("quality").alias("good"), F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("quality")).alias("right"))
+    below = F.sum(F.col("n") - F.col("good")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))  # labelled rows only
+    ranked = by_score.withColumn("won", F.col("good") * (F.coalesce(below, F.lit(0)) + (F.col("n") - F.col("good")) / 2))
+    r = ranked.agg(F.sum("good").alias("good"), F.sum("n").alias("n"), F.sum("right").alias("right"), F.sum("won").alias("won")).first()
+    return {"rows": r["n"], "accuracy": r["right"] / r["n"], "auc": r["won"] / (r["good"] * (r["n"] - r["good"]))}

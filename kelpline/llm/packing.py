@@ -11,11 +11,12 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from .common import slices
 from .fast_encode import fast
@@ -70,8 +71,8 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def tokenized_spans(docs: DataFrame, tokenizer: str, groups: int, capacity: int = 1024, end_id: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents' ids, with ``end_id`` at the end, cut into spans of ``capacity`` and a remainder.
 
-    ``pack_group`` deals documents to groups by a hash of id and ids; equal rows differ in their count within the task,
-    so copies of one row spread as well.
+    ``pack_group`` deals documents to groups by a hash of id and ids; equal rows differ in their task and their count within
+    it, so copies of one row spread as well.
     """
     id_type = docs.schema[id_col].dataType
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "pack_group", *["ids"] * with_ids]
@@ -79,7 +80,7 @@ def tokenized_spans(docs: DataFrame, tokenizer: str, groups: int, capacity: int
     schema = f"{id_col} {id_type.simpleString()}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, pack_group bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = fast(tokenizer), Counter()
+        encoder, seen, task = fast(tokenizer), Counter(), TaskContext.get().partitionId()
         for batch in batches:
             for part in slices(batch):
                 rows: list[list] = [[] for _ in names]
@@ -89,7 +90,7 @@ def tokenized_spans(docs: DataFrame, tokenizer: str, groups: int, capacity: int
                     data = ids.tobytes()
                     mark = zlib.crc32(str(key).encode(), zlib.crc32(data))
                     seen[mark] += 1
-                    group = zlib.crc32(f"{mark}/{seen[mark]}".encode()) % groups
+                    group = zlib.crc32(f"{mark}/{seen[mark]}/{task}".encode()) % groups
                     for start in range(0, n, capacity):
                         size = min(capacity, n - start)
                         for to, x in zip(rows, (key, start, size, zlib.crc32(data[4 * start : 4 * (start + size)]), n, group, *[ids[start : start + size].astype(np.int32)] * with_ids)):
@@ -109,16 +110,16 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     groups = max(1, -(-docs.count() // group_docs))
     spans = tokenized_spans(docs, tokenizer, groups, capacity, end_id, with_ids, id_col, text_col)
     schema = spans.drop("pack_group").schema.add("sequence_id", "long").add("offset", "long")
+    fields = to_arrow_schema(schema)
 
-    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", id_col, "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    def pack(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, [("length", "descending"), (id_col, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.take(order)
         bins, offsets = first_fit_decreasing(rows["length"].to_numpy(), capacity)
-        out = rows.drop(columns="pack_group")
-        out["sequence_id"] = int(key[0]) * BINS + bins
-        out["offset"] = offsets
-        return out
+        numbers = (rows["pack_group"][0].as_py() * BINS + bins, offsets)
+        return pa.Table.from_arrays([*(rows[c] for c in fields.names[:-2]), *map(pa.array, numbers)], schema=fields)
 
-    return spans.groupBy("pack_group").applyInPandas(pack, schema)
+    return spans.groupBy("pack_group").applyInArrow(pack, schema)
 
 
 def padding(spans: DataFrame, capacity: int = 1024) -> DataFrame:

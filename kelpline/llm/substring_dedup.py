@@ -323,8 +323,12 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, carry: tuple[str, ...] = ("
 
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
-    """The documents with repeated passages removed; texts that lose nothing stay as they are, ``n_chars`` follows the text."""
-    done = deduplicate(docs, carry=tuple(docs.columns))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return done.withColumns(changed).select(*docs.columns)
+    """The documents with repeated passages removed; texts that lose nothing stay as they are, ``n_chars`` follows the text.
+
+    Columns go by their places meanwhile, so they may have any names.
+    """
+    place = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    done = deduplicate(docs.toDF(*place.values()), carry=tuple(place.values()), id_col=place["doc_id"], text_col=place["text"])
+    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("bigint")}
+    now = {c: F.when(F.col("n_removed") > 0, changed[c]).otherwise(F.col(p)) if c in changed else F.col(p) for c, p in place.items()}
+    return done.select(*(x.alias(c) for c, x in now.items()))
