@@ -2,7 +2,7 @@
 
 1. quality rules: rejected documents go;
 2. quality classifier: rejected documents go;
-3. SimHash near-duplicates: the document with the least id of each group stays;
+3. SimHash near-duplicates (five-word shingles, similarity of 0.8 or more): the document with the least id of each group stays;
 4. substring dedup: words of passages that a document with a smaller id has are removed from the text;
 5. packing: a row per span of a sequence.
 
@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import common, conv_quality, packing, quality_rules, simhash, substring_dedup
+from kelpline.llm import common, conv_quality, near_texts, packing, quality_rules, substring_dedup
 from kelpline.llm.common import cut, table
 from kelpline.llm.queries import TOKENIZER
 
@@ -29,7 +29,7 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_texts.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -151,7 +151,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, chunks: in
     labels has the least.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col))
-    usable = docs.join(sent(known), id_col).withColumn("place", F.xxhash64(id_col, text_col))
+    usable = docs.select(id_col, text_col).join(sent(known), id_col).withColumn("place", F.xxhash64(id_col, text_col))
     odds = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
 
     def make() -> Callable[[list[list]], list[list]]:

@@ -26,11 +26,13 @@ SHINGLE, RADIUS, PIVOTS = 4, 4, 16
 SHIFTED = 64
 
 
-def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each whole text: bit set if set in over half the shingles' XXH64 (seed 42); zero without words."""
+def shingle_hashes(texts: list[list[bytes]], width: int) -> tuple[bytes, np.ndarray]:
+    """XXH64 (seed 42, 8 bytes each, highest first) of all shingles of texts given as words, and how many each text has.
+
+    Repeats are included; a text of fewer words than ``width`` is one shingle, one without words has none.
+    """
     h, data, counts = xxhash.xxh64_digest, [], []
-    for text in texts:
-        words = text.encode().lower().split() if text else []
+    for words in texts:
         n = len(words)
         if n <= width:
             data += [h(b" ".join(words), 42)] * bool(n)
@@ -43,18 +45,28 @@ def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray
         begins[0] = 0
         data += [h(joined[a:b], 42) for a, b in zip(begins[: n - width + 1].tolist(), (ends[width - 1 :] - 1).tolist())]
         counts.append(n - width + 1)
-    out, sizes = np.zeros(len(texts), np.uint64), np.array(counts, np.int64)
-    if not data:
+    return b"".join(data), np.array(counts, np.int64)
+
+
+def fingerprints_from(hashes: bytes, counts: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each text: bit set if set in over half the hashes; zero without any."""
+    out = np.zeros(len(counts), np.uint64)
+    if not hashes:
         return out
-    bits = np.unpackbits(np.frombuffer(b"".join(data), np.uint8).reshape(-1, 8), axis=1)
-    some = np.flatnonzero(sizes)
-    starts = np.cumsum(sizes[some]) - sizes[some]
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
+    some = np.flatnonzero(counts)
+    starts = np.cumsum(counts[some]) - counts[some]
     set_in = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    packed = np.packbits(2 * set_in > sizes[some, None], axis=1)  # first bit of a digest is the highest
+    packed = np.packbits(2 * set_in > counts[some, None], axis=1)  # first bit of a digest is the highest
     out[some] = packed.reshape(-1).view(">u8").astype(np.uint64)
     return out
 
 
+def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
+    """64-bit SimHash of each whole text, over its lower-case words."""
+    return fingerprints_from(*shingle_hashes([t.encode().lower().split() if t else [] for t in texts], width))
+
+
 def pivot_table(size: int = PIVOTS, seed: int = 11) -> np.ndarray:
     """Reference fingerprints: random ones, the same on every machine."""
     return np.random.default_rng(seed).integers(0, 2**64, size, dtype=np.uint64, endpoint=False)
@@ -141,45 +153,46 @@ def links_in_buckets(keys: np.ndarray, prints: np.ndarray, tables: np.ndarray, r
     return np.concatenate(a), np.concatenate(b)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Number columns of rows sorted by the first, in runs that end where a group of equal keys ends."""
+    held: list[tuple] = []
+    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        got = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns))
+        if held and held[-1][0][-1] != got[0][0]:
+            yield join(held)
+            held = []
+        last = int(np.searchsorted(got[0], got[0][-1]))  # this group may go on in the next batch
+        if last:
+            yield join([*held, tuple(x[:last] for x in got)])
+            held = []
+        held.append(tuple(x[last:] for x in got))
+    if held:
+        yield join(held)
+
+
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, pivots: int = PIVOTS) -> DataFrame:
     """Links (``a``, ``b``) between distinct fingerprints (``fp`` longs) within the radius, enough to connect all that are connected."""
     masks = block_scheme(prints.count(), radius)
     table = pivot_table(pivots)
-    spread = pa.schema([("bucket", pa.int64()), ("fp", pa.int64()), ("pivots", pa.binary())])
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            rows = [bytes(r) for r in distances(fp, table)]
             for number, mask in enumerate(masks):
                 key = ((fp & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(number * 0x2545F4914F6CDD1D % 2**64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)), pa.array(rows, pa.binary())], schema=spread)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64))], names=["bucket", "fp"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-
-        def links(keys, fp, near) -> Iterator[pa.RecordBatch]:
-            if len(keys) > 1:
-                a, b = links_in_buckets(keys, fp, near, radius)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
+        for keys, fp in whole_groups(batches, 2):
+            fp = fp.view(np.uint64)
+            a, b = links_in_buckets(keys, fp, distances(fp, table), radius)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[b].view(np.int64))], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            got = (
-                batch.column(0).to_numpy(zero_copy_only=False),
-                batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64),
-                np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(batch.num_rows, -1),
-            )
-            now = got if held is None else tuple(np.concatenate(x) for x in zip(held, got))
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-            yield from links(*(x[:last] for x in now))
-            held = tuple(x[last:] for x in now)
-        if held is not None:
-            yield from links(*held)
-
-    dealt = prints.select("fp").mapInArrow(deal, "bucket bigint, fp bigint, pivots binary")
+    dealt = prints.select("fp").mapInArrow(deal, "bucket bigint, fp bigint")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(meet, "a bigint, b bigint")
 
 
@@ -203,17 +216,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
     each = cut(fingerprints(docs, width, id_col, text_col), "simhash")
     distinct = each.groupBy("fp").agg(F.min(id_col).alias("least"))
     roots = components(fingerprint_links(distinct, radius), "simhash-links")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = distinct.join(component_ids(distinct, roots, "fp"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return each.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each group of near-duplicates, with all its columns.
+def component_ids(distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``component_id`` (the smallest ``least``) of those that have a root.
 
-    Rows without an id can't be named and stay; rows that repeat the least id are one document and stay.  Ids of the others are
-    broadcast to the texts up to a bound; beyond it both are shuffled.
+    Linked ones are few; the least id of each root goes to them by broadcast up to a bound, so a large component isn't gathered.
     """
-    gone = cut(near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "simhash-gone")
-    return docs.join(sent(gone), "doc_id", "left_anti").select(*docs.columns)
+    linked = cut(distinct.join(roots, distinct[key] == roots.node).select(key, "least", "root"), "simhash-linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    return linked.join(sent(least), "root").select(key, "component_id")

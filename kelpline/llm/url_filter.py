@@ -9,44 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .url_table import labelled_urls
+
 BITS, SIZES = 16, (3, 4, 5)
 #: Rules: verdict, host (it and all its subdomains) and path prefix.  The longest that fits wins.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: The labelled URLs that the filter learns from: 1 for block.
-LABELLED = (
-    ("http://win-casino-bonus.example/free-spins/claim", 1),
-    ("http://cheap-pills-online.example/buy/viagra", 1),
-    ("https://adult-dating-now.example/signup?ref=9", 1),
-    ("http://track.click-ads.example/redirect/go", 1),
-    ("https://free-crypto-giveaway.example/claim/bonus", 1),
-    ("http://xxx-video-tube.example/watch/hot", 1),
-    ("http://loan-fast-cash.example/apply/now", 1),
-    ("https://seo-backlinks-cheap.example/buy/links", 1),
-    ("http://download-crack-keygen.example/warez/free", 1),
-    ("http://casino-slots.example/jackpot/play", 1),
-    ("https://replica-watches-sale.example/shop/discount", 1),
-    ("http://ads.popup-network.example/banner/click", 1),
-    ("https://betting-odds-tips.example/promo/free-bet", 1),
-    ("http://weight-loss-miracle.example/order/now", 1),
-    ("https://sexy-singles-chat.example/join/free", 1),
-    ("http://torrent-movies-free.example/download/full", 1),
-    ("https://news.example/world/2024/03/report", 0),
-    ("https://www.university.example/research/papers/17", 0),
-    ("https://docs.library.example/en/guide/install", 0),
-    ("https://blog.gardening.example/fr/tomates", 0),
-    ("https://www.city.example/de/rathaus/termine", 0),
-    ("https://museum.example/es/exposiciones/2023", 0),
-    ("https://en.encyclopedia.example/wiki/Geology", 0),
-    ("https://recipes.example/fr/soupe-de-legumes", 0),
-    ("https://www.school.example/en/timetable.html", 0),
-    ("https://forum.cycling.example/thread/48213", 0),
-    ("https://journal.example/articles/8841/", 0),
-    ("https://m.weather.example/de/vorhersage", 0),
-    ("https://history.example/en/3045.html", 0),
-    ("https://www.hospital.example/departments/cardiology", 0),
-    ("https://archive.example/fr/53421?page=2", 0),
-    ("https://code.example/project/readme#top", 0),
-)
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:
@@ -96,13 +63,19 @@ class UrlModel:
         n = np.bincount(owner, minlength=len(texts))
         return np.bincount(owner, self.w[slots], len(texts)) / np.sqrt(np.maximum(n, 1)) + self.c
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 300, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 300, rate: float = 0.2, decay: float = 1e-5) -> UrlModel:
+        """Full-batch gradient steps on the cross-entropy, each weight's by the root of its squared gradients so far (rare n-grams count)."""
         slots, owner = ngram_slots(texts, self.bits)
-        scale = 1 / np.sqrt(np.bincount(owner, minlength=len(texts)))
+        used, place = np.unique(slots, return_inverse=True)
+        share = (1 / np.sqrt(np.bincount(owner, minlength=len(texts))))[owner]
+        w, past, past_c = np.zeros(len(used)), np.full(len(used), 1e-12), 1e-12
         for _ in range(steps):
-            err = 1 / (1 + np.exp(-self.logits(texts))) - labels
-            self.w -= rate * (np.bincount(slots, (err * scale)[owner], 1 << self.bits) / len(texts) + decay * self.w)
-            self.c -= rate * err.mean()
+            err = 1 / (1 + np.exp(-np.bincount(owner, w[place] * share, len(texts)) - self.c)) - labels
+            g, g_c = np.bincount(place, err[owner] * share, len(used)) / len(texts) + decay * w, err.mean()
+            past, past_c = past + g * g, past_c + g_c * g_c
+            w -= rate * g / np.sqrt(past)
+            self.c -= rate * g_c / np.sqrt(past_c)
+        self.w[used] = w
         return self
 
 
@@ -110,10 +83,10 @@ def key_of(host: str, path: str) -> bytes:
     return f"{host}{path}".encode()
 
 
-def train(labelled: Iterable[tuple[str, int]] = LABELLED, bits: int = BITS) -> UrlModel:
-    """A model from a small labelled table (on the driver)."""
+def train(labelled: Iterable[tuple[str, int]] | None = None, bits: int = BITS) -> UrlModel:
+    """A model from a small labelled table (on the driver); by default the one that ``url_table`` makes."""
     texts, y = [], []
-    for url, label in labelled:
+    for url, label in labelled or labelled_urls():
         rest = url.partition("://")[2].split("?")[0].split("#")[0]
         host, slash, path = rest.partition("/")
         texts.append(key_of(host.lower(), slash + path))
