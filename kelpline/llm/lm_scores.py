@@ -20,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut, sent, slices, without_gc
+from .common import cut, packed, sent, slices, unpacked, without_gc
 from .substring_dedup import WordHashes
 
 #: Least size (a power of two) of the vocabulary under the uniform distribution; a corpus with more words has a larger one.
 WORD_BITS = 20
-#: Bits of a key.
-PAIR_BITS = 64
 #: Pseudo-counts: of the uniform distribution under single words, and of those under pairs.
 FLOOR, BACKOFF = 0.1, 4.0
 SLICE_BYTES = 5_000_000
@@ -42,11 +40,8 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return pair
 
 
-def token_slots(known: WordHashes, texts: list[str | None], *_: int) -> tuple[np.ndarray, ...]:
-    """Of all tokens of the texts: keys of the word, of the word before (a start mark at first) and of the pair; tokens a text.
-
-    Keys have 64 bits whatever else is given; callers once gave the sizes of fixed tables.
-    """
+def token_keys(known: WordHashes, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Of all tokens of the texts: 64-bit keys of the word, of the word before (a start mark at first) and of the pair; tokens a text."""
     found = [known.of(t.encode().lower().split()) if t else np.zeros(0, np.uint64) for t in texts]
     sizes = np.array([len(x) for x in found], np.int64)
     h = np.concatenate([*found, np.zeros(0, np.uint64)])
@@ -57,18 +52,6 @@ def token_slots(known: WordHashes, texts: list[str | None], *_: int) -> tuple[np
     return h, before, pair_keys(before, h), sizes
 
 
-def packed(x: np.ndarray) -> bytes:
-    """Whole numbers, lowest bytes first and compressed: small ones come to little also where engines hold rows in memory."""
-    data = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    flat = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, n).T).view("<u8").reshape(n).astype(np.int64)
-
-
 def gaps(keys: np.ndarray) -> bytes:
     """Rising keys as differences; in a bucket the highest bytes are zeros."""
     return packed(np.diff(keys, prepend=np.uint64(0)))
@@ -89,7 +72,7 @@ def slice_words(docs: DataFrame, target: F.Column, id_col: str, text_col: str) -
         with without_gc():
             for batch in batches:
                 for part in slices(batch, SLICE_BYTES):
-                    word, _, _, sizes = token_slots(known, part.column(1).to_pylist())
+                    word, _, _, sizes = token_keys(known, part.column(1).to_pylist())
                     mine = np.array(part.column(2).to_pylist(), bool)
                     keys, place, often = np.unique(word, return_inverse=True, return_counts=True)
                     order = np.argsort(-often, kind="stable")  # common words have small numbers
@@ -186,10 +169,11 @@ def losses(counts: np.ndarray, totals: tuple[int, int], vocabulary: int, slots:
 def score_documents(docs: DataFrame, labels: DataFrame, word_bits: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``n_tokens``, mean ``target_loss``, ``background_loss`` and ``score`` (their difference) of every row's whole text.
 
-    The target is the documents labelled good and not toxic.  Texts without words have no tokens and zeros.  Null ids and
+    The target is the documents labelled good and not toxic (by all their labels, if they have several).  Texts without words have no tokens and zeros.  Null ids and
     repeated rows are kept (each row counts in the background); without target documents the target model is the uniform one.
     """
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col(id_col).alias("good_id")).distinct()
+    least = labels.groupBy(F.col(id_col).alias("good_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    good = least.where("quality = 1 and coalesce(toxic, 0) = 0").select("good_id")
     good = sent(good)  # ids go to the texts; beyond the bound both are shuffled
     marked = docs.select(id_col, text_col).join(good, F.col(id_col) == F.col("good_id"), "left")
     parts = cut(slice_words(marked, F.col("good_id").isNotNull(), id_col, text_col), "lm-slices")

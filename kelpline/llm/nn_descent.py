@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search (operator 9).
 
-Equal vectors are one node.  Nodes lie in parts of about ``PART_NODES``; a part's vectors and neighbour lists are one row of
-numpy blobs, and every step is a Spark join of parts with the messages sent to them:
-
-* start: random-projection trees (fitted on a bounded sample) put every node into blocks of bounded size, where neighbours are
-  compared directly;
-* descent: a node and those that list it introduce their neighbours to each other (neighbours of neighbours); rounds go on until
-  few lists change;
+Equal vectors are one node.  Nodes lie in parts of about ``PART_NODES``, each a row of numpy blobs; every step is a Spark join of
+parts with the messages sent to them.  Vectors (in bytes) lie apart from neighbour lists, which alone are rewritten in each round,
+and numbers are sent as byte planes, compressed.
+
+* start: hyperplanes fitted on a bounded sample put nodes into blocks, random splits divide a block down to leaves of ``LEAF``
+  nodes, and neighbours are compared within leaves;
+* descent: a node and those that list it introduce their best neighbours to each other (neighbours of neighbours); rounds go on
+  until few lists change;
 * search: each query's beam asks the parts of unseen neighbours for their similarity and, where it is good enough, for their
   lists, until the best of the beam are all expanded.
 
@@ -22,16 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
+from .common import cut, drop_cut, packed, unpacked
 
-NEIGHBOURS, LISTED, TREES, LEAF, PART_NODES, SAMPLE = 32, 32, 6, 4096, 4096, 20_000
+NEIGHBOURS, LISTED, PART_NODES = 32, 16, 4096
+#: Blocks' target size, how often nodes are dealt to blocks, splits of each block, and nodes of a leaf.
+BLOCK, TREES, SPLITS, LEAF = 16_384, 2, 8, 256
+#: Planes are fitted to this many sampled vectors a block, for 2 ** DEEPEST blocks at most; beyond that, blocks grow.
+SAMPLE, DEEPEST = 32, 14
 BEAM, EXPANDED, QUERY_NODES = 160, 24, 128
-STABLE = 0.01  # descent ends once a round changes a smaller share of all list entries
-EMPTY = np.int64(-(2**63))
+STABLE = 0.02  # descent ends once a round changes a smaller share of all list entries
+NONE = -1
 
-STATE = "part bigint, ids binary, vectors binary, near binary, sims binary, fresh binary, changed bigint"
+BASE = "part bigint, ids binary, vectors binary"
+STATE = "part bigint, ids binary, near binary, sims binary, fresh binary, worst binary, changed bigint"
 MESSAGE = "part bigint, sender bigint, a binary, b binary, sims binary, fresh binary"
-STATE_NAMES, MESSAGE_NAMES = [[f.split()[0] for f in s.split(", ")] for s in (STATE, MESSAGE)]
 
 
 def _types(schema: str) -> pa.Schema:
@@ -43,6 +48,17 @@ def table_of(rows: list[tuple], schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(fields), fields.types)], schema=fields)
 
 
+def each_row(run: Callable[[dict], list[tuple]], schema: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of rows as one of batches, a row at a time."""
+
+    def over(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from table_of(run(batch.slice(i, 1).to_pylist()[0]), schema).to_batches()
+
+    return over
+
+
 def part_of(ids: np.ndarray, parts: int) -> np.ndarray:
     h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(32)
@@ -58,35 +74,45 @@ def by_part(ids: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield int(p[at[0]]), at
 
 
-def i8(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in bytes; each row has its own scale, which its similarities are divided by."""
-    scale = 127 / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-30)
-    return np.round(x * scale).astype(np.int8)
+def in_bytes(x: np.ndarray) -> np.ndarray:
+    """Vectors scaled to bytes, each by its own largest component."""
+    return np.round(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8)
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float32)
+def unit(data: bytes | np.ndarray, dim: int) -> np.ndarray:
+    x = np.frombuffer(data, np.int8).reshape(-1, dim).astype(np.float32)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def halves(x: np.ndarray) -> bytes:
+    """Similarities in 16 bits; bytes count them finer than that."""
+    return x.astype(np.float16).tobytes()
+
+
+def from_halves(data: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(data), np.float16).astype(np.float32)
+
+
+def numbers(data: Iterable[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *map(unpacked, data)])
+
+
 class State:
-    """A part's row as arrays."""
+    """A part's lists as arrays."""
 
-    def __init__(self, row: dict, dim: int, k: int) -> None:
-        self.part = row["part"]
-        self.ids = np.frombuffer(row["ids"], np.int64)
-        self.vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
+    def __init__(self, row: dict, k: int) -> None:
+        self.part, self.ids = row["part"], unpacked(row["ids"])
         n = len(self.ids)
-        self.near = np.frombuffer(row["near"], np.int64).reshape(n, k) if row["near"] else np.full((n, k), EMPTY)
-        self.sims = np.frombuffer(row["sims"], np.float32).reshape(n, k) if row["sims"] else np.full((n, k), -np.inf, np.float32)
+        self.near = unpacked(row["near"]).reshape(n, k) if row["near"] else np.full((n, k), NONE)
+        self.sims = from_halves([row["sims"]]).reshape(n, k) if row["sims"] else np.full((n, k), -np.inf, np.float32)
         self.fresh = np.frombuffer(row["fresh"], bool).reshape(n, k) if row["fresh"] else np.zeros((n, k), bool)
 
     def row(self, changed: int) -> tuple:
-        return self.part, self.ids.tobytes(), self.vectors.tobytes(), self.near.tobytes(), self.sims.tobytes(), self.fresh.tobytes(), changed
+        return self.part, packed(self.ids), packed(self.near.ravel()), halves(self.sims), self.fresh.tobytes(), halves(self.sims[:, -1]), changed
 
 
 def best_per_owner(owner: np.ndarray, other: np.ndarray, sims: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k most similar distinct others of each owner (0..n-1), as (n, k) arrays with EMPTY at the end."""
+    """The k most similar distinct others of each owner (0..n-1), as (n, k) arrays with NONE at the end."""
     order = np.lexsort((other, owner))
     owner, other, sims = owner[order], other[order], sims[order]
     keep = np.ones(len(owner), bool)
@@ -96,42 +122,37 @@ def best_per_owner(owner: np.ndarray, other: np.ndarray, sims: np.ndarray, n: in
     owner, other, sims = owner[order], other[order], sims[order]
     rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
     top = rank < k
-    near, best = np.full((n, k), EMPTY), np.full((n, k), -np.inf, np.float32)
+    near, best = np.full((n, k), NONE), np.full((n, k), -np.inf, np.float32)
     near[owner[top], rank[top]], best[owner[top], rank[top]] = other[top], sims[top]
     return near, best
 
 
-def merged(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def merged(k: int, listed: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A part's lists and pairs proposed to it -> the better lists, with what is new in them."""
 
     def run(states: pa.Table, messages: pa.Table) -> pa.Table:
         if not states.num_rows:
             return table_of([], STATE)
-        s = State(states.to_pylist()[0], dim, k)
-        a = np.concatenate([np.frombuffer(x, np.int64) for x in messages["a"].to_pylist()] or [np.zeros(0, np.int64)])
-        b = np.concatenate([np.frombuffer(x, np.int64) for x in messages["b"].to_pylist()] or [np.zeros(0, np.int64)])
-        sims = np.concatenate([np.frombuffer(x, np.float32) for x in messages["sims"].to_pylist()] or [np.zeros(0, np.float32)])
-        at = np.searchsorted(s.ids, a)
+        s = State(states.to_pylist()[0], k)
+        at, b, sims = np.searchsorted(s.ids, numbers(messages["a"].to_pylist())), numbers(messages["b"].to_pylist()), from_halves(messages["sims"].to_pylist())
         better = sims > s.sims[at, -1]
         at, b, sims = at[better], b[better], sims[better]
-        held = s.near != EMPTY
+        held = s.near != NONE
         owner = np.concatenate([np.nonzero(held)[0], at])
         near, best = best_per_owner(owner, np.concatenate([s.near[held], b]), np.concatenate([s.sims[held], sims]), len(s.ids), k)
-        # an entry stays old if it was in the list before; lists are short, so compare all with all, some rows at a time
+        # entries that were in the list and had their turn aren't fresh; lists are short, so compare all with all, some rows at a time
+        past = np.where(s.fresh & ~first_of(held & s.fresh, listed), NONE - 1, s.near)
         known = np.zeros(near.shape, bool)
         for i in range(0, len(near), 1024):
-            known[i : i + 1024] = (near[i : i + 1024, :, None] == s.near[i : i + 1024, None, :]).any(axis=2)
-        fresh = (near != EMPTY) & ~known
-        changed = int(fresh.sum())
-        # entries that took part in the last round aren't fresh any more
-        s.near, s.sims, s.fresh = near, best, fresh
-        return table_of([s.row(changed)], STATE)
+            known[i : i + 1024] = (near[i : i + 1024, :, None] == past[i : i + 1024, None, :]).any(axis=2)
+        s.near, s.sims, s.fresh = near, best, (near != NONE) & ~known
+        return table_of([s.row(int(s.fresh.sum()))], STATE)
 
     return run
 
 
 def proposals(a: np.ndarray, b: np.ndarray, sims: np.ndarray, parts: int) -> list[tuple]:
-    return [(p, 0, a[at].tobytes(), b[at].tobytes(), sims[at].astype(np.float32).tobytes(), None) for p, at in by_part(a, parts)]
+    return [(p, 0, packed(a[at]), packed(b[at]), halves(sims[at]), None) for p, at in by_part(a, parts)]
 
 
 # -- start ---------------------------------------------------------------
@@ -164,41 +185,58 @@ def leaves(x: np.ndarray, tree: list[tuple[np.ndarray, float]]) -> np.ndarray:
     return node
 
 
-def dealt(trees: list, parts: int, dim: int, blocks: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Nodes -> a message per tree and block."""
+def dealt(trees: list, dim: int) -> Callable[[dict], list[tuple]]:
+    """A part's nodes -> a message per tree and block."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
-                small, rows = i8(x), []
-                for t, tree in enumerate(trees):
-                    leaf = leaves(x, tree) * blocks + part_of(ids ^ np.int64(t + 1), blocks)
-                    for v in np.unique(leaf):
-                        own = np.flatnonzero(leaf == v)
-                        rows.append((int(v) * len(trees) + t, 0, ids[own].tobytes(), small[own].tobytes(), None, None))
-                yield from table_of(rows, MESSAGE).to_batches()
+    def run(row: dict) -> list[tuple]:
+        ids, x = unpacked(row["ids"]), unit(row["vectors"], dim)
+        small, rows = np.frombuffer(row["vectors"], np.int8).reshape(-1, dim), []
+        for t, tree in enumerate(trees):
+            leaf = leaves(x, tree)
+            for v in np.unique(leaf):
+                own = np.flatnonzero(leaf == v)
+                rows.append((int(v) * len(trees) + t, 0, packed(ids[own]), small[own].tobytes(), None, None))
+        return rows
 
     return run
 
 
-def unit8(data: bytes, dim: int) -> np.ndarray:
-    return unit(np.frombuffer(data, np.int8).reshape(-1, dim))
+def random_leaves(x: np.ndarray, leaf: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Rows divided in halves by random directions until no part has over ``leaf``."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= leaf:
+            out.append(own)
+            continue
+        order = own[np.argsort(x[own] @ rng.normal(size=x.shape[1]).astype(np.float32), kind="stable")]
+        todo += [order[: len(own) // 2], order[len(own) // 2 :]]
+    return out
 
 
-def compared(k: int, parts: int, dim: int) -> Callable[[pa.Table], pa.Table]:
-    """One block -> the best pairs within it, to their owners' parts."""
+def compared(k: int, leaf: int, splits: int, parts: int, dim: int) -> Callable[[pa.Table], pa.Table]:
+    """One block -> the best pairs within its leaves, to their owners' parts."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(block["a"].to_pylist()), np.int64)
-        x = unit8(b"".join(block["b"].to_pylist()), dim)
-        rows, most = [], min(k, len(ids) - 1)
-        for i in range(0, len(ids) if most > 0 else 0, 512):
-            sims = x[i : i + 512] @ x.T
-            sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -np.inf
-            best = np.argpartition(-sims, most - 1, axis=1)[:, :most]
-            rows.append((np.repeat(ids[i : i + 512], most), ids[best].ravel(), np.take_along_axis(sims, best, axis=1).ravel()))
-        return table_of(proposals(*map(np.concatenate, zip(*rows)), parts) if rows else [], MESSAGE)
+        ids, x = numbers(block["a"].to_pylist()), unit(b"".join(block["b"].to_pylist()), dim)
+        rng, near, best = np.random.default_rng(block["part"][0].as_py()), None, None
+        for _ in range(splits if len(ids) > leaf else 1):
+            owner, other, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+            if near is not None:
+                held = near != NONE
+                owner, other, sims = [np.nonzero(held)[0]], [near[held]], [best[held]]
+            for own in random_leaves(x, leaf, rng):
+                most = min(k, len(own) - 1)
+                if most > 0:
+                    s = x[own] @ x[own].T
+                    np.fill_diagonal(s, -np.inf)
+                    top = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                    owner.append(np.repeat(own, most))
+                    other.append(own[top].ravel())
+                    sims.append(np.take_along_axis(s, top, axis=1).ravel())
+            near, best = best_per_owner(*map(np.concatenate, (owner, other, sims)), len(ids), k)
+        held = near != NONE
+        return table_of(proposals(ids[np.nonzero(held)[0]], ids[near[held]], best[held], parts), MESSAGE)
 
     return run
 
@@ -206,216 +244,247 @@ def compared(k: int, parts: int, dim: int) -> Callable[[pa.Table], pa.Table]:
 # -- descent -------------------------------------------------------------
 
 
-def introduced(k: int, parts: int, dim: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each list entry to the listed node's part: who lists it."""
+def first_of(chosen: np.ndarray, listed: int) -> np.ndarray:
+    """The first ``listed`` chosen entries of each list (lists begin with the most similar)."""
+    return chosen & (np.cumsum(chosen, axis=1) <= listed)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = State(row, dim, k)
-                held = s.near != EMPTY
-                owner, other, sims, fresh = np.broadcast_to(s.ids[:, None], held.shape)[held], s.near[held], s.sims[held], s.fresh[held]
-                rows = [(p, s.part, other[at].tobytes(), owner[at].tobytes(), sims[at].tobytes(), fresh[at].tobytes()) for p, at in by_part(other, parts)]
-                yield from table_of(rows, MESSAGE).to_batches()
+
+def introduced(k: int, listed: int, parts: int) -> Callable[[dict], list[tuple]]:
+    """Each list's best fresh and old entries to the listed nodes' parts: who lists them, the best of this part's for each."""
+
+    def run(row: dict) -> list[tuple]:
+        s, rows = State(row, k), []
+        held = s.near != NONE
+        for old, chosen in enumerate((held & s.fresh, held & ~s.fresh)):
+            i, j = np.nonzero(first_of(chosen, listed))
+            other, sims = s.near[i, j], s.sims[i, j]
+            nodes, place = np.unique(other, return_inverse=True)
+            best, likeness = best_per_owner(place, s.ids[i], sims, len(nodes), listed)
+            some = best != NONE
+            target, who, sims = nodes[np.nonzero(some)[0]], best[some], likeness[some]
+            rows += [(p, old, packed(target[at]), packed(who[at]), halves(sims[at]), None) for p, at in by_part(target, parts)]
+        return rows
 
     return run
 
 
-def gathered(k: int, listed: int, parts: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def gathered(k: int, listed: int, parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A part's lists and who lists its nodes -> for each node up to ``listed`` fresh and as many old members, and requests for
     the members' vectors.  Rows with a sender of -1 are the part's own; the others go to the members' parts."""
 
     def run(states: pa.Table, messages: pa.Table) -> pa.Table:
         if not states.num_rows:
             return table_of([], MESSAGE)
-        s = State(states.to_pylist()[0], dim, k)
-        held = s.near != EMPTY
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in messages[name].to_pylist()] or [np.zeros(0, kind)])
-        owner = np.concatenate([np.nonzero(held)[0], np.searchsorted(s.ids, join("a", np.int64))])
-        other = np.concatenate([s.near[held], join("b", np.int64)])
-        sims = np.concatenate([s.sims[held], join("sims", np.float32)])
-        fresh = np.concatenate([s.fresh[held], join("fresh", bool)])
-        new, _ = best_per_owner(owner[fresh], other[fresh], sims[fresh], len(s.ids), listed)
-        old, _ = best_per_owner(owner[~fresh], other[~fresh], sims[~fresh], len(s.ids), listed)
-        rows = [(s.part, -1, new.tobytes(), old.tobytes(), None, None)]
-        busy = (new != EMPTY).any(axis=1)  # others introduce nobody new
-        wanted = np.unique(np.concatenate([new[busy].ravel(), old[busy].ravel()]))
-        wanted = wanted[wanted != EMPTY]
-        rows += [(p, s.part, wanted[at].tobytes(), None, None, None) for p, at in by_part(wanted, parts)]
+        s, members = State(states.to_pylist()[0], k), []
+        held, sent = s.near != NONE, messages.to_pylist()
+        for old, chosen in enumerate((held & s.fresh, held & ~s.fresh)):
+            chosen, mine = first_of(chosen, listed), [m for m in sent if m["sender"] == old]
+            owner = np.concatenate([np.nonzero(chosen)[0], np.searchsorted(s.ids, numbers(m["a"] for m in mine))])
+            other, sims = np.concatenate([s.near[chosen], numbers(m["b"] for m in mine)]), np.concatenate([s.sims[chosen], from_halves(m["sims"] for m in mine)])
+            members.append(best_per_owner(owner, other, sims, len(s.ids), listed)[0])
+        new, old = members
+        busy = (new != NONE).any(axis=1)  # others introduce nobody new
+        new, old = new[busy], old[busy]
+        rows = [(s.part, -1, packed(new.ravel()), packed(old.ravel()), None, None)]
+        wanted = np.unique(np.concatenate([new.ravel(), old.ravel()]))
+        wanted = wanted[wanted != NONE]
+        rows += [(p, s.part, packed(wanted[at]), None, None, None) for p, at in by_part(wanted, parts)]
         return table_of(rows, MESSAGE)
 
     return run
 
 
-def answered(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A part's state and requests -> the nodes' vectors (in bytes) and the least similarity in their lists."""
+def answered(dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A part's vectors (with ``worst``, the least similarity in each list) and requests -> those of the nodes asked for."""
 
-    def run(states: pa.Table, messages: pa.Table) -> pa.Table:
-        if not states.num_rows:
+    def run(base: pa.Table, messages: pa.Table) -> pa.Table:
+        if not base.num_rows:
             return table_of([], MESSAGE)
-        s = State(states.to_pylist()[0], dim, k)
-        small, rows = i8(s.vectors), []
+        own, rows = base.to_pylist()[0], []
+        ids, small, worst = unpacked(own["ids"]), np.frombuffer(own["vectors"], np.int8).reshape(-1, dim), np.frombuffer(own["worst"], np.float16)
         for m in messages.to_pylist():
-            ids = np.frombuffer(m["a"], np.int64)
-            at = np.searchsorted(s.ids, ids)
-            rows.append((m["sender"], 0, m["a"], small[at].tobytes(), s.sims[at, -1].tobytes(), None))
+            at = np.searchsorted(ids, unpacked(m["a"]))
+            rows.append((m["sender"], 0, m["a"], small[at].tobytes(), worst[at].tobytes(), None))
         return table_of(rows, MESSAGE)
 
     return run
 
 
-def met(listed: int, parts: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A part's members and their vectors -> pairs of a fresh member with any other that may improve a list."""
+def met(k: int, listed: int, parts: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A part's members and their vectors -> pairs of a fresh member with any other that may improve a list, the best of each node."""
 
     def run(lists: pa.Table, replies: pa.Table) -> pa.Table:
         if not lists.num_rows or not replies.num_rows:
             return table_of([], MESSAGE)
         own = lists.to_pylist()[0]
-        new, old = (np.frombuffer(own[c], np.int64).reshape(-1, listed) for c in ("a", "b"))
-        ids = np.concatenate([np.frombuffer(x, np.int64) for x in replies["a"].to_pylist()])
+        new, old = (unpacked(own[c]).reshape(-1, listed) for c in ("a", "b"))
+        ids = numbers(replies["a"].to_pylist())
         order = np.argsort(ids)
-        ids, x = ids[order], unit8(b"".join(replies["b"].to_pylist()), dim)[order]
-        worst = np.concatenate([np.frombuffer(v, np.float32) for v in replies["sims"].to_pylist()])[order]
-        out: list[tuple] = []
-        busy = np.flatnonzero((new != EMPTY).any(axis=1))
-        for i in range(0, len(busy), 512):
-            left = new[busy[i : i + 512]]
-            both = np.concatenate([left, old[busy[i : i + 512]]], axis=1)
-            none = both == EMPTY
+        ids, x = ids[order], unit(b"".join(replies["b"].to_pylist()), dim)[order]
+        worst = from_halves(replies["sims"].to_pylist())[order]
+        owner, other, likeness = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for i in range(0, len(new), 512):
+            both = np.concatenate([new[i : i + 512], old[i : i + 512]], axis=1)
+            none = both == NONE
             at = np.minimum(np.searchsorted(ids, both), len(ids) - 1)
             v = x[at]
             sims = np.matmul(v[:, :listed], v.transpose(0, 2, 1))
             limit = np.where(none, np.inf, worst[at])
-            sims[none[:, :listed, None] | none[:, None, :] | (left[:, :, None] == both[:, None, :])] = -np.inf
+            sims[none[:, :listed, None] | none[:, None, :] | (both[:, :listed, None] == both[:, None, :])] = -np.inf
             for gain, flip in ((sims > limit[:, :listed, None], False), (sims > limit[:, None, :], True)):
                 c, l, r = np.nonzero(gain)
-                pair = (left[c, l], both[c, r]) if not flip else (both[c, r], left[c, l])
-                out.append((*pair, sims[c, l, r]))
-        if not out:
-            return table_of([], MESSAGE)
-        a, b, sims = map(np.concatenate, zip(*out))
-        order = np.lexsort((b, a))
-        a, b, sims = a[order], b[order], sims[order]
-        once = np.ones(len(a), bool)
-        once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return table_of(proposals(a[once], b[once], sims[once], parts), MESSAGE)
+                pair = (at[c, l], at[c, r])
+                owner.append(pair[flip])
+                other.append(pair[not flip])
+                likeness.append(sims[c, l, r])
+        near, best = best_per_owner(*map(np.concatenate, (owner, other, likeness)), len(ids), k)
+        held = near != NONE
+        return table_of(proposals(ids[np.nonzero(held)[0]], ids[near[held]], best[held], parts), MESSAGE)
 
     return run
 
 
-def build_graph(nodes: DataFrame, count: int, dim: int, k: int = NEIGHBOURS, listed: int = LISTED, trees: int = TREES, leaf: int = LEAF, part_nodes: int = PART_NODES) -> tuple[DataFrame, int]:
-    """Nodes (``node`` long, ``vector`` array<float>) -> part rows with neighbour lists, and the number of parts."""
-    parts = max(1, -(-count // part_nodes))
-    share = min(1.0, SAMPLE / max(1, count))
-    sample = unit(np.array([r[0] for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("vector").collect()], np.float32).reshape(-1, dim))
-    depth = max(0, int(np.ceil(np.log2(count / leaf)))) if count > leaf else 0
-    depth, beyond = min(depth, 10), max(0, depth - 10)  # deeper leaves are dealt at random
-    planes = fit_trees(sample, depth, trees if depth else 1)
+def joined(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(f, schema)
+
+
+def node_vectors(nodes: DataFrame, dim: int, parts: int) -> DataFrame:
+    """Nodes (``node`` long, ``vector`` array<double>) -> a row per part."""
 
     def parted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = unit(np.array(batch.column(1).to_pylist(), np.float32).reshape(-1, dim))
-            yield from table_of([(p, 0, ids[at].tobytes(), x[at].tobytes(), None, None) for p, at in by_part(ids, parts)], MESSAGE).to_batches()
+            x = np.array(batch.column(1).flatten()).reshape(-1, dim)
+            small = in_bytes(x / np.abs(x).max(axis=1, keepdims=True)) if len(x) else np.zeros((0, dim), np.int8)
+            yield from table_of([(p, packed(ids[at]), small[at].tobytes()) for p, at in by_part(ids, parts)], BASE).to_batches()
 
-    def packed(rows: pa.Table) -> pa.Table:
-        ids = np.frombuffer(b"".join(rows["a"].to_pylist()), np.int64)
-        x = np.frombuffer(b"".join(rows["b"].to_pylist()), np.float32).reshape(-1, dim)
+    def one_row(rows: pa.Table) -> pa.Table:
+        ids, small = numbers(rows["ids"].to_pylist()), np.frombuffer(b"".join(rows["vectors"].to_pylist()), np.int8).reshape(-1, dim)
         order = np.argsort(ids)
-        return table_of([(rows["part"][0].as_py(), ids[order].tobytes(), x[order].tobytes(), None, None, None, 0)], STATE)
+        return table_of([(rows["part"][0].as_py(), packed(ids[order]), small[order].tobytes())], BASE)
+
+    return nodes.select("node", "vector").mapInArrow(parted, BASE).groupBy("part").applyInArrow(one_row, BASE)
+
+
+def start_lists(base: DataFrame, nodes: DataFrame, count: int, dim: int, k: int, parts: int, block: int = BLOCK, trees: int = TREES, splits: int = SPLITS, leaf: int = LEAF) -> DataFrame:
+    """Every node's first list."""
+    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, count) / block)))))
+    share = min(1.0, 2 * SAMPLE * 2**depth / max(1, count)) if depth else 0.0
+    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").collect() if depth else []
+    sample = np.array([r[0] for r in some]).reshape(-1, dim)
+    planes = fit_trees(unit(in_bytes(sample), dim) if len(sample) else np.zeros((0, dim), np.float32), depth, trees if depth else 1)
+    blank = base.select("part", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("near", "binary"), ("sims", "binary"), ("fresh", "binary"), ("worst", "binary"), ("changed", "bigint"))))
+    pairs = base.mapInArrow(each_row(dealt(planes, dim), MESSAGE), MESSAGE).groupBy("part").applyInArrow(compared(k, leaf, splits, parts, dim), MESSAGE)
+    return cut(joined(blank, pairs, merged(k, k), STATE), "ann-lists")
+
+
+def descend(base: DataFrame, lists: DataFrame, dim: int, k: int, listed: int, parts: int) -> DataFrame:
+    """The lists after one round."""
+    members = cut(joined(lists, lists.mapInArrow(each_row(introduced(k, listed, parts), MESSAGE), MESSAGE), gathered(k, listed, parts), MESSAGE), "ann-members")
+    known = base.join(lists.select("part", "worst"), "part")
+    vectors = joined(known, members.where("sender >= 0"), answered(dim), MESSAGE)
+    found = joined(members.where("sender < 0"), vectors, met(k, listed, parts, dim), MESSAGE)
+    better = cut(joined(lists, found, merged(k, listed), STATE), "ann-lists")
+    drop_cut(base.sparkSession, [lists, members])
+    return better
+
 
-    blank = cut(nodes.select("node", "vector").mapInArrow(parted, MESSAGE).groupBy("part").applyInArrow(packed, STATE), "ann-nodes")
-    pairs = blank.mapInArrow(dealt(planes, parts, dim, 1 << beyond), MESSAGE).groupBy("part").applyInArrow(compared(k, parts, dim), MESSAGE)
-    join = lambda left, right, f, schema: left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(f, schema)
-    graph = cut(join(blank, pairs, merged(k, dim), STATE), "ann-graph")
-    drop_cut(nodes.sparkSession, [blank])
+def build_graph(nodes: DataFrame, count: int, dim: int, k: int = NEIGHBOURS, listed: int = LISTED, part_nodes: int = PART_NODES, **start: int) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes (``node`` long, ``vector`` array<double>) -> vectors and neighbour lists by part, and the number of parts."""
+    parts = max(1, -(-count // part_nodes))
+    base = cut(node_vectors(nodes, dim, parts), "ann-base")
+    lists = start_lists(base, nodes, count, dim, k, parts, **start)
     while True:
-        lists = cut(join(graph, graph.mapInArrow(introduced(k, parts, dim), MESSAGE), gathered(k, listed, parts, dim), MESSAGE), "ann-lists")
-        vectors = join(graph, lists.where("sender >= 0"), answered(k, dim), MESSAGE)
-        found = join(lists.where("sender < 0"), vectors, met(listed, parts, dim), MESSAGE)
-        better = cut(join(graph, found, merged(k, dim), STATE), "ann-graph")
-        drop_cut(nodes.sparkSession, [graph, lists])
-        graph = better
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= STABLE * count * k:
-            return graph, parts
+        lists = descend(base, lists, dim, k, listed, parts)
+        if (lists.agg(F.sum("changed")).first()[0] or 0) <= STABLE * count * k:
+            return base, lists, parts
 
 
 # -- search --------------------------------------------------------------
 
+
+def both_ways(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A part's vectors with lists, and who lists its nodes -> ``ids``, ``vectors`` and lists of 2 k nodes, its own and then those."""
+
+    def run(own: pa.Table, messages: pa.Table) -> pa.Table:
+        row, sent = own.to_pylist()[0], messages.to_pylist()
+        s = State(row, k)
+        owner, other = np.searchsorted(s.ids, numbers(m["a"] for m in sent)), numbers(m["b"] for m in sent)
+        fresh = ~(s.near[owner] == other[:, None]).any(axis=1)
+        back, _ = best_per_owner(owner[fresh], other[fresh], from_halves(m["sims"] for m in sent)[fresh], len(s.ids), k)
+        return table_of([(s.part, row["ids"], row["vectors"], packed(np.concatenate([s.near, back], axis=1).ravel()))], INDEX)
+
+    return run
+
+
+INDEX = "part bigint, ids binary, vectors binary, near binary"
 BEAMS = "part bigint, queries binary, nodes binary, vectors binary, ids binary, sims binary, done binary, near binary, seen binary, sizes binary, open bigint"
 
 
 class Beams:
-    """A query part's row as arrays: each query's best nodes so far, their lists, and all nodes it has seen."""
+    """A query part's row as arrays: each query's best nodes so far, the lists of those not expanded yet, and all nodes it has seen."""
 
     def __init__(self, row: dict, dim: int, k: int, beam: int) -> None:
         self.part = row["part"]
-        self.queries, self.nodes = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["nodes"], np.int64)
+        self.queries, self.nodes = unpacked(row["queries"]), unpacked(row["nodes"])
         n = len(self.queries)
-        self.vectors = np.frombuffer(row["vectors"], np.float32).reshape(n, dim)
-        self.ids = np.frombuffer(row["ids"], np.int64).reshape(n, beam).copy()
+        self.small = np.frombuffer(row["vectors"], np.int8).reshape(n, dim)
+        self.ids = unpacked(row["ids"]).reshape(n, beam)
         self.sims = np.frombuffer(row["sims"], np.float32).reshape(n, beam).copy()
         self.done = np.frombuffer(row["done"], bool).reshape(n, beam).copy()
-        self.near = np.frombuffer(row["near"], np.int64).reshape(n, beam, k).copy()
-        self.seen = np.split(np.frombuffer(row["seen"], np.int64), np.cumsum(np.frombuffer(row["sizes"], np.int64))[:-1])
+        self.near = unpacked(row["near"]).reshape(n, beam, k)
+        gaps, sizes = unpacked(row["seen"]), unpacked(row["sizes"])
+        self.seen = [np.cumsum(x) for x in np.split(gaps, np.cumsum(sizes)[:-1])]
 
     def row(self, open_: int) -> tuple:
-        sizes = np.array([len(x) for x in self.seen], np.int64)
-        return self.part, *(x.tobytes() for x in (self.queries, self.nodes, self.vectors, self.ids, self.sims, self.done, self.near, np.concatenate(self.seen), sizes)), open_
-
-
-def _table(rows: list[tuple]) -> pa.Table:
-    return table_of(rows, BEAMS)
-
-
-def asked(k: int, dim: int, beam: int, expanded: int, parts: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each query's next unexpanded nodes -> their unseen neighbours, asked of the parts that hold them."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Beams(row, dim, k, beam)
-                numbers, wanted = [], []
-                for q, want in enumerate(wishes(s, expanded)):
-                    numbers.append(np.full(len(want), q, np.int64))
-                    wanted.append(want)
-                number, ids = np.concatenate(numbers), np.concatenate(wanted)
-                rows = []
-                for p, at in by_part(ids, parts):
-                    who, where = np.unique(number[at], return_inverse=True)
-                    rows.append((p, s.part, ids[at].tobytes(), who.tobytes(), np.concatenate([s.vectors[who].ravel(), s.sims[who, -1], where.astype(np.float32)]).tobytes(), None))
-                yield from table_of(rows, MESSAGE).to_batches()
-
-    return run
+        gaps, sizes = np.concatenate([np.diff(x, prepend=0) for x in self.seen]), np.array([len(x) for x in self.seen], np.int64)
+        near = np.where(self.done[:, :, None], NONE, self.near)
+        return self.part, packed(self.queries), packed(self.nodes), self.small.tobytes(), packed(self.ids.ravel()), self.sims.tobytes(), self.done.tobytes(), packed(near.ravel()), packed(gaps), packed(sizes), open_
 
 
 def wishes(s: Beams, expanded: int) -> Iterator[np.ndarray]:
     """For each query the unseen neighbours of its best unexpanded nodes; on an empty beam its own node."""
     for q in range(len(s.queries)):
-        if s.ids[q, 0] == EMPTY:
+        if s.ids[q, 0] == NONE:
             yield np.setdiff1d(s.nodes[q : q + 1], s.seen[q])
             continue
-        at = np.flatnonzero(~s.done[q] & (s.ids[q] != EMPTY))[:expanded]
+        at = np.flatnonzero(~s.done[q] & (s.ids[q] != NONE))[:expanded]
         near = s.near[q, at].ravel()
-        yield np.setdiff1d(near[near != EMPTY], s.seen[q])
+        yield np.setdiff1d(near[near != NONE], s.seen[q])
+
+
+def asked(k: int, dim: int, beam: int, expanded: int, parts: int) -> Callable[[dict], list[tuple]]:
+    """Each query's next unexpanded nodes -> their unseen neighbours, asked of the parts that hold them."""
+
+    def run(row: dict) -> list[tuple]:
+        s, wanted = Beams(row, dim, k, beam), []
+        wanted = list(wishes(s, expanded))
+        number, ids = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted]), np.concatenate(wanted)
+        rows = []
+        for p, at in by_part(ids, parts):
+            who, where = np.unique(number[at], return_inverse=True)
+            rows.append((p, s.part, packed(np.concatenate([ids[at], where])), packed(who), s.sims[who, -1].tobytes(), s.small[who].tobytes()))
+        return rows
+
+    return run
 
 
 def replied(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A graph part and questions -> similarities, and the lists of nodes that enter the asking beam."""
 
-    def run(states: pa.Table, messages: pa.Table) -> pa.Table:
-        if not states.num_rows:
+    def run(index: pa.Table, messages: pa.Table) -> pa.Table:
+        if not index.num_rows or not messages.num_rows:
             return table_of([], MESSAGE)
-        s, rows = State(states.to_pylist()[0], dim, k), []
+        own, rows = index.to_pylist()[0], []
+        node, vectors = unpacked(own["ids"]), unit(own["vectors"], dim)
+        near = unpacked(own["near"]).reshape(len(node), k)
         for m in messages.to_pylist():
-            ids, who = np.frombuffer(m["a"], np.int64), np.frombuffer(m["b"], np.int64)
-            data = np.frombuffer(m["sims"], np.float32)
-            x, data = data[: len(who) * dim].reshape(-1, dim), data[len(who) * dim :]
-            worst, where = data[: len(who)], data[len(who) :].astype(np.int64)
-            at = np.searchsorted(s.ids, ids)
-            sims = np.einsum("ij,ij->i", s.vectors[at], x[where])
+            ids, where = unpacked(m["a"]).reshape(2, -1)
+            who, worst, x = unpacked(m["b"]), np.frombuffer(m["sims"], np.float32), unit(m["fresh"], dim)
+            at = np.searchsorted(node, ids)
+            sims = np.einsum("ij,ij->i", vectors[at], x[where])
             good = sims > worst[where]
-            rows.append((m["sender"], 0, np.concatenate([ids[good], who[where][good]]).tobytes(), s.near[at[good]].tobytes(), sims[good].tobytes(), None))
+            rows.append((m["sender"], 0, packed(np.concatenate([ids[good], who[where][good]])), packed(near[at[good]].ravel()), sims[good].tobytes(), None))
         return table_of(rows, MESSAGE)
 
     return run
@@ -424,15 +493,15 @@ def replied(k: int, dim: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
 def advanced(k: int, dim: int, beam: int, expanded: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Beams and replies -> the next beams, and how many queries still have something to expand."""
 
-    def run(states: pa.Table, messages: pa.Table) -> pa.Table:
-        s = Beams(states.to_pylist()[0], dim, k, beam)
+    def run(beams: pa.Table, messages: pa.Table) -> pa.Table:
+        s = Beams(beams.to_pylist()[0], dim, k, beam)
         s.seen = [np.union1d(a, w) for a, w in zip(s.seen, wishes(s, expanded))]
         for q in range(len(s.queries)):
-            s.done[q, np.flatnonzero(~s.done[q] & (s.ids[q] != EMPTY))[:expanded]] = True
-        both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in messages["a"].to_pylist()]
+            s.done[q, np.flatnonzero(~s.done[q] & (s.ids[q] != NONE))[:expanded]] = True
+        both = [unpacked(x).reshape(2, -1) for x in messages["a"].to_pylist()]
         ids, number = np.concatenate(both, axis=1) if both else np.zeros((2, 0), np.int64)
         sims = np.frombuffer(b"".join(messages["sims"].to_pylist()), np.float32)
-        near = np.frombuffer(b"".join(messages["b"].to_pylist()), np.int64).reshape(-1, k)
+        near = numbers(messages["b"].to_pylist()).reshape(-1, k)
         order = np.argsort(number, kind="stable")
         edges = np.searchsorted(number[order], np.arange(len(s.queries) + 1))
         for q, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -443,32 +512,37 @@ def advanced(k: int, dim: int, beam: int, expanded: int) -> Callable[[pa.Table,
             all_done, all_near = np.concatenate([s.done[q], np.zeros(b - a, bool)]), np.concatenate([s.near[q], near[at]])
             top = np.lexsort((all_ids, -all_sims))[:beam]
             s.ids[q], s.sims[q], s.done[q], s.near[q] = all_ids[top], all_sims[top], all_done[top], all_near[top]
-        still = int(((s.ids != EMPTY) & ~s.done).any(axis=1).sum())
-        return _table([s.row(still)])
+        still = int(((s.ids != NONE) & ~s.done).any(axis=1).sum())
+        return table_of([s.row(still)], BEAMS)
 
     return run
 
 
-def search(graph: DataFrame, parts: int, queries: DataFrame, count: int, dim: int, top: int, k: int = NEIGHBOURS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
+def search(base: DataFrame, lists: DataFrame, parts: int, queries: DataFrame, count: int, dim: int, top: int, k: int = NEIGHBOURS, beam: int = BEAM, expanded: int = EXPANDED) -> DataFrame:
     """Queries (``query_id``, ``node`` to enter the graph at, ``vector``) -> ``query_id``, ``node`` of the ``top`` nodes found.
 
     A query enters at its own node; that node is expanded like any other and may be among those found.
     """
     groups = max(1, -(-count // QUERY_NODES))
+    spark = base.sparkSession
 
     def start(rows: pa.Table) -> pa.Table:
         queries = rows["query_id"].to_numpy()
         order = np.argsort(queries, kind="stable")
-        n, x = len(queries), unit(np.array(rows["vector"].to_pylist(), np.float32).reshape(-1, dim))
-        filled = (np.full((n, beam), EMPTY), np.full((n, beam), -np.inf, np.float32), np.zeros((n, beam), bool), np.full((n, beam, k), EMPTY))
-        return _table([(rows["part"][0].as_py(), queries[order].tobytes(), rows["node"].to_numpy()[order].tobytes(), x[order].tobytes(), *(f.tobytes() for f in filled), b"", np.zeros(n, np.int64).tobytes(), n)])
-
+        n, x = len(queries), np.array(rows["vector"].combine_chunks().flatten()).reshape(-1, dim)
+        small = in_bytes(x / np.abs(x).max(axis=1, keepdims=True))[order]
+        ids, near, zero = packed(np.full(n * beam, NONE)), packed(np.full(n * beam * k, NONE)), packed(np.zeros(n, np.int64))
+        blank = (ids, np.full((n, beam), -np.inf, np.float32).tobytes(), np.zeros((n, beam), bool).tobytes(), near, packed(np.zeros(0, np.int64)), zero)
+        return table_of([(rows["part"][0].as_py(), packed(queries[order]), packed(rows["node"].to_numpy()[order]), small.tobytes(), *blank, n)], BEAMS)
+
+    vectors = lists.join(base.select("part", "vectors"), "part")
+    index, k = cut(joined(vectors, lists.mapInArrow(each_row(introduced(k, k, parts), MESSAGE), MESSAGE), both_ways(k), INDEX), "ann-index"), 2 * k
     spread = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("part"), "query_id", "node", "vector")
     beams = cut(spread.groupBy("part").applyInArrow(start, BEAMS), "ann-beams")
     while (beams.agg(F.sum("open")).first()[0] or 0) > 0:
-        replies = graph.groupBy("part").cogroup(beams.where("open > 0").mapInArrow(asked(k, dim, beam, expanded, parts), MESSAGE).groupBy("part")).applyInArrow(replied(k, dim), MESSAGE)
-        onward = cut(beams.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(advanced(k, dim, beam, expanded), BEAMS), "ann-beams")
-        drop_cut(graph.sparkSession, [beams])
+        asking = beams.where("open > 0").mapInArrow(each_row(asked(k, dim, beam, expanded, parts), MESSAGE), MESSAGE)
+        onward = cut(joined(beams, joined(index, asking, replied(k, dim), MESSAGE), advanced(k, dim, beam, expanded), BEAMS), "ann-beams")
+        drop_cut(spark, [beams])
         beams = onward
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,10 +550,12 @@ def search(graph: DataFrame, parts: int, queries: DataFrame, count: int, dim: in
             for row in batch.to_pylist():
                 s = Beams(row, dim, k, beam)
                 ids = s.ids[:, :top]
-                held = ids != EMPTY
+                held = ids != NONE
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(s.queries[:, None], ids.shape)[held]), pa.array(ids[held])], names=["query_id", "node"])
 
-    return beams.mapInArrow(found, "query_id bigint, node bigint")
+    answer = cut(beams.mapInArrow(found, "query_id bigint, node bigint"), "ann-found")
+    drop_cut(spark, [index, beams])
+    return answer
 
 
 # -- the operator --------------------------------------------------------
@@ -491,8 +567,14 @@ def usable(vector: F.Column) -> F.Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
+def scaled(vector: str) -> F.Column:
+    """The vector over the power of two below its largest component: the same direction bit for bit, with squares that can be added up."""
+    largest = F.array_max(F.transform(vector, F.abs))
+    return F.transform(vector, lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(largest))))
+
+
 def cosine(a: str, b: str) -> F.Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, z: s + z)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
@@ -500,24 +582,36 @@ def nearest(vectors: DataFrame, is_query: F.Column, top: int = 5, id_col: str =
     """The ``top`` nearest other rows of each query row, by cosine: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
     Ties go to the smaller id.  Vectors that are null, zero or hold null or non-finite components take no part, nor do rows
-    without an id or with another length than most.  Rows with equal vectors are one node of the graph; the ``top`` + 1 smallest
-    ids of each are all that an answer can hold.  Rows that repeat an id count once.  Fewer rows than ``top``: all of them.
+    without an id.  A cosine needs vectors of one length, so each length is searched by itself.  Rows with equal vectors are one
+    node of the graph; the ``top`` + 1 smallest ids of each are all that an answer can hold.  An id is answered once: a query
+    id with several vectors searches with one of them (of the most components, then the least), and a candidate's counts by its
+    nearest vector.  Fewer ids than ``top``: all of them.
     """
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector"))
-    common = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asking = rows.withColumnRenamed("vec_id", "query_id").where(is_query).groupBy("query_id").agg(F.max_by("vector", F.struct(F.size("vector"), F.transform("vector", lambda x: -x))).alias("vector"))
+    lengths = sorted(r[0] for r in rows.select(F.size("vector")).distinct().collect())
+    found = [_nearest(rows.where(F.size("vector") == n), asking.where(F.size("vector") == n), n, top, **sizes) for n in lengths]
+    if not found:
         return rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    dim = common["dim"]
-    rows = rows.where(F.size("vector") == dim).withColumn("code", F.xxhash64("vector"))
-    nodes = cut(rows.groupBy("code", "vector").agg(F.min("vec_id").alias("node")), "ann-classes")
+    answer = found[0]
+    for other in found[1:]:
+        answer = answer.unionByName(other)
+    return answer
+
+
+def _nearest(rows: DataFrame, asking: DataFrame, dim: int, top: int, **sizes: int) -> DataFrame:
+    k, spark = sizes.get("k", NEIGHBOURS), rows.sparkSession
+    rows = rows.withColumn("code", F.xxhash64("vector"))
+    # numbers are written with the rows, so every later step reads the same ones
+    nodes = cut(rows.groupBy("code", "vector").agg(F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "ann-nodes")
     count = nodes.count()
+    base, lists, parts = build_graph(nodes, count, dim, **sizes)
+    queries = cut(asking.withColumn("code", F.xxhash64("vector")).join(nodes, ["code", "vector"]).select("query_id", "node", "vector"), "ann-queries")
+    found = search(base, lists, parts, queries, queries.count(), dim, 8 * top, k=k)
+    drop_cut(spark, [base, lists])
+    pairs = found.join(nodes.select("node", "code", F.col("vector").alias("there")), "node").join(queries.select("query_id", F.col("vector").alias("here")), "query_id")
+    scored = pairs.withColumns({"a": scaled("here"), "b": scaled("there")}).select("query_id", "code", F.col("there").alias("vector"), cosine("a", "b").alias("score"))
     ranked = rows.groupBy("code", "vector", "vec_id").agg(F.count("*").alias("copies")).withColumn("place", F.row_number().over(Window.partitionBy("code", "vector").orderBy("vec_id"))).where(F.col("place") <= top + 1)
-    members = ranked.join(nodes, ["code", "vector"]).select("node", "vec_id")
-    graph, parts = build_graph(nodes, count, dim, **sizes)
-    asking = rows.withColumnRenamed("vec_id", "query_id").where(is_query).join(nodes, ["code", "vector"]).groupBy("query_id").agg(F.min("node").alias("node"))
-    queries = cut(asking.join(nodes.select("node", "vector"), "node").select("query_id", "node", "vector"), "ann-queries")
-    found = search(graph, parts, queries, queries.count(), dim, 2 * top + 2, k=sizes.get("k", NEIGHBOURS))
-    pairs = found.join(nodes.select("node", F.col("vector").alias("there")), "node").join(queries.select("query_id", F.col("vector").alias("here")), "query_id").withColumn("score", cosine("here", "there"))
-    each = pairs.join(members, "node").where("vec_id <> query_id")
+    each = scored.join(ranked.select("code", "vector", "vec_id"), ["code", "vector"]).where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return each.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= top)

@@ -178,14 +178,10 @@ def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: fl
 
 
 def own_strata(sizes: dict[str, int], risk: float, error: float) -> list[str]:
-    """The strata with enough documents for cutoffs of their own, where the error is shared by just these strata and their rules."""
-    large = sorted(sizes)
-    while True:
-        least = math.log(error / max(1, len(large)) / len(RULES)) / math.log1p(-risk / len(RULES))
-        new = [x for x in large if sizes[x] >= least]
-        if len(new) == len(large):
-            return large
-        large = new
+    """The most strata with enough documents for cutoffs of their own, where the error is shared by just these strata and their rules."""
+    by_size = sorted(sizes, key=lambda s: (-sizes[s], s))
+    least = lambda m: math.log(error / m / len(RULES)) / math.log1p(-risk / len(RULES))
+    return by_size[: max((m for m, s in enumerate(by_size, 1) if sizes[s] >= least(m)), default=0)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:

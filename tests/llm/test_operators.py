@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kelpline.llm import bpe_codec, conv_quality, lm_scores, nn_descent, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter
+import corpus_pipeline
+from kelpline.llm import bpe_codec, common, conv_quality, lm_scores, near_texts, nn_descent, packing, quality_rules, queries, simhash, substring_dedup, token_counts, url_filter, url_table
 from kelpline.llm.components import components
 from kelpline.llm.fast_encode import fast
 from kelpline.llm.queries import TOKENIZER
@@ -123,6 +124,15 @@ def test_packing_keeps_every_id_once(docs, empty):
     assert packing.pack_documents(empty, TOKENIZER).count() == 0
 
 
+def test_packing_keeps_large_ids_beside_null(spark):
+    big = [2**60 + 1, 2**60 + 3, None, 2**53 + 1]
+    frame = spark.createDataFrame([(k, "some words here") for k in big], "doc_id bigint, text string")
+    assert sorted(map(str, (r["doc_id"] for r in packing.pack_documents(frame, TOKENIZER).collect()))) == sorted(map(str, big))
+    copies = spark.createDataFrame([(1, "same")] * 64, "doc_id bigint, text string").repartition(64)
+    assert copies.rdd.getNumPartitions() == 64
+    assert packing.pack_documents(copies, TOKENIZER, group_docs=4).select("sequence_id").distinct().count() >= 6
+
+
 def test_first_fit_decreasing_by_hand():
     sizes = np.random.default_rng(1).integers(1, 101, 300)
     bins, offsets = packing.first_fit_decreasing(sizes, 100)
@@ -168,8 +178,49 @@ def test_simhash_components(docs, empty):
         assert (got[k]["fingerprint"], got[k]["component_id"]) == (f"{prints[k]:016x}", root[k])
     assert got[None]["component_id"] == root[ROWS[0][0]]
     assert simhash.near_duplicates(empty).count() == 0
-    left = simhash.one_of_each(docs)
-    assert {r["doc_id"] for r in left.collect()} == {*root.values(), None} and left.columns == docs.columns
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_texts_by_brute_force(spark, docs, empty):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(260):  # many near copies of one text, at all similarities
+        copy = list(base)
+        for _ in range(rng.randint(0, 12)):
+            copy[rng.randrange(150)] = word()
+        rows.append((1000 + i, "  ".join(copy).upper() if i % 7 == 0 else " ".join(copy)))
+    rows += [(5, rows[3][1]), (1003, " ".join(word() for _ in range(80))), (3000, None), (3001, " "), (3002, "one two"), (3003, "One  two"), (None, rows[0][1])]
+    rows += [(r[0] + 5000, r[1]) for r in ROWS]
+    frame = spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, mark string").repartition(3)
+    named = [(k, t, shingle_set(t)) for k, t in rows if k is not None]
+    near = [(i, j) for i, (_, _, a) in enumerate(named) for j, (_, _, b) in enumerate(named[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
+    root = grouped(near, range(len(named)))
+    least = {}
+    for i, (k, _, _) in enumerate(named):
+        least[root[i]] = min(least.get(root[i], k), k)
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_texts.near_texts(frame).collect())
+    assert got == Counter((k, least[root[i]]) for i, (k, _, _) in enumerate(named))
+    left = near_texts.one_of_each(frame)
+    want = [(k, t, "k") for i, (k, t, _) in enumerate(named) if k == least[root[i]]] + [(None, rows[0][1], "k")]
+    assert left.columns == frame.columns and Counter(map(tuple, left.collect())) == Counter(want)
+    assert near_texts.one_of_each(empty).count() == 0
+
+
+def test_hot_bands_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "HOT", 20)
+    rng = random.Random(4)
+    base, rows = [f"w{i}" for i in range(300)], []
+    for i in range(200):
+        copy = list(base)
+        copy[rng.randrange(300)] = "x"
+        rows.append((i, " ".join(copy)))
+    got = near_texts.near_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == 200 and {r["component_id"] for r in got} == {0}
 
 
 @pytest.mark.parametrize("distinct", [10, 3_000_000, 2_000_000_000])
@@ -247,6 +298,16 @@ def test_substrings_of_nothing(empty):
     assert substring_dedup.deduplicated_documents(empty).columns == empty.columns
 
 
+def test_any_column_goes_through_substring_dedup(docs):
+    odd = docs.select("doc_id", "text", *(F.lit(i).alias(c) for i, c in enumerate(["kept", "n_words", "n_removed", "part", "ref", "order_id", "column_1", "carry_doc_id", "a b.c"])))
+    got = substring_dedup.deduplicated_documents(odd)
+    want = removed([(2**63 - 1 if r[0] is None else r[0], r[1]) for r in docs.select("doc_id", "text").collect()], 13)
+    assert got.columns == odd.columns
+    for r in got.collect():
+        n, gone, kept = want[2**63 - 1 if r["doc_id"] is None else r["doc_id"]]
+        assert tuple(r)[2:] == tuple(range(9)) and (r["text"] == kept if gone else True)
+
+
 def test_covers_are_difference_covers():
     for period, cover in substring_dedup.COVERS.items():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
@@ -327,6 +388,27 @@ def test_network_learns_and_scores_whole_texts(docs, labels, empty):
     assert sorted(str(r["doc_id"]) for r in conv_quality.kept_documents(docs, labels).collect()) == sorted(str(r["doc_id"]) for r in conv_quality.classify(docs, labels).where("predicted = 1").collect())
 
 
+def test_network_is_held_to_rows_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    figures = conv_quality.held_out_figures(conv_quality.classify(docs, labels), labels)
+    assert figures["rows"] > 50 and figures["auc"] >= 0.95 and figures["accuracy"] >= 0.85
+
+
+def test_training_takes_long_texts_and_is_bounded(spark):
+    long = "".join(chr(97 + i % 26) for i in range(400_000))
+    rows = [(i, long if i == 1 else f"text {i}") for i in range(400)] + [(2, "again"), (None, "x")]
+    frame = spark.createDataFrame([(*r, 5, "p") for r in rows], "doc_id bigint, text string, quality int, place string")
+    marks = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(1, 1), (3, 0)], "doc_id bigint, quality int")
+    got, odds = conv_quality.training_rows(frame, marks, 30, 8, "doc_id", "text")
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    good = [i for i in learnt if i % 4 and i != 3]
+    again = int(2 in learnt)
+    assert odds == {1: len(good) + again, 0: len(learnt) - len(good)}  # an id with two labels has the least
+    assert Counter(y for y, _ in got) == {0: 30, 1: 30} and max(len(b) for _, b in got) <= 8 * conv_quality.CHUNK
+    assert len(conv_quality.spread_chunks(long, 8)) == 7 * conv_quality.CHUNK + len(long) % conv_quality.CHUNK  # the last chunk is shorter
+    assert got == conv_quality.training_rows(frame.repartition(7), marks, 30, 8, "doc_id", "text")[0]
+
+
 def test_network_equals_direct_convolution():
     net = conv_quality.ConvNet().freeze()
     for text in (b"", b"x", b"short", bytes(random.Random(3).randrange(256) for _ in range(1700))):
@@ -340,11 +422,9 @@ def test_network_equals_direct_convolution():
 def test_language_model_by_brute_force(docs, labels, empty):
     got = by_id(lm_scores.score_documents(docs, labels))
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
-    known, rows = substring_dedup.WordHashes(), []
-    for r in docs.select("doc_id", "text").collect():  # slots are the vocabulary: what shares one is one to the models
-        word, before, pair, _ = lm_scores.token_slots(known, [r["text"]], lm_scores.WORD_BITS, lm_scores.PAIR_BITS)
-        assert len(word) == len((r["text"] or "").encode().split())
-        rows.append((r["doc_id"], list(zip(word.tolist(), before.tolist(), pair.tolist()))))
+    start = object()
+    rows = [(r["doc_id"], (r["text"] or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
+    rows = [(k, list(zip(words, [start, *words], zip([start, *words], words)))) for k, words in rows]
     models = []
     for keep in (lambda k: k in good, lambda k: True):
         words, pairs = Counter(), Counter()
@@ -425,6 +505,48 @@ def test_urls(spark):
         url_filter.train_table(own, most=1)
 
 
+def parsed(url):
+    """An independent reading of host, path and the fitting rule."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url[url.index("://") + 3 :]
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+    fits = [d + p for _, d, p in url_filter.RULES if (host.split(".")[-d.count(".") - 1 :] == d.split(".")) and path[: len(p)] == p]
+    return host, path, max(fits, key=len, default=None)
+
+
+def test_random_urls_by_an_independent_parser(spark):
+    rng = random.Random(17)
+    pieces = ["http", "://", "://", "/", "?", "#", ".", "www", "example", ".com", ".net", ".org", "com", "/en/", "/de/", "/es/", "7", "8", "É", "Xy", ":80", "@", " "]
+    urls = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    urls += [f"{a}://{h}{p}" for a in ("http", "") for h in ("example.com", "a.EXAMPLE.com", "notexample.com", "example.net", "x.org", "com", "") for p in ("", "/en/7", "/en/71?x", "/de/8", "/es/#", "/en")] + [None]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    says = {d + p: v for v, d, p in url_filter.RULES}
+    model = url_filter.train()
+    for r in url_filter.judge(frame, model).collect():
+        host, path, rule = parsed(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        logit = model.logits([f"{host}{path}".encode()])[0]
+        assert r["verdict"] == (says[rule] if rule else "block" if logit >= 0 else "allow")
+
+
+def test_regression_separates_held_out_urls():
+    def figures(learnt, unseen):
+        model = url_filter.train(learnt)
+        keys = [url_filter.key_of(*parsed(u)[:2]) for u, _ in unseen]
+        scores, y = model.logits(keys), np.array([k for _, k in unseen])
+        bad, good = scores[y == 1], scores[y == 0]
+        return (bad[:, None] > good[None]).mean(), ((scores >= 0) == y).mean()
+
+    auc, accuracy = figures(url_table.labelled_urls(), url_table.labelled_urls(600, seed=99))
+    assert auc >= 0.98 and accuracy >= 0.95
+    auc, _ = figures(url_table.labelled_urls(bad=url_table.BAD[::2], good=url_table.GOOD[::2]), url_table.labelled_urls(600, 99, url_table.BAD[1::2], url_table.GOOD[1::2]))
+    assert 0.6 < auc < 0.95  # words that were never seen can't be known
+
+
 def test_url_scores_do_not_depend_on_their_batch():
     model, rng = url_filter.train(), random.Random(8)
     texts = [b"", *(f"site{rng.randrange(999)}.fr/{'casino-bonus/free' if i % 3 else 'guide/'}{rng.randrange(99)}".encode() for i in range(200)), b"", b"x"]
@@ -473,13 +595,150 @@ def test_few_or_no_vectors(spark):
     assert nn_descent.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
-def test_digest_queries_match_operators(docs, spark, tmp_path):
-    from kelpline.llm import queries
+def test_one_id_with_several_vectors_is_answered_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[0] + 0.001 * rng.normal(size=4)).tolist()) for _ in range(6)] + [(100, [1e200, -1e200, 3e199, 0.0]), (101, [1e-200, 2e-200, 0.0, 0.0]), (150, [1.0, 2.0]), (151, [2.0, 4.1])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(frame, F.col("query_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    scale = lambda v: np.array(v) / np.abs(v).max()
+    cos = lambda a, b: scale(a) @ scale(b) / np.linalg.norm(scale(a)) / np.linalg.norm(scale(b))
+    for q in (0, 100):
+        best = {}
+        for k, v in rows[:-2]:
+            if k != q:
+                best[k] = max(best.get(k, -2), cos(dict(rows)[q], v))
+        want = sorted(best, key=lambda k: (-round(best[k], 12), k))[:5]
+        assert [k for k, _ in got[q]] == want and [s for _, s in got[q]] == pytest.approx([best[k] for k in want], rel=1e-12)
+    assert [k for k, _ in got[150]] == [151]  # only vectors of the same length
+
+
+def test_components_stay_whole_where_one_holds_all(spark):
+    edges = spark.range(1, 3000).selectExpr("id as a", "0L as b")
+    assert components(edges).where("root = 0").count() == 3000
 
-    docs.select("doc_id", "text", "lang").where("doc_id is not null").distinct().write.parquet(str(tmp_path / "documents.parquet"))
-    got = by_id(queries.op3_substring_dedup(spark, str(tmp_path)))
+
+# -- queries and the pipeline ------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def folder(docs, labels, spark, tmp_path_factory):
+    base = tmp_path_factory.mktemp("tables")
+    docs.select("doc_id", "text", "lang").where("doc_id is not null").distinct().write.parquet(str(base / "documents.parquet"))
+    labels.write.parquet(str(base / "labels.parquet"))
+    spark.createDataFrame([(1, "http://a.com/en/"), (2, "http://casino-bonus.fr/spam"), (3, None)], "page_id bigint, url string").write.parquet(str(base / "pages.parquet"))
+    rng = np.random.default_rng(0)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(120, 8)))], "vec_id bigint, embedding array<float>").write.parquet(str(base / "embeddings.parquet"))
+    return str(base)
+
+
+COLUMNS = {
+    "op1_simhash": "doc_id fingerprint component_id",
+    "op2_lm_scores": "doc_id n_tokens target_loss background_loss score",
+    "op3_substring_dedup": "doc_id n_words n_removed kept_sha256",
+    "op4_url_filter": "page_id host path rule verdict",
+    "op5_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op6_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op7_bpe_codec": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op8_conv_quality": "doc_id held_out score predicted",
+    "op9_nn_descent": "query_id rank vec_id score",
+    "op10_token_counts": "doc_id n_bytes n_tokens over_limit",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_every_query_runs_over_its_whole_table(name, folder, spark):
+    got = queries.QUERIES[name](spark, folder)
+    assert got.columns == COLUMNS[name].split()
+    rows = got.collect()
+    if name == "op9_nn_descent":
+        assert Counter(r["query_id"] for r in rows) == {0: 5, 50: 5, 100: 5}
+    elif name == "op4_url_filter":
+        assert [(r["page_id"], r["rule"], r["verdict"]) for r in sorted(rows)][:2] == [(1, "com/en/", "block"), (2, None, "block")]
+        assert rows[2]["verdict"] in ("allow", "block") and (rows[2]["host"], rows[2]["path"]) == ("", "")
+    else:
+        assert {r["doc_id"] for r in rows} == {r[0] for r in ROWS} and (name == "op5_packing" or len(rows) == len(ROWS))
+
+
+def test_digest_queries_match_operators(folder, spark):
+    got = by_id(queries.op3_substring_dedup(spark, folder))
     for k, (n, gone, kept) in removed([(r[0], r[1]) for r in ROWS], 13).items():
         assert (got[k]["n_words"], got[k]["n_removed"], got[k]["kept_sha256"]) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
-    coded = by_id(queries.op7_bpe_codec(spark, str(tmp_path)))
+    coded, sizes = by_id(queries.op7_bpe_codec(spark, folder)), by_id(queries.op10_token_counts(spark, folder))
     for k, text, *_ in ROWS:
         assert coded[k]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids(text))).encode()).hexdigest() and coded[k]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+        assert sizes[k]["n_tokens"] == coded[k]["n_tokens"] == len(ids(text))
+    for r in queries.op5_packing(spark, folder).collect():
+        own = [*ids(dict((k, t) for k, t, *_ in ROWS)[r["doc_id"]]), 0]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == zlib.crc32(np.array(own[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+
+
+NAMES = "kept n_words n_removed part ref hashes quality place code mark fp bands bucket size gone_id one words root least stratum held_out score start length sequence_id column_0 limits".split()
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    shared = [word() for _ in range(60)]
+    texts = [" ".join(word() for _ in range(rng.randint(60, 150))) for _ in range(400)]
+    for i in range(0, 400, 10):  # a passage, near copies, exact copies, bad texts
+        texts[i] = f"{texts[i]} {' '.join(shared)} {texts[i]}x"[: 2000]
+        texts[i + 1] = texts[i + 2].replace(" ", "  ", 1)
+        words = texts[i + 3].split()
+        words[len(words) // 2] = "changed"
+        texts[i + 4] = " ".join(words)
+        texts[i + 5] = " ".join(w + "##$%" for w in texts[i + 5].split())
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, texts[8]), (500, None), (501, ""), (502, "short one"), (8, " ".join(word() for _ in range(90)))]
+    extra = ", ".join(f"{c} int" for c in NAMES)
+    frame = spark.createDataFrame([(k, t, "en", "s", len(t or ""), *range(len(NAMES))) for k, t in rows], f"doc_id bigint, text string, lang string, source string, n_chars bigint, {extra}")
+    marks = spark.createDataFrame([(i, int(i % 10 != 5), 0) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    frame.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    d = str(tmp_path)
+    plain = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    stages, docs, seen = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{d}/documents.parquet"), []
+    for name in ("quality_rules", "quality_classifier", "near_dedup", "substring_dedup"):
+        docs = common.cut(stages[name](spark, docs, d), "test-stage")
+        assert docs.columns == frame.columns and all(tuple(r)[5:] == tuple(range(len(NAMES))) for r in docs.collect())
+        seen.append(plain(docs))
+    bad = {i for i in range(400) if i % 10 == 5}
+    good = [(k, t) for k, t in rows if k not in bad and len((t or "").split()) >= 50]
+    assert seen[0] == sorted([r for r in good if 2 * quality_rules.statistics_of(r[1])[4] <= len(r[1].split())], key=str)
+    assert set(seen[1]) <= set(seen[0]) and len(seen[1]) >= 0.9 * len(seen[0])
+    sets = [(k, t, shingle_set(t)) for k, t in seen[1] if k is not None]
+    root = grouped([(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a[2] & b[2]) >= 0.8 * len(a[2] | b[2])], range(len(sets)))
+    least = {}
+    for i, (k, _, _) in enumerate(sets):
+        least[root[i]] = min(least.get(root[i], k), k)
+    assert seen[2] == sorted([(k, t) for i, (k, t, _) in enumerate(sets) if k == least[root[i]]] + [r for r in seen[1] if r[0] is None], key=str)
+    words = removed_rows(seen[2], 13)
+    assert seen[3] == sorted(words, key=str)
+    before = len(common.WRITTEN)
+    spans = corpus_pipeline.run(spark, d).collect()
+    assert len(common.WRITTEN) == before + 1  # only the last stage's rows are left
+    want = Counter((k, zlib.crc32(np.array([*ids(t), 0][i : i + 1024], "<u4").tobytes())) for k, t in seen[3] for i in range(0, len(ids(t)) + 1, 1024))
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in spans) == want
+    spark.createDataFrame([], frame.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    marks.limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, f"{d}/none").count() == 0
+
+
+def removed_rows(rows, width):
+    """As ``removed``, for rows that may repeat ids; texts that lose nothing stay as they are."""
+    order = lambda k: 2**63 if k is None else k
+    first, out = {}, []
+    for k, t in rows:
+        w = t.split()
+        for i in range(len(w) - width + 1):
+            g = tuple(w[i : i + width])
+            first[g] = min(first.get(g, order(k)), order(k))
+    for k, t in rows:
+        w = t.split()
+        stay = [True] * len(w)
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i : i + width])] < order(k):
+                stay[i : i + width] = [False] * width
+        out.append((k, t if all(stay) else " ".join(x for x, s in zip(w, stay) if s)))
+    return out
