@@ -11,7 +11,7 @@ from .plans import loads
 from .plans.dates import FULL, INCREMENTAL, target_day
 from .sources.csv_files import folder_loads
 from .sources.scripts import run_script
-from .sources.session import local_session
+from .sources.session import session
 from .sources.tables import TableStore
 
 
@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     mode = FULL if a.reset else a.mode
     day = target_day(a.process_date) if mode == INCREMENTAL else None
-    store = TableStore(local_session(warehouse=a.warehouse), a.namespace)
+    store = TableStore(session(warehouse=a.warehouse), a.namespace)
     if a.layer == "tables":
         print("\n".join(store.tables()))
         return 0

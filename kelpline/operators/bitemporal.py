@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -30,10 +30,6 @@ def last_date(frames: Sequence[DataFrame], date_col: str = "transaction_date") -
     return reduce(DataFrame.unionByName, (f.select(F.col(date_col).alias("d")) for f in frames)).agg(F.max("d")).scalar()
 
 
-def one_day(spark: SparkSession, day: date, name: str = "snapshot_date") -> DataFrame:
-    return spark.range(1).select(F.lit(day).cast("date").alias(name))
-
-
 def first_seen(df: DataFrame, keys: Sequence[str], date_col: str = "transaction_date") -> DataFrame:
     return df.groupBy(*keys).agg(F.min(date_col).alias("first_date"))
 
@@ -60,10 +56,20 @@ def covers(day: Column, side: str) -> Column:
 
 
 def as_of(base: DataFrame, intervals: DataFrame, keys: Mapping[str, str], day: str, name: str) -> DataFrame:
-    """The base with ``name``: the state valid on ``day`` for its keys, null without one.  At most one interval matches."""
-    left, right = base.alias("l"), intervals.alias("r")
-    same = X.all_true(F.col(f"l.{k}") == F.col(f"r.{t}") for k, t in keys.items())
-    return left.join(right, same & covers(F.col(f"l.{day}"), "r"), "left").select(*(F.col(f"l.{c}") for c in base.columns), F.col("r.state").alias(name))
+    """The base with ``name``: the state valid on ``day`` for its keys, null without one or where a key is null.
+
+    Days and the intervals' beginnings go through one window in order of time, and each day takes the last state before it, so a
+    key costs its days plus its versions, not their product.  Days without a key are spread by their values.
+    """
+    own = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    spread = F.when(X.all_present(keys), F.lit(0)).otherwise(F.xxhash64(day, *(F.col(c) for c in base.columns if base.schema[c].dataType.typeName() not in ("map", "variant"))))
+    days = base.select(F.struct(*(F.col(f"`{c}`") for c in base.columns)).alias("_row"), F.col(day).alias("_day"), *own, spread.cast("bigint").alias("_spread"))
+    begins = intervals.select(F.col("valid_from").alias("_day"), *(F.col(t).alias(f"_key{i}") for i, t in enumerate(keys.values())), F.lit(0).cast("bigint").alias("_spread"), F.col("state").alias("_state"))
+    both = days.unionByName(begins, allowMissingColumns=True)
+    in_time = Window.partitionBy("_spread", *(f"_key{i}" for i in range(len(keys)))).orderBy("_day", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn("_state", F.last("_state", ignorenulls=True).over(in_time)).where("_row is not null")
+    present = X.all_present(f"_key{i}" for i in range(len(keys)))
+    return known.select(*(F.col("_row").getField(c).alias(c) for c in base.columns), F.when(present, F.col("_state")).alias(name))
 
 
 def as_of_by_rank(base: DataFrame, rows: DataFrame, keys: Sequence[str], day: str, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
@@ -140,7 +146,6 @@ def purchase_snapshot(silver: Mapping[str, DataFrame], created_at: str | None =
 def judge_snapshot(wide: DataFrame, flag_columns: Mapping[str, str]) -> DataFrame:
     """Merged flags, status and eligibility of snapshot rows."""
     derived = X.flags({name: F.expr(condition) for name, condition in DERIVED_FLAGS.items()})
-    inherited = [X.prefixed(F.col(c), s) for s, c in flag_columns.items()]
     bad = X.any_true(F.coalesce(F.col(f"{s}_quality_status") == X.ERROR, F.lit(False)) for s in flag_columns) | ~F.col("has_purchase")
-    flagged = wide.withColumns({"quality_flags": X.merged(*inherited, derived), "is_metric_eligible": F.expr(ELIGIBLE)})
+    flagged = wide.withColumns({"quality_flags": X.inherit(derived, {s: F.col(c) for s, c in flag_columns.items()}), "is_metric_eligible": F.expr(ELIGIBLE)})
     return flagged.withColumn("quality_status", X.status(bad, F.size("quality_flags") > 0))

@@ -54,8 +54,9 @@ def number_versions(df: DataFrame, keys: Sequence[str], order: Sequence[str] = O
     The order is total once resends are collapsed, so the rank is count - version + 1 and needs no third window.
     """
     w = Window.partitionBy(*keys)
-    numbered = df.withColumns({"event_count_for_key": F.count(F.lit(1)).over(w), "event_version_number": F.row_number().over(w.orderBy(*(F.col(c).asc_nulls_first() for c in order)))})
-    return numbered.withColumn("event_latest_rank", (F.col("event_count_for_key") - F.col("event_version_number") + 1).cast("int"))
+    place = F.row_number().over(w.orderBy(*(F.col(c).asc_nulls_first() for c in order))).cast("bigint")
+    numbered = df.withColumns({"event_count_for_key": F.count(F.lit(1)).over(w), "event_version_number": place})
+    return numbered.withColumn("event_latest_rank", F.col("event_count_for_key") - F.col("event_version_number") + 1)
 
 
 def with_exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], their_keys: Sequence[str], flag: str) -> DataFrame:
@@ -86,13 +87,14 @@ def standardize(bronze: DataFrame, spec: Source) -> DataFrame:
     return number_versions(collapse_resends(cleaned, spec.keys), spec.keys)
 
 
+def silver_frame(spec: Source, own: DataFrame, bronze: Mapping[str, DataFrame]) -> DataFrame:
+    """Silver rows of a source's own bronze rows, which may be those of some keys.  References look at all history of the other source."""
+    df = standardize(own, spec)
+    for link in spec.links:
+        df = with_exists_flag(df, bronze[link.source], link.keys, link.their_keys, link.flag)
+    return assess(df, spec).select(*names(spec.silver_ddl))
+
+
 def silver_frames(bronze: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Silver frames of all sources.  References look at all history of the other source."""
-    standard = {name: standardize(bronze[name], spec) for name, spec in SOURCES.items()}
-    out = {}
-    for name, spec in SOURCES.items():
-        df = standard[name]
-        for link in spec.links:
-            df = with_exists_flag(df, bronze[link.source], link.keys, link.their_keys, link.flag)
-        out[name] = assess(df, spec).select(*names(spec.silver_ddl))
-    return out
+    """Silver frames of all sources."""
+    return {name: silver_frame(spec, bronze[name], bronze) for name, spec in SOURCES.items()}

@@ -1,4 +1,4 @@
-"""What an incremental run has to publish again."""
+"""What an incremental run has to publish again, found in the raw events alone."""
 
 from __future__ import annotations
 
@@ -21,12 +21,12 @@ def union_keys(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).distinct()
 
 
-def impacted_keys(bronze: Mapping[str, DataFrame], silver: Mapping[str, DataFrame], day: date) -> dict[str, DataFrame]:
+def impacted_keys(bronze: Mapping[str, DataFrame], day: date) -> dict[str, DataFrame]:
     """Keys of each source whose rows may change because of what arrived on ``day``, directly or over a reference."""
     today = {n: f.where(F.col("transaction_date") == F.lit(day)) for n, f in bronze.items()}
     purchases, extras, costs = (keys_of(today[n], PURCHASE_KEY) for n in ("purchase", "purchase_extra_info", "order_transaction_cost_hist"))
     items = keys_of(today["product_item"], ITEM_KEY)
-    over_items = keys_of(silver["purchase"].join(items, list(ITEM_KEY), "left_semi"), PURCHASE_KEY)
+    over_items = keys_of(bronze["purchase"].join(items, list(ITEM_KEY), "left_semi"), PURCHASE_KEY)
     return {
         "purchase": union_keys(purchases, extras, over_items),
         "product_item": union_keys(items, keys_of(today["purchase"], ITEM_KEY)),
@@ -35,9 +35,24 @@ def impacted_keys(bronze: Mapping[str, DataFrame], silver: Mapping[str, DataFram
     }
 
 
-def impacted_rows(silver: DataFrame, spec: Source, keys: DataFrame, day: date) -> DataFrame:
-    """All rows of every date that holds a row of an impacted key, or today a row without a complete key."""
-    touched = silver.join(keys, list(spec.keys), "left_semi").select("transaction_date")
-    incomplete = silver.where((F.col("transaction_date") == F.lit(day)) & ~X.all_present(spec.keys)).select("transaction_date")
-    dates = touched.unionByName(incomplete).distinct()
-    return silver.join(dates, "transaction_date", "left_semi").select(*silver.columns)
+def touched_dates(rows: DataFrame, keys: DataFrame, by: Sequence[str], day: date, date_col: str = "transaction_date") -> DataFrame:
+    """Every date that holds a row of an impacted key, and ``day`` if it holds a row without a complete key."""
+    impacted = rows.join(keys, list(by), "left_semi").select(date_col)
+    incomplete = rows.where((F.col(date_col) == F.lit(day)) & ~X.all_present(by)).select(date_col)
+    return impacted.unionByName(incomplete).distinct()
+
+
+def on_dates(rows: DataFrame, dates: Sequence[date], date_col: str = "transaction_date") -> DataFrame:
+    """Rows of the given dates; of a table partitioned by date, only these are read."""
+    return rows.where(F.col(date_col).isin(*dates)) if dates else rows.where("false")
+
+
+def history_of(rows: DataFrame, spec: Source, dates: Sequence[date]) -> DataFrame:
+    """All rows, of whatever date, of the keys that have a row on one of the dates; null keys count as keys."""
+    keys = on_dates(rows, dates).select(*(F.col(k).alias(f"_{k}") for k in spec.keys)).distinct()
+    return rows.join(keys, X.all_true(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in spec.keys), "left_semi")
+
+
+def dates_of(frame: DataFrame) -> list[date]:
+    """A frame of distinct days, which a century has 36,525 of, as a list."""
+    return sorted(r[0] for r in frame.collect() if r[0] is not None)

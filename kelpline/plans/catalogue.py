@@ -100,14 +100,13 @@ SELECT *, COUNT(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS event_count_f
 ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ship NULLS FIRST, l_partkey, l_suppkey) AS event_version_number,
 ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ship DESC NULLS LAST, l_partkey DESC, l_suppkey DESC) AS event_latest_rank FROM e""")
 def version_ordering(spark, d):
-    versions = cdc.number_versions(line_events(spark, d).drop("record_hash").distinct(), LINE_KEYS, ("ship", "l_partkey", "l_suppkey"))
-    return versions.withColumns({c: F.col(c).cast("bigint") for c in ("event_version_number", "event_latest_rank")})
+    return cdc.number_versions(line_events(spark, d).drop("record_hash").distinct(), LINE_KEYS, ("ship", "l_partkey", "l_suppkey"))
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, MAX(ship) AS ship, COUNT(DISTINCT l_partkey) AS parts FROM ({L_SQL}) GROUP BY 1, 2""")
+@query(f"""SELECT l_orderkey, l_linenumber, ship, l_partkey, l_suppkey FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ship DESC NULLS LAST, l_partkey DESC, l_suppkey DESC) AS r
+ FROM ({L_SQL})) WHERE r = 1""")
 def latest_version(spark, d):
-    events = line_events(spark, d)
-    return events.groupBy(*LINE_KEYS).agg(F.max("ship").alias("ship"), F.count_distinct("l_partkey").alias("parts"))
+    return version_ordering(spark, d).where("event_latest_rank = 1").select(*LINE_KEYS, "ship", "l_partkey", "l_suppkey")
 
 
 @query("""SELECT c_custkey, UPPER(NULLIF(TRIM(c_mktsegment), '')) AS segment, LOWER(NULLIF(TRIM(c_name), '')) AS name FROM customer""")
@@ -141,7 +140,7 @@ def flag_prefix_merge(spark, d):
     customers = _read(spark, d, "customer").select("c_custkey", X.flags({"negative_balance": F.col("c_acctbal") < 0}).alias("theirs"))
     orders = _read(spark, d, "orders").select("o_orderkey", "o_custkey", X.flags({"low_value": F.col("o_totalprice") < 50000, "urgent": F.col("o_orderpriority") == "1-URGENT"}).alias("own"))
     both = orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
-    return both.select("o_orderkey", F.array_join(X.merged(X.prefixed(F.col("own"), "order"), X.prefixed(F.col("theirs"), "customer"), F.array(F.lit("checked"))), ",").alias("quality_flags"))
+    return both.select("o_orderkey", F.array_join(X.inherit(F.array(F.lit("checked")), {"order": F.col("own"), "customer": F.col("theirs")}), ",").alias("quality_flags"))
 
 
 @query("""SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS has_line, EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey) AS has_customer FROM orders""")
@@ -360,8 +359,7 @@ SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, CAST
 def impacted_partitions_semi(spark, d):
     lines = _read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", F.to_date("l_shipdate").alias("ship"))
     keys = impact.keys_of(lines.where(F.col("ship") == F.lit(DAY)), ["l_orderkey"])
-    dates = lines.join(keys, "l_orderkey", "left_semi").select("ship").distinct()
-    return lines.join(dates, "ship", "left_semi").select(*lines.columns)
+    return impact.on_dates(lines, impact.dates_of(impact.touched_dates(lines, keys, ["l_orderkey"], DAY, "ship")), "ship")
 
 
 CHECKS = {"low_value": "o_totalprice < 20000", "not_approved": "o_orderstatus <> 'F'", "urgent_cancelled": "o_orderpriority = '1-URGENT' and o_orderstatus = 'P'", "missing_customer": "o_custkey is null"}
@@ -384,3 +382,6 @@ CASE WHEN COUNT(*) FILTER (WHERE o_totalprice < 10000) > 0 THEN 'failed' WHEN CO
 def run_log_status(spark, d):
     counts = _read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("source")).agg(F.count_if(F.col("o_totalprice") < 10000).alias("error_result_count"), F.count_if(F.col("o_totalprice") < 50000).alias("warning_result_count"))
     return counts.withColumn("run_status", F.when(F.col("error_result_count") > 0, "failed").when(F.col("warning_result_count") > 0, "completed_with_warnings").otherwise("succeeded"))
+
+
+from . import composites as composites  # noqa: E402 - its queries register themselves here

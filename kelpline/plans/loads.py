@@ -28,15 +28,21 @@ def read_layer(store: TableStore, layer: str) -> dict[str, DataFrame]:
 
 
 def load_silver(store: TableStore, mode: str = FULL, day: date | None = None) -> dict[str, int]:
-    """Replace silver, or only the days that hold rows of keys impacted on ``day``."""
+    """Replace silver, or only the days that hold rows of keys impacted on ``day``.
+
+    An incremental run numbers versions only of keys that have a row on one of these days.
+    """
     bronze = read_layer(store, "bronze")
-    silver = cdc.silver_frames(bronze)
     if check_mode(mode) == FULL:
-        return {name: store.replace_all(df, SOURCES[name].silver_table) for name, df in silver.items()}
+        return {name: store.replace_all(df, SOURCES[name].silver_table) for name, df in cdc.silver_frames(bronze).items()}
     if day is None:
         raise ValueError("an incremental run needs its day")
-    keys = impact.impacted_keys(bronze, silver, day)
-    return {name: store.replace_partitions(impact.impacted_rows(df, SOURCES[name], keys[name], day), SOURCES[name].silver_table) for name, df in silver.items()}
+    keys, written = impact.impacted_keys(bronze, day), {}
+    for name, spec in SOURCES.items():
+        days = impact.dates_of(impact.touched_dates(bronze[name], keys[name], spec.keys, day))
+        frame = cdc.silver_frame(spec, impact.history_of(bronze[name], spec, days), bronze)
+        written[name] = store.replace_partitions(impact.on_dates(frame, days), spec.silver_table)
+    return written
 
 
 def load_snapshot(store: TableStore, mode: str = FULL, day: date | None = None, created_at: str | None = None) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 # Names and types that published tables must have.
 STATUSES = ("APROVADA", "CANCELADA", "INICIADA", "REEMBOLSADA")
 METADATA = "ingestion_ts timestamp, batch_id string, source_file string, record_hash string"
-TECHNICAL = "resend_duplicate_count bigint, event_count_for_key bigint, event_version_number int, event_latest_rank int, is_business_key_complete boolean, is_ordering_valid boolean"
+TECHNICAL = "resend_duplicate_count bigint, event_count_for_key bigint, event_version_number bigint, event_latest_rank bigint, is_business_key_complete boolean, is_ordering_valid boolean"
 SNAPSHOT = (
     "snapshot_date date, snapshot_created_at timestamp, quality_status string, quality_flags array<string>, purchase_id bigint, purchase_partition bigint, "
     "buyer_id bigint, producer_id bigint, purchase_status string, order_date date, release_date date, gmv_date date, purchase_total_value double, prod_item_id bigint, "

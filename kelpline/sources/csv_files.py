@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
@@ -60,12 +59,18 @@ def load_file(spark: SparkSession, path: str, name: str, day: date | None = None
     return Load(name, df, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever file system it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def folder_loads(spark: SparkSession, folder: str, day: date | None = None) -> list[Load]:
     """Loads of the folder's ``<source>.txt`` files.  The item lookup sees all purchases, whatever the day."""
     out, lookup = [], None
     for name, spec in SOURCES.items():
-        path = os.path.join(folder, f"{name}.txt")
-        if not os.path.exists(path):
+        path = f"{folder.rstrip('/')}/{name}.txt"
+        if not exists(spark, path):
             if spec.required_file:
                 raise FileNotFoundError(path)
             print(f"optional file {path} is absent; going on without it")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 #: Record hashes contain timestamps as text, so the zone is pinned; dates are overwritten partition by partition.
@@ -14,8 +15,11 @@ SETTINGS = {
 }
 
 
-def local_session(app_name: str = "kelpline", warehouse: str | None = None, master: str = "local[*]", **settings: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app_name).master(master).config(map=SETTINGS | settings)
+def session(app_name: str = "kelpline", warehouse: str | None = None, master: str | None = None, **settings: str) -> SparkSession:
+    """A session on the given master, else on the one that spark-submit names, else on this machine."""
+    builder = SparkSession.builder.appName(app_name).config(map=SETTINGS | settings)
+    if master or not SparkConf().contains("spark.master"):
+        builder = builder.master(master or "local[*]")
     if warehouse:
         builder = builder.config("spark.sql.warehouse.dir", warehouse)
     return builder.getOrCreate()

@@ -36,17 +36,18 @@ def layer_tables(layer: str) -> dict[str, tuple[StructType, str]]:
 class TableStore:
     """Named tables of one namespace."""
 
-    def __init__(self, spark: SparkSession, namespace: str = "kelpline", catalog: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, namespace: str = "kelpline", catalog: str | None = None, table_format: str = "parquet") -> None:
+        """``table_format``: of new tables, as the catalog knows it; with a transactional one, readers never see half a replacement."""
         if not namespace:
             raise ValueError("a namespace is needed")
-        self.spark, self.namespace, self.catalog = spark, namespace, catalog
+        self.spark, self.namespace, self.catalog, self.table_format = spark, namespace, catalog, table_format
 
     def name(self, table: str) -> str:
         return qualified(self.namespace, table, self.catalog)
 
     def ddl(self, table: str, schema: StructType, partition: str) -> str:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        return f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING parquet PARTITIONED BY (`{partition}`)"
+        return f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING {self.table_format} PARTITIONED BY (`{partition}`)"
 
     def prepare(self, layer: str, reset: bool = False) -> None:
         """Create the layer's tables, after dropping them (and what hangs on them) with ``reset``."""
@@ -68,12 +69,8 @@ class TableStore:
         from pyspark.sql import Observation
 
         seen, target = Observation(), self.spark.table(self.name(table)).columns
-        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-        try:
-            df.select(*target).observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(self.name(table), overwrite=overwrite)
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        rows = df.select(*target).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.option("partitionOverwriteMode", mode).insertInto(self.name(table), overwrite=overwrite)
         return seen.get["n"]
 
     def append(self, df: DataFrame, table: str) -> int:

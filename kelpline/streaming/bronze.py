@@ -1,8 +1,11 @@
-"""Raw events from arriving files: each micro-batch is appended as a batch load would be, once per batch id."""
+"""Raw events from arriving files: each micro-batch is appended as a batch load would be, once per batch id and checkpoint."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -19,6 +22,9 @@ def ingest(store: TableStore, source_name: str, folder: str, checkpoint: str, tr
     stream = store.spark.readStream.schema(text).options(header=True, nullValue="NULL").csv(folder)
 
     def write(batch: DataFrame, number: int) -> None:
-        store.append(cdc.enrich(align(batch, spec), source_name, f"stream-{number}", folder), spec.bronze_table)
+        batch_id = f"stream-{zlib.crc32(checkpoint.encode()):08x}-{number}"
+        done = store.read(spec.bronze_table).where((F.col("batch_id") == batch_id) & (F.col("source_file") == folder))
+        if done.isEmpty():  # a batch that is replayed after a failure was written whole or not at all
+            store.append(cdc.enrich(align(batch, spec), source_name, batch_id, folder), spec.bronze_table)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -2,13 +2,13 @@
 
 import pytest
 
-from kelpline.sources.session import local_session
+from kelpline.sources.session import session as new_session
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     base = tmp_path_factory.mktemp("spark")
-    session = local_session("tests", warehouse=str(base / "warehouse"), master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": str(base / "shared"), "spark.default.parallelism": "4"})
+    session = new_session("tests", warehouse=str(base / "warehouse"), master="local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": str(base / "shared"), "spark.default.parallelism": "4"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -30,7 +30,6 @@ def test_calendar_and_days(spark):
     assert [r[0].day for r in bitemporal.calendar([df, df.limit(0)]).orderBy("snapshot_date").collect()] == [3, 4, 5]
     assert bitemporal.calendar([df.limit(0)]).count() == 0
     assert bitemporal.entity_days(df, ["k"], F.lit(date(2023, 1, 4))).count() == 2  # nothing runs backwards
-    assert bitemporal.one_day(spark, date(2023, 1, 9)).first()[0] == date(2023, 1, 9)
 
 
 def snapshot_of(spark, day=None, **given):

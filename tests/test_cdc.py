@@ -104,5 +104,5 @@ def test_flags_and_references(spark):
 
 def test_expressions(spark):
     df = spark.createDataFrame([(1, None, " Ab "), (None, 2, "")], "a int, b int, s string")
-    got = df.select(X.business_key(["a", "b"]), X.clean_text("s", "upper"), X.all_present(["a"]), X.any_true([F.lit(False), F.col("b") == 2]), X.all_true([]), X.flags({}), X.merged(X.prefixed(F.array(F.lit("z"), F.lit("y")), "p"), F.array(F.lit("b"))), X.prefixed(F.lit(None).cast("array<string>"), "q")).collect()
+    got = df.select(X.business_key(["a", "b"]), X.clean_text("s", "upper"), X.all_present(["a"]), X.any_true([F.lit(False), F.col("b") == 2]), X.all_true([]), X.flags({}), X.inherit(F.array(F.lit("b")), {"p": F.array(F.lit("z"), F.lit("y"), F.lit("z")), "r": F.lit(None).cast("array<string>")}), X.inherit(X.no_flags(), {"q": F.lit(None).cast("array<string>")})).collect()
     assert [tuple(r) for r in got] == [("1|null", "AB", True, None, True, [], ["b", "p:y", "p:z"], []), ("null|2", None, False, True, True, [], ["b", "p:y", "p:z"], [])]
