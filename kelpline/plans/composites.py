@@ -28,7 +28,7 @@ def _purchase(v: int, c: int) -> str:
     days, late = f"o_orderkey % 8 + {v} * (1 + o_orderkey % 3)", f"{v} = 1 AND o_orderkey % 9 = 0"
     return f"""SELECT o_orderkey AS purchase_id, 1 + o_orderkey % 2 AS purchase_partition, o_custkey AS buyer_id, CASE WHEN o_orderkey % 50 <> 0 THEN o_orderkey % 4000 END AS prod_item_id,
  1 AS prod_item_partition, {_when('o_orderkey % 8', 'order_date')}, CASE WHEN {v} = 1 OR o_orderkey % 4 = 0 THEN DATE '2024-01-02' + CAST(o_orderkey % 8 AS INT) END AS release_date, o_custkey % 97 AS producer_id,
- o_totalprice * CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE 1 END AS purchase_total_value,
+ ROUND(o_totalprice) * CASE WHEN o_orderkey % 41 = 0 THEN -1 ELSE 1 END AS purchase_total_value,
  CASE WHEN {v} = 0 AND o_orderkey % 4 <> 0 THEN ' iniciada' WHEN o_orderstatus = 'F' THEN 'aprovada ' WHEN o_orderkey % 17 = 0 THEN '' WHEN o_orderstatus = 'O' THEN 'Cancelada' ELSE 'odd' END AS purchase_status,
  CASE WHEN {late} THEN TIMESTAMP '2023-12-31 00:00:00' ELSE CAST(DATE '2024-01-01' + CAST({days} AS INT) AS TIMESTAMP) END AS transaction_datetime, {_when(days, 'transaction_date')},
  {_META.format(c=c)}, concat('p', o_orderkey, '-', {v}) AS record_hash FROM {{orders}} WHERE ({v} = 0 OR o_orderkey % 3 = 0) AND ({c} = 0 OR o_orderkey % 7 = 0)"""
@@ -243,3 +243,111 @@ def snapshot_full(spark, d):
 @query(f"{_SNAPSHOT_SQL} SELECT {_GOLD}, array_to_string(flags, ',') AS quality_flags FROM gold WHERE snapshot_date = DATE '{DAY}'")
 def snapshot_one_day(spark, d):
     return _gold(_snapshot(spark, d, DAY))
+
+
+# -- quality ------------------------------------------------------------------------
+
+
+def evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run log, results and quarantine of all published tables, with some eligible rows forced and an aggregate that has one wrong
+    day and one repeated.  The tables stand in for stored ones, so they are kept while the rules read them."""
+    raw = {n: f.persist() for n, f in bronze(spark, d).items()}
+    silver = {n: f.persist() for n, f in cdc.silver_frames(raw).items()}
+    snapshot = bitemporal.purchase_snapshot(silver, "2024-03-01").persist()
+    gmv = metrics.gmv_daily(snapshot).persist()
+    try:
+        return quality.evaluate(tampered(raw, silver, snapshot, gmv), "r")
+    finally:
+        for frame in (gmv, snapshot, *silver.values(), *raw.values()):
+            frame.unpersist()
+
+
+def tampered(raw: dict[str, DataFrame], silver: dict[str, DataFrame], snapshot: DataFrame, gmv: DataFrame) -> dict[str, DataFrame]:
+    wrong = F.when(F.day("gmv_date") == 4, F.lit(-1.0)).otherwise(F.col("gmv_daily_amount"))
+    gmv = gmv.withColumn("gmv_daily_amount", wrong).unionAll(gmv.where("gmv_date = date'2024-01-06'"))
+    forced = snapshot.withColumn("is_metric_eligible", F.col("is_metric_eligible") | (F.col("purchase_id") % 101 == 0))
+    tables = {s.bronze_table: raw[n] for n, s in SOURCES.items()} | {s.silver_table: silver[n] for n, s in SOURCES.items()}
+    return tables | {SNAPSHOT_TABLE: forced, GMV_TABLE: gmv}
+
+
+_GRAIN = "snapshot_date, gmv_date, subsidiary"
+_SUMS = "SUM(purchase_total_value) AS amount, COUNT(DISTINCT (purchase_id, purchase_partition)) AS purchases, CAST(SUM(COALESCE(item_quantity, 0)) AS BIGINT) AS quantity"
+_TAMPERED_SQL = f"""{_SNAPSHOT_SQL},
+forced AS (SELECT *, is_metric_eligible OR purchase_id % 101 = 0 AS published FROM gold),
+daily AS (SELECT {_GRAIN}, {_SUMS} FROM gold WHERE is_metric_eligible GROUP BY ALL),
+gmv AS (SELECT * REPLACE (CASE WHEN day(gmv_date) = 4 THEN -1 ELSE amount END AS amount) FROM daily UNION ALL SELECT * FROM daily WHERE gmv_date = DATE '2024-01-06'),
+expected AS (SELECT {_GRAIN}, {_SUMS} FROM forced WHERE published GROUP BY ALL),
+swings AS (SELECT *, abs((amount - before) / NULLIF(before, 0)) AS ratio FROM (SELECT *, LAG(amount) OVER (PARTITION BY snapshot_date, subsidiary ORDER BY gmv_date) AS before FROM gmv))"""
+
+
+def _key(columns: str, of: str = "") -> str:
+    return " || '|' || ".join(f"COALESCE(CAST({of}{c} AS VARCHAR), 'null')" for c in columns.split(", "))
+
+
+_AMOUNTS = {"purchase": "purchase_total_value < 0", "product_item": "purchase_value < 0", "purchase_extra_info": "FALSE", "order_transaction_cost_hist": "order_transaction_cost_vat_value < 0 OR order_transaction_cost_installment_value < 0"}
+
+
+def _checks() -> list[tuple[str, str, str, str]]:
+    """(table, rule, severity, query of the failing rows' key and measure)."""
+    out = []
+    for n, (key, _, links, _) in _ORACLE.items():
+        b, k = f"bronze_{n}_events", _key(key)
+        out += [
+            (b, "bronze_schema_contract_match", "error", "SELECT NULL AS k, NULL AS m WHERE FALSE"),
+            (b, "bronze_partition_key_completeness", "error", f"SELECT {k} AS k, NULL AS m FROM b_{n} WHERE transaction_date IS NULL"),
+            (b, "bronze_raw_duplicate_rate", "warning", f"SELECT {k} AS k, NULL AS m FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY record_hash ORDER BY ingestion_ts) AS place FROM b_{n}) WHERE place > 1"),
+            (b, "bronze_freshness_lag_days", "warning", "SELECT NULL AS k, NULL AS m WHERE FALSE"),
+        ]
+    for n, (key, _, links, _) in _ORACLE.items():
+        t, k = f"silver_{n}_cdc", _key(key)
+        out += [
+            (t, "silver_blocking_quality_status", "error", f"SELECT {k} AS k, NULL AS m FROM s_{n} WHERE NOT complete OR NOT dated"),
+            (t, "silver_post_dedup_exact_resend_uniqueness", "error", f"SELECT {k} AS k, NULL AS m FROM (SELECT {key}, record_hash FROM s_{n} GROUP BY ALL HAVING COUNT(*) > 1)"),
+            *([(t, "silver_purchase_status_contract", "error", f"SELECT {k} AS k, NULL AS m FROM s_{n} WHERE purchase_status IS NULL OR purchase_status NOT IN ('APROVADA', 'CANCELADA', 'INICIADA', 'REEMBOLSADA')")] if n == "purchase" else []),
+            (t, "silver_negative_amount_contract", "error", f"SELECT {k} AS k, NULL AS m FROM s_{n} WHERE {_AMOUNTS[n]}"),
+            (t, "silver_orphan_reference_contract", "warning", f"SELECT {k} AS k, NULL AS m FROM s_{n} WHERE {' OR '.join(f'NOT {x}' for x in links)}"),
+        ]
+    k, g = _key(f"snapshot_date, {_P}"), _key(_GRAIN)
+    torn = "COALESCE(x.amount IS NULL OR y.amount IS NULL OR abs(x.amount - y.amount) > 1e-9 OR x.purchases <> y.purchases OR x.quantity <> y.quantity, FALSE)"
+    both = " || '|' || ".join(f"COALESCE(CAST(COALESCE(x.{c}, y.{c}) AS VARCHAR), 'null')" for c in _GRAIN.split(", "))
+    same = " AND ".join(f"x.{c} = y.{c}" for c in _GRAIN.split(", "))
+    return [
+        *out,
+        (SNAPSHOT_TABLE, "gold_snapshot_uniqueness_by_grain", "error", f"SELECT {k} AS k, NULL AS m FROM (SELECT snapshot_date, {_P} FROM forced GROUP BY ALL HAVING COUNT(*) > 1)"),
+        (SNAPSHOT_TABLE, "gold_snapshot_no_future_leakage", "error", f"SELECT {k} AS k, NULL AS m FROM forced WHERE product_item_source_transaction_date > snapshot_date"),
+        (SNAPSHOT_TABLE, "gold_snapshot_completeness_flag_contract", "error", f"SELECT {k} AS k, NULL AS m FROM forced WHERE has_product_item <> (product_item_source_record_hash IS NOT NULL) OR has_purchase <> (purchase_source_record_hash IS NOT NULL)"),
+        (SNAPSHOT_TABLE, "gold_snapshot_metric_eligibility_contract", "error", f"SELECT {k} AS k, NULL AS m FROM forced WHERE published <> is_metric_eligible"),
+        (GMV_TABLE, "gold_gmv_uniqueness_by_grain", "error", f"SELECT {g} AS k, NULL AS m FROM (SELECT {_GRAIN} FROM gmv GROUP BY ALL HAVING COUNT(*) > 1)"),
+        (GMV_TABLE, "gold_gmv_reconciliation_to_snapshot", "error", f"SELECT {both} AS k, NULL AS m FROM expected x FULL JOIN gmv y ON {same} WHERE {torn}"),
+        (GMV_TABLE, "gold_gmv_non_negative_amounts", "error", f"SELECT {g} AS k, NULL AS m FROM gmv WHERE amount < 0 OR purchases < 0 OR quantity < 0"),
+        (GMV_TABLE, "gold_gmv_daily_swing_anomaly", "warning", f"SELECT {g} AS k, ratio AS m FROM swings WHERE ratio > 1.5"),
+    ]
+
+
+
+_FAILED_SQL = f"{_TAMPERED_SQL}, failed AS ({' UNION ALL '.join(f'SELECT {chr(39)}{t}{chr(39)} AS table_name, {chr(39)}{r}{chr(39)} AS rule_name, k, CAST(m AS DOUBLE) AS m FROM ({q})' for t, r, _, q in _checks())})"
+_ROWS_SQL = " UNION ALL ".join([*(f"SELECT 'bronze_{n}_events' AS table_name, COUNT(*) AS n, MAX(transaction_date) AS newest FROM b_{n}" for n in BRONZE), *(f"SELECT 'silver_{n}_cdc', COUNT(*), MAX(transaction_date) FROM s_{n}" for n in BRONZE), f"SELECT '{SNAPSHOT_TABLE}', COUNT(*), NULL FROM forced", f"SELECT '{GMV_TABLE}', COUNT(*), NULL FROM gmv"])
+_RESULTS_SQL = f"""{_FAILED_SQL}, sizes AS ({_ROWS_SQL}), raw AS (SELECT MAX(newest) AS top FROM sizes WHERE table_name LIKE 'bronze%'),
+rules AS ({' UNION ALL '.join(f"SELECT '{t}' AS table_name, '{r}' AS rule_name, '{v}' AS severity" for t, r, v, _ in _checks())}),
+hits AS (SELECT table_name, rule_name, COUNT(*) AS n, MAX(m) AS most FROM failed GROUP BY ALL),
+firsts AS (SELECT table_name, rule_name, string_agg(k, ',' ORDER BY k) AS keys FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, rule_name ORDER BY k) AS nth FROM (SELECT DISTINCT table_name, rule_name, k FROM failed WHERE k IS NOT NULL)) WHERE nth <= 5 GROUP BY ALL),
+results AS (SELECT r.*, COALESCE(h.n, 0) AS n, COALESCE(f.keys, '') AS keys, CASE WHEN r.rule_name = 'bronze_freshness_lag_days' THEN CAST(date_diff('day', s.newest, (SELECT top FROM raw)) AS DOUBLE) WHEN r.rule_name = 'bronze_raw_duplicate_rate' THEN COALESCE(h.n, 0) / CAST(s.n AS DOUBLE)
+ WHEN r.rule_name = 'gold_gmv_daily_swing_anomaly' THEN COALESCE(h.most, 0) ELSE CAST(COALESCE(h.n, 0) AS DOUBLE) END AS metric FROM rules r JOIN sizes s USING (table_name) LEFT JOIN hits h USING (table_name, rule_name) LEFT JOIN firsts f USING (table_name, rule_name))"""
+
+
+@query(f"""{_RESULTS_SQL} SELECT table_name, rule_name, severity, CASE WHEN n > 0 THEN 'failed' ELSE 'passed' END AS rule_status, n AS impacted_record_count, ROUND(metric, 9) AS metric_value, keys AS impacted_business_keys FROM results""")
+def dq_results(spark, d):
+    results = evaluated(spark, d)[1]
+    return results.select("table_name", "rule_name", "severity", "rule_status", "impacted_record_count", F.round("metric_value", 9).alias("metric_value"), F.array_join("impacted_business_keys", ",").alias("impacted_business_keys"))
+
+
+@query(f"""{_RESULTS_SQL}, per AS (SELECT table_name, COUNT(*) FILTER (WHERE n > 0 AND severity = 'error') AS errors, COUNT(*) FILTER (WHERE n > 0 AND severity = 'warning') AS warnings FROM results GROUP BY 1),
+every AS (SELECT table_name, errors, warnings, s.n AS output_row_count FROM per JOIN sizes s USING (table_name) UNION ALL SELECT 'all_tables', SUM(errors), SUM(warnings), (SELECT n FROM sizes WHERE table_name = '{GMV_TABLE}') FROM per)
+SELECT table_name, CAST(errors AS BIGINT) AS error_result_count, CAST(warnings AS BIGINT) AS warning_result_count, CASE WHEN errors > 0 THEN 'failed' WHEN warnings > 0 THEN 'completed_with_warnings' ELSE 'succeeded' END AS run_status, output_row_count FROM every""")
+def dq_run_log(spark, d):
+    return evaluated(spark, d)[0].select("table_name", "error_result_count", "warning_result_count", "run_status", "output_row_count")
+
+
+@query(f"""{_FAILED_SQL} SELECT table_name, rule_name, k AS business_key FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, rule_name ORDER BY k NULLS LAST) AS nth FROM failed) WHERE nth <= 5""")
+def dq_quarantine(spark, d):
+    return evaluated(spark, d)[2].select("table_name", "rule_name", "business_key")
