@@ -134,18 +134,26 @@ def verified_links(prints: np.ndarray, pivots: np.ndarray, blobs: list[bytes]) -
 
 
 def partners(classes: DataFrame) -> DataFrame:
-    """``bucket``, ``code`` and ``size`` of the classes that have another within the radius in a bucket; ``size`` is how many do there."""
+    """``bucket``, ``code`` and ``size`` of the classes that have another within the radius in a band; ``size`` is how many do there.
+
+    A bucket is named by its classes, so what meets in many bands is one bucket.
+    """
     pivots = pivot_table(PIVOTS)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, code, fp in whole_groups(batches, 3):
             fp = fp.view(np.uint64)
             found = np.unique(np.concatenate(links_in_buckets(keys, fp, distances(fp, pivots), RADIUS)))
-            _, place, sizes = np.unique(keys[found], return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[found]), pa.array(code[found]), pa.array(sizes[place] if len(found) else found)], names=["bucket", "code", "size"])
+            if not len(found):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], np.diff(keys[found]) != 0)))
+            sizes = np.diff(np.append(starts, len(found)))
+            mixed = code[found].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            names = np.add.reduceat((mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names.view(np.int64), sizes)), pa.array(code[found]), pa.array(np.repeat(sizes, sizes))], names=["bucket", "code", "size"])
 
     dealt = classes.select(F.explode("bands").alias("bucket"), "code", "fp")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "code").mapInArrow(meet, "bucket bigint, code bigint, size bigint")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "code").mapInArrow(meet, "bucket bigint, code bigint, size bigint").dropDuplicates(["bucket", "code"])
 
 
 def links_of(partnered: DataFrame, sets: DataFrame) -> DataFrame:

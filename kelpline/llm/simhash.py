@@ -24,6 +24,8 @@ from .components import components
 SHINGLE, RADIUS, PIVOTS = 4, 4, 16
 #: Groups over this size are searched breadth-first; smaller ones by shifted comparison of many groups at once.
 SHIFTED = 64
+#: Hashes that are spread into bits at a time.
+BLOCK = 65_536
 
 
 def shingle_hashes(texts: list[list[bytes]], width: int) -> tuple[bytes, np.ndarray]:
@@ -50,16 +52,13 @@ def shingle_hashes(texts: list[list[bytes]], width: int) -> tuple[bytes, np.ndar
 
 def fingerprints_from(hashes: bytes, counts: np.ndarray) -> np.ndarray:
     """64-bit SimHash of each text: bit set if set in over half the hashes; zero without any."""
-    out = np.zeros(len(counts), np.uint64)
-    if not hashes:
-        return out
-    bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-    some = np.flatnonzero(counts)
-    starts = np.cumsum(counts[some]) - counts[some]
-    set_in = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    packed = np.packbits(2 * set_in > counts[some, None], axis=1)  # first bit of a digest is the highest
-    out[some] = packed.reshape(-1).view(">u8").astype(np.uint64)
-    return out
+    flat, owner, set_in = np.frombuffer(hashes, np.uint8).reshape(-1, 8), np.repeat(np.arange(len(counts)), counts), np.zeros((len(counts), 64), np.int64)
+    for i in range(0, len(flat), BLOCK):  # eight times the size as bits
+        bits, own = np.unpackbits(flat[i : i + BLOCK], axis=1), owner[i : i + BLOCK]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        set_in[own[starts]] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    packed = np.packbits(2 * set_in > counts[:, None], axis=1)  # first bit of a digest is the highest
+    return packed.reshape(-1).view(">u8").astype(np.uint64)
 
 
 def fingerprints_of(texts: list[str | None], width: int = SHINGLE) -> np.ndarray:
