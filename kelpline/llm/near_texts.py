@@ -178,7 +178,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``id_col``, ``mark`` and ``component_id`` (the least id reachable over links) of every row with an id.
 
     Two texts link if they are equal in lower case up to white space, or if their sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more (and their fingerprints are within ``RADIUS`` bits, as 99.9 % of such pairs are).  Texts without
+    similarity of 0.8 or more (and their fingerprints are within ``RADIUS`` bits, as those of all such pairs in the test tables are).  Texts without
     words are one class.  Repeated rows are one class; columns other than these two are not read.
     """
     named = docs.where(F.col(id_col).isNotNull())
