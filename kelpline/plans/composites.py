@@ -7,6 +7,7 @@ are dealt to a few weeks.  The same text makes the raw events here and there; al
 from __future__ import annotations
 
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -248,9 +249,11 @@ def snapshot_one_day(spark, d):
 # -- quality ------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
 def evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run log, results and quarantine of all published tables, with some eligible rows forced and an aggregate that has one wrong
-    day and one repeated.  The tables stand in for stored ones, so they are kept while the rules read them."""
+    day and one repeated.  The tables stand in for stored ones, so they are kept while the rules read them.  One evaluation has three
+    outputs, all of them local rows; the last is remembered, so that the three queries don't each repeat it."""
     raw = {n: f.persist() for n, f in bronze(spark, d).items()}
     silver = {n: f.persist() for n, f in cdc.silver_frames(raw).items()}
     snapshot = bitemporal.purchase_snapshot(silver, "2024-03-01").persist()
