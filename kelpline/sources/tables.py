@@ -70,7 +70,13 @@ class TableStore:
 
         seen, target = Observation(), self.spark.table(self.name(table)).columns
         rows = df.select(*target).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.option("partitionOverwriteMode", mode).insertInto(self.name(table), overwrite=overwrite)
+        # insertInto takes the mode from the session alone, so loads of one session must not run at the same time
+        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+        try:
+            rows.write.insertInto(self.name(table), overwrite=overwrite)
+        finally:
+            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         return seen.get["n"]
 
     def append(self, df: DataFrame, table: str) -> int:

@@ -86,6 +86,15 @@ def test_a_day_without_rows_loses_its_partition(spark, folder, store):
     assert store.read(SNAPSHOT_TABLE, day, "snapshot_date").count() == 2
 
 
+def test_replacement_follows_its_mode(spark, store):
+    spark.sql(f"CREATE DATABASE `{store.namespace}`")
+    spark.sql(f"CREATE TABLE {store.name('t')} (a INT, d DATE) USING parquet PARTITIONED BY (d)")
+    rows = spark.sql("SELECT 1 AS a, DATE'2024-01-01' AS d UNION ALL SELECT 2, DATE'2024-01-02'")
+    assert (store.replace_all(rows, "t"), store.replace_all(rows.where("a = 1"), "t"), store.read("t").count()) == (2, 1, 1)
+    store.replace_all(rows, "t")
+    assert (store.replace_partitions(rows.where("a = 1"), "t"), store.read("t").count()) == (1, 2)
+
+
 def test_files(spark, folder, tmp_path):
     latest = item_lookup(folder_loads(spark, folder)[0].df)
     assert sorted(map(tuple, latest.collect())) == [(1, 5), (2, 6)]
