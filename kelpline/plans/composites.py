@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from datetime import date
 from functools import lru_cache
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitemporal, cdc, impact, metrics, quality
 from ..sources.contracts import GMV_TABLE, SNAPSHOT_TABLE, SOURCES, schema_of
+from ..sources.session import delete_folders, shared_dir
 from .catalogue import _read, query
 
 DAY = date(2024, 1, 6)
@@ -249,20 +251,26 @@ def snapshot_one_day(spark, d):
 # -- quality ------------------------------------------------------------------------
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @lru_cache(maxsize=1)
 def evaluated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Run log, results and quarantine of all published tables, with some eligible rows forced and an aggregate that has one wrong
-    day and one repeated.  The tables stand in for stored ones, so they are kept while the rules read them.  One evaluation has three
-    outputs, all of them local rows; the last is remembered, so that the three queries don't each repeat it."""
-    raw = {n: f.persist() for n, f in bronze(spark, d).items()}
-    silver = {n: f.persist() for n, f in cdc.silver_frames(raw).items()}
-    snapshot = bitemporal.purchase_snapshot(silver, "2024-03-01").persist()
-    gmv = metrics.gmv_daily(snapshot).persist()
+    day and one repeated.  Each layer is written and read again, as a load does it, so the rules' plans begin at files; the files go
+    at the end.  One evaluation has three outputs, all of them local rows; the last is remembered, so that the three queries don't
+    each repeat it."""
+    folder = f"{shared_dir(spark)}/quality-{uuid4().hex}"
     try:
+        raw = {n: stored(f, f"{folder}/bronze/{n}") for n, f in bronze(spark, d).items()}
+        silver = {n: stored(f, f"{folder}/silver/{n}") for n, f in cdc.silver_frames(raw).items()}
+        snapshot = stored(bitemporal.purchase_snapshot(silver, "2024-03-01"), f"{folder}/snapshot")
+        gmv = stored(metrics.gmv_daily(snapshot), f"{folder}/gmv")
         return quality.evaluate(tampered(raw, silver, snapshot, gmv), "r")
     finally:
-        for frame in (gmv, snapshot, *silver.values(), *raw.values()):
-            frame.unpersist()
+        delete_folders(spark, [folder])
 
 
 def tampered(raw: dict[str, DataFrame], silver: dict[str, DataFrame], snapshot: DataFrame, gmv: DataFrame) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
@@ -23,3 +25,24 @@ def session(app_name: str = "kelpline", warehouse: str | None = None, master: st
     if warehouse:
         builder = builder.config("spark.sql.warehouse.dir", warehouse)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine, where it may be unset, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            base = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = f"{spark.conf.get('spark.sql.warehouse.dir')}/kelpline-scratch"
+        else:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return base
+
+
+def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
