@@ -68,4 +68,27 @@ cov AS (SELECT DISTINCT doc_id, i + k AS p FROM dup CROSS JOIN (SELECT unnest(ra
 tok AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, n + 1)) AS p FROM w),
 kept AS (SELECT tok.doc_id, string_agg(word, ' ' ORDER BY tok.p) AS left_over, count(*) AS c FROM tok LEFT JOIN cov ON tok.doc_id = cov.doc_id AND tok.p = cov.p WHERE cov.p IS NULL GROUP BY 1)
 SELECT w.doc_id, w.n AS n_words, w.n - coalesce(c, 0) AS n_removed, sha256(coalesce(left_over, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op6_quality_rules": """
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+win AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM twice CROSS JOIN (SELECT unnest(range(3)) AS k) GROUP BY 1),
+lines AS (SELECT r, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w),
+base AS (SELECT r, doc_id, stratum, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w JOIN lines USING (r) LEFT JOIN rep USING (r)),
+stats AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / nullif(word_chars, 0) AS v1, n_dup_lines / nullif(n_words, 0) AS v2, n_repeat_words / nullif(n_words, 0) AS v3, word_chars / nullif(n_words, 0) / 100 AS v4 FROM base),
+held AS (SELECT * FROM stats WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1)),
+cuts AS (SELECT list_transform(range(48), lambda i: round(0.95e0 * pow(0.9e0, i), 6)) AS c), places AS (SELECT unnest(range(48)) AS i),
+sizes AS (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, stratum) AS m FROM held GROUP BY 1),
+alone AS (SELECT stratum, n FROM sizes WHERE m <= (SELECT coalesce(max(m), 0) FROM sizes WHERE n >= ln(0.025e0 / m / 4) / ln(1 - 0.0025e0))),
+own AS (SELECT stratum, any_value(a.n) AS n, i, count(*) FILTER (WHERE v1 > c[i + 1]) AS h1, count(*) FILTER (WHERE v2 > c[i + 1]) AS h2, count(*) FILTER (WHERE v3 > c[i + 1]) AS h3, count(*) FILTER (WHERE v4 > c[i + 1]) AS h4
+ FROM held JOIN alone a USING (stratum) CROSS JOIN places CROSS JOIN cuts GROUP BY stratum, i),
+pool AS (SELECT i, count(*) AS n, count(*) FILTER (WHERE v1 > c[i + 1] OR v2 > c[least(i, 10) + 1] OR v3 > c[least(i, 5) + 1] OR v4 > c[least(i, 16) + 1]) AS hit FROM held CROSS JOIN places CROSS JOIN cuts WHERE stratum NOT IN (SELECT stratum FROM alone) GROUP BY i),
+trials AS (SELECT stratum, rule, i, n, hit, 0.0025e0 AS p, 0.025e0 / 4 / (SELECT count(*) FROM alone) AS level FROM own UNPIVOT (hit FOR rule IN (h1, h2, h3, h4))
+ UNION ALL SELECT NULL, 'pool', i, n, hit, 0.01e0, CASE WHEN EXISTS (SELECT 1 FROM alone) THEN 0.025e0 ELSE 0.05e0 END FROM pool),
+sure AS (SELECT stratum, rule, max(i) AS i FROM trials WHERE hit <= p * n AND list_sum(list_transform(range(hit + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)))) <= level GROUP BY 1, 2),
+limits AS (SELECT stratum, max(c[i + 1]) FILTER (WHERE rule = 'h1') AS l1, max(c[i + 1]) FILTER (WHERE rule = 'h2') AS l2, max(c[i + 1]) FILTER (WHERE rule = 'h3') AS l3, max(c[i + 1]) FILTER (WHERE rule = 'h4') AS l4 FROM sure CROSS JOIN cuts WHERE rule <> 'pool' GROUP BY 1
+ UNION ALL SELECT sizes.stratum, c[i + 1], c[least(i, 10) + 1], c[least(i, 5) + 1], c[least(i, 16) + 1] FROM sure CROSS JOIN cuts CROSS JOIN sizes WHERE rule = 'pool' AND sizes.stratum NOT IN (SELECT stratum FROM alone))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(v1 > l1, FALSE) AND NOT coalesce(v2 > l2, FALSE) AND NOT coalesce(v3 > l3, FALSE) AND NOT coalesce(v4 > l4, FALSE) AS kept
+FROM stats LEFT JOIN limits USING (stratum)""",
 }
