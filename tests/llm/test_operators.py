@@ -742,3 +742,15 @@ def removed_rows(rows, width):
                 stay[i : i + width] = [False] * width
         out.append((k, t if all(stay) else " ".join(x for x, s in zip(w, stay) if s)))
     return out
+
+
+def test_quality_rules_query_equals_its_sql(spark):
+    import duckdb
+
+    sf_dir = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op6_quality_rules"])
+    got = queries.QUERIES["op6_quality_rules"](spark, sf_dir).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
