@@ -22,6 +22,8 @@ from .common import cut, map_rows, sent
 from .components import components
 
 SHINGLE, RADIUS, PIVOTS = 4, 4, 16
+#: A fingerprint that more than one in so many rows have is broadcast, so there are fewer of these than this.
+OFTEN = 1000
 #: Groups over this size are searched breadth-first; smaller ones by shifted comparison of many groups at once.
 SHIFTED = 64
 #: Hashes that are spread into bits at a time.
@@ -210,13 +212,17 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS,
 
     Two rows link if their fingerprints differ in ``radius`` bits or fewer.  Texts are whole; null and empty ones have
     fingerprint zero and link like any others.  Null ids don't count as least unless a component has no others; repeated rows
-    are one fingerprint.  Copies are one fingerprint each from the start, so groups of copies cost nothing further on.
+    are one fingerprint.  Copies are one fingerprint each from the start, and the answers for fingerprints that many rows have
+    are broadcast, so no task gets a group of copies.
     """
     each = cut(fingerprints(docs, width, id_col, text_col), "simhash")
-    distinct = each.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = each.groupBy("fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies"))
     roots = components(fingerprint_links(distinct, radius), "simhash-links")
-    named = distinct.join(component_ids(distinct, roots, "fp"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return each.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = cut(distinct.join(component_ids(distinct, roots, "fp"), "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")), "simhash-named")
+    often = F.col("copies") > each.count() / OFTEN
+    common, others = F.broadcast(named.where(often)), named.where(~often)
+    found = each.join(common, "fp").unionByName(each.join(common, "fp", "left_anti").join(others, "fp"))
+    return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def component_ids(distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
