@@ -108,6 +108,12 @@ def repeated_groups(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 
 
+def first_keys(events: DataFrame, by: list[str], key: str, most: int = SAMPLE_LIMIT) -> DataFrame:
+    """The least ``most`` distinct keys of each group.  Ranks are limited before the exchange too, so few events move."""
+    ranked = events.select(*by, key).withColumn("_rank", F.dense_rank().over(Window.partitionBy(*by).orderBy(key)))
+    return ranked.where(F.col("_rank") <= most).drop("_rank").distinct()
+
+
 def table_events(table: str, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """All failing rows of a table, by rule."""
     parts, keys = [], grain(table)
@@ -154,9 +160,9 @@ def evaluate(tables: Mapping[str, DataFrame], run_id: str, pipeline_name: str =
     try:
         counts = {(r["table_name"], r["rule"]): r for r in events.groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("n"), F.max("measure").alias("most")).collect()}
         w = Window.partitionBy("table_name", "rule")
-        keyed = events.where("business_key is not null").select("table_name", "rule", "business_key").distinct().withColumn("_place", F.row_number().over(w.orderBy("business_key"))).where(F.col("_place") <= sample_limit)
+        keyed = first_keys(events.where("business_key is not null"), ["table_name", "rule"], "business_key", sample_limit)
         keys: dict[tuple, list[str]] = {}
-        for r in keyed.orderBy("table_name", "rule", "_place").collect():
+        for r in keyed.orderBy("table_name", "rule", "business_key").collect():
             keys.setdefault((r["table_name"], r["rule"]), []).append(r["business_key"])
         samples = events.withColumn("_place", F.row_number().over(w.orderBy(F.col("business_key").asc_nulls_last(), "payload"))).where(F.col("_place") <= sample_limit).collect()
     finally:
