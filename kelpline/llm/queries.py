@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, conv_quality, lm_scores, nn_descent, packing, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from . import bpe_codec, chat_format, conv_quality, lexical_search, lm_scores, nn_descent, packing, quality_rules, simhash, substring_dedup, token_alignment, token_counts, url_filter
 from .common import table
 
-#: The vocabulary file; every machine has it at the same path.
+#: Vocabulary files; every machine has them at the same paths.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op9_nn_descent, op10_token_counts)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, PIECES, digest=True)
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    awkward = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], talks.schema)
+    return chat_format.read_digests(chat_format.format_conversations(talks.unionAll(awkward)))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_lm_scores, op3_substring_dedup, op4_url_filter, op5_packing, op6_quality_rules, op7_bpe_codec, op8_conv_quality, op9_nn_descent, op10_token_counts, op11_token_alignment, op12_chat_format, op13_lexical_search)}
 
 #: Queries that DuckDB can express on the whole tables; the others rest on trained models, tokenizers or approximate search.
 ORACLE_SQL: dict[str, str] = {
@@ -91,4 +106,14 @@ limits AS (SELECT stratum, max(c[i + 1]) FILTER (WHERE rule = 'h1') AS l1, max(c
  UNION ALL SELECT sizes.stratum, c[i + 1], c[least(i, 10) + 1], c[least(i, 5) + 1], c[least(i, 16) + 1] FROM sure CROSS JOIN cuts CROSS JOIN sizes WHERE rule = 'pool' AND sizes.stratum NOT IN (SELECT stratum FROM alone))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(v1 > l1, FALSE) AND NOT coalesce(v2 > l2, FALSE) AND NOT coalesce(v3 > l3, FALSE) AND NOT coalesce(v4 > l4, FALSE) AS kept
 FROM stats LEFT JOIN limits USING (stratum)""",
+    "op13_lexical_search": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY 1, 2),
+s AS (SELECT count(*) AS big_n, sum(len(terms)) AS big_l FROM d WHERE len(terms) > 0),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf CROSS JOIN s GROUP BY term, big_n),
+m AS (SELECT r, doc_id, 25 + (75 * len(terms) * big_n) // big_l AS m FROM d CROSS JOIN s WHERE len(terms) > 0),
+scored AS (SELECT item_id, m.r, m.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (r) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
