@@ -41,8 +41,8 @@ def business_key(names: Iterable[str]) -> Column:
 
 
 def flags(conditions: Mapping[str, Column]) -> Column:
-    """Sorted names of the conditions that hold; a null condition doesn't."""
-    return F.sort_array(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items())))) if conditions else no_flags()
+    """Sorted names of the conditions that hold; a null condition doesn't.  Stays in generated code: no function over elements."""
+    return F.array_remove(F.array(*(F.when(conditions[n], F.lit(n)).otherwise(F.lit("")) for n in sorted(conditions))), "") if conditions else no_flags()
 
 
 def no_flags() -> Column:
@@ -53,7 +53,7 @@ def inherit(own: Column, sources: Mapping[str, Column]) -> Column:
     """A row's own flags and those of its sources as ``source:flag``, each once, sorted; an absent source has none."""
 
     def of_source(name: str) -> Callable[[Column], Column]:
-        return lambda flag: F.format_string(f"{name}:%s", flag)
+        return lambda flag: F.concat(F.lit(f"{name}:"), flag)
 
     for name, theirs in sources.items():
         own = F.array_union(own, F.coalesce(F.transform(theirs, of_source(name)), no_flags()))

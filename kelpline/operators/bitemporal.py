@@ -40,15 +40,53 @@ def entity_days(df: DataFrame, keys: Sequence[str], last_day: Column, date_col:
     return bounded.select(*keys, F.explode(F.sequence("first_date", "_last")).alias(name))
 
 
+def _state(payload: Sequence[str], order: Sequence[str]) -> Column:
+    """A row as a struct that compares by its order first; nulls order lowest."""
+    return F.struct(*order, *(c for c in payload if c not in order))
+
+
+def change_points(histories: Mapping[str, DataFrame], keys: Sequence[str], payloads: Mapping[str, Sequence[str]], order: Sequence[str] = ORDERING, date_col: str = "transaction_date") -> DataFrame:
+    """Keys, ``valid_from``, ``valid_to`` (null: open) and one struct a history: its row with the highest order among those dated so far.
+
+    A row a key and day on which any history has a row.  All histories go through one exchange and one sort: each of their rows is
+    a point in time that sets one of the structs, and the maximum so far, ties of a day included, is the state from then on.  A
+    row that arrives later but is ordered earlier never replaces a state.
+    """
+    points = [df.select(*keys, F.col(date_col).alias("valid_from"), _state(payloads[name], order).alias(name)) for name, df in histories.items()]
+    in_time = Window.partitionBy(*keys).orderBy("valid_from")
+    both = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), points)
+    so_far = {name: F.max(name).over(in_time) for name in histories}
+    swept = both.withColumns(so_far | {"valid_to": F.lead("valid_from").over(in_time)})
+    return swept.where("valid_to is null or valid_to > valid_from").select(*keys, "valid_from", "valid_to", *histories)
+
+
+def states_on(histories: Mapping[str, DataFrame], keys: Sequence[str], payloads: Mapping[str, Sequence[str]], day: date, order: Sequence[str] = ORDERING, date_col: str = "transaction_date") -> DataFrame:
+    """Keys and one struct a history as known on one day: an aggregate that combines before its only exchange."""
+    rows = [df.where(F.col(date_col) <= F.lit(day)).select(*keys, _state(payloads[name], order).alias(name)) for name, df in histories.items()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows).groupBy(*keys).agg(*(F.max(name).alias(name) for name in histories))
+
+
 def validity(df: DataFrame, keys: Sequence[str], payload: Sequence[str], order: Sequence[str] = ORDERING, date_col: str = "transaction_date") -> DataFrame:
-    """Keys, ``valid_from``, ``valid_to`` (null: open) and ``state``: the row with the highest order among those dated so far.
+    """The change points of one history, with ``state``."""
+    return change_points({"state": df}, keys, {"state": payload}, order, date_col)
+
 
-    A row that arrives later but is ordered earlier never replaces the state.  Nulls order lowest.
+def cut_by(points: DataFrame, intervals: DataFrame, keys: Mapping[str, str], name: str) -> DataFrame:
+    """Interval rows cut where the state of other keys changes, with that state as ``name`` (null before the first and without keys).
+
+    The other keys' intervals are given a beginning without a state, so that together they cover all time, and every pair of
+    intervals with something in common gives a row.  A key that many rows share is divided by the engine's skew join.
     """
-    state = F.struct(*order, *(c for c in payload if c not in order))
-    daily = df.groupBy(*keys, F.col(date_col).alias("valid_from")).agg(F.max(state).alias("state"))
-    by_key = Window.partitionBy(*keys).orderBy("valid_from")
-    return daily.withColumns({"state": F.max("state").over(by_key.rowsBetween(Window.unboundedPreceding, 0)), "valid_to": F.lead("valid_from").over(by_key)})
+    begins = Window.partitionBy(*keys.values()).orderBy("valid_from")
+    own = F.struct(F.col("valid_from").alias("f"), F.col("valid_to").alias("t"), "state")
+    before = F.struct(F.lit(None).cast("date").alias("f"), F.col("valid_from").alias("t"), F.lit(None).cast(intervals.schema["state"].dataType).alias("state"))
+    placed = intervals.withColumn("_first", F.lag("valid_from").over(begins).isNull()).withColumn("_span", F.explode(F.when(F.col("_first"), F.array(before, own)).otherwise(F.array(own))))
+    other = placed.select(*(F.col(t).alias(f"_key{i}") for i, t in enumerate(keys.values())), F.col("_span.state").alias(name), F.col("_span.f").alias("_from"), F.col("_span.t").alias("_to"))
+    meets = (F.col("_from").isNull() | F.col("valid_to").isNull() | (F.col("_from") < F.col("valid_to"))) & (F.col("_to").isNull() | (F.col("_to") > F.col("valid_from")))
+    same = X.all_true(F.col(k) == F.col(f"_key{i}") for i, k in enumerate(keys))
+    both = points.join(other, same & meets, "left")
+    kept = [c for c in points.columns if c not in ("valid_from", "valid_to")]
+    return both.select(*kept, F.greatest("valid_from", "_from").alias("valid_from"), F.least("valid_to", "_to").alias("valid_to"), name)
 
 
 def covers(day: Column, side: str) -> Column:
@@ -108,29 +146,30 @@ DERIVED_FLAGS = {
 _HAS = {"purchase": "has_purchase", "product_item": "has_product_item", "purchase_extra_info": "has_extra_info", "order_transaction_cost_hist": "has_order_transaction_cost_hist"}
 
 
-def _intervals(silver: Mapping[str, DataFrame], name: str, keys: Sequence[str]) -> DataFrame:
-    return validity(usable(silver[name]), keys, (*_PAYLOADS[name], *_CARRIED))
+#: Sources that share the purchase's key.
+_OWN = tuple(s for s in _PAYLOADS if s != "product_item")
 
 
-def purchase_snapshot(silver: Mapping[str, DataFrame], created_at: str | None = None, day: date | None = None) -> DataFrame:
-    """Every purchase's state as known on each day since it was first seen, or on one ``day``.
+def _carried(name: str) -> tuple[str, ...]:
+    return (*_PAYLOADS[name], *_CARRIED)
+
+
+def snapshot_intervals(silver: Mapping[str, DataFrame], created_at: str | None = None) -> DataFrame:
+    """Every purchase's judged state as intervals [``valid_from``, ``valid_to``), the last one open: a row a change, not a day.
 
-    A purchase's own intervals already cover all its days, so they are exploded to days instead of being joined to them; the
-    other sources are joined by interval, the item by the key that the purchase has that day.
+    Two exchanges of the purchases: one by their key, for the three sources that share it, one by the key of the item that they
+    have at the time.
     """
-    own = _intervals(silver, "purchase", PURCHASE_KEY)
-    if day is None:
-        until = F.coalesce(F.date_sub("valid_to", 1), last_date([usable(f) for f in silver.values()]))
-        days = own.withColumn("_until", until).where("valid_from <= _until").withColumn("snapshot_date", F.explode(F.sequence("valid_from", "_until")))
-    else:
-        days = own.alias("r").where(covers(F.lit(day), "r")).withColumn("snapshot_date", F.lit(day))
-    base = days.select("snapshot_date", *PURCHASE_KEY, F.col("state").alias("purchase"))
-    base = as_of(base, _intervals(silver, "purchase_extra_info", PURCHASE_KEY), {k: k for k in PURCHASE_KEY}, "snapshot_date", "purchase_extra_info")
-    base = as_of(base, _intervals(silver, "order_transaction_cost_hist", PURCHASE_KEY), {k: k for k in PURCHASE_KEY}, "snapshot_date", "order_transaction_cost_hist")
-    base = as_of(base, _intervals(silver, "product_item", ITEM_KEY), {f"purchase.{k}": k for k in ITEM_KEY}, "snapshot_date", "product_item")
+    own = change_points({s: usable(silver[s]) for s in _OWN}, PURCHASE_KEY, {s: _carried(s) for s in _OWN}).where("purchase is not null")
+    items = validity(usable(silver["product_item"]), ITEM_KEY, _carried("product_item"))
+    return _judged(cut_by(own, items, {f"purchase.{k}": k for k in ITEM_KEY}, "product_item"), ("valid_from", "valid_to"), created_at)
+
+
+def _judged(states: DataFrame, kept: Sequence[str], created_at: str | None) -> DataFrame:
+    """The snapshot's columns, but its day, of rows with one struct a source."""
     stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
-    wide = base.select(
-        "snapshot_date",
+    wide = states.select(
+        *kept,
         *PURCHASE_KEY,
         stamp.alias("snapshot_created_at"),
         F.col("purchase.release_date").alias("gmv_date"),
@@ -140,7 +179,51 @@ def purchase_snapshot(silver: Mapping[str, DataFrame], created_at: str | None =
         *(F.col(f"{s}.{c}").alias(f"{s}_source_{c}") for s in _PAYLOADS for c in ("transaction_datetime", "transaction_date", "record_hash")),
         *(F.col(f"{s}.quality_flags").alias(f"_{s}") for s in _PAYLOADS),
     )
-    return judge_snapshot(wide, {s: f"_{s}" for s in _PAYLOADS}).select(*names(SNAPSHOT))
+    return judge_snapshot(wide, {s: f"_{s}" for s in _PAYLOADS}).drop(*(f"_{s}" for s in _PAYLOADS))
+
+
+def purchase_snapshot(silver: Mapping[str, DataFrame], created_at: str | None = None, day: date | None = None) -> DataFrame:
+    """Every purchase's state as known on each day since it was first seen, or on one ``day``.
+
+    All days are the intervals, judged and then exploded; one day is an aggregate of what was known by then.
+    """
+    if day is None:
+        intervals = snapshot_intervals(silver, created_at)
+        until = F.coalesce(F.date_sub("valid_to", 1), last_date([usable(f) for f in silver.values()]))
+        # the generator can't read a subquery, so the end is a column first
+        days = intervals.withColumn("_until", until).where("valid_from <= _until").withColumn("snapshot_date", F.explode(F.sequence("valid_from", "_until")))
+        return days.select(*names(SNAPSHOT))
+    own = states_on({s: usable(silver[s]) for s in _OWN}, PURCHASE_KEY, {s: _carried(s) for s in _OWN}, day).where("purchase is not null")
+    items = states_on({"product_item": usable(silver["product_item"])}, ITEM_KEY, {"product_item": _carried("product_item")}, day).withColumnsRenamed({k: f"_{k}" for k in ITEM_KEY})
+    both = own.join(items, X.all_true(F.col(f"purchase.{k}") == F.col(f"_{k}") for k in ITEM_KEY), "left").withColumn("snapshot_date", F.lit(day))
+    return _judged(both, ("snapshot_date",), created_at).select(*names(SNAPSHOT))
+
+
+def changed_purchases(yesterday: DataFrame, silver: Mapping[str, DataFrame], day: date) -> DataFrame:
+    """Keys of the purchases that an event of ``day`` touches: one of their own, or one of the item that they had the day before.
+
+    This covers reference flags too.  They flip when a key is first seen, and then it is either the purchase's own key, or that of
+    an item, which its purchases have; an item's own flag was set by the first of them.
+    """
+    today = {n: f.where(F.col("transaction_date") == F.lit(day)) for n, f in silver.items()}
+    items = today["product_item"].select(*ITEM_KEY).where(X.all_present(ITEM_KEY)).distinct()
+    own = [today[s].select(*PURCHASE_KEY).where(X.all_present(PURCHASE_KEY)) for s in _OWN]
+    return reduce(DataFrame.unionByName, [*own, yesterday.join(items, list(ITEM_KEY), "left_semi").select(*PURCHASE_KEY)]).distinct()
+
+
+def next_snapshot(yesterday: DataFrame, silver: Mapping[str, DataFrame], day: date, created_at: str | None = None, changed: DataFrame | None = None) -> DataFrame:
+    """The snapshot of ``day`` from the rows published for the day before it.
+
+    Purchases that nothing happened to are carried forward as they are; the others (``changed_purchases``, or ``changed``) are
+    computed again from their own history.  Equals ``purchase_snapshot(silver, created_at, day)`` if all rows that came since
+    are dated ``day``, whatever times they carry; after older days were loaded again, use that.
+    """
+    keys = changed_purchases(yesterday, silver, day) if changed is None else changed
+    stamp = F.current_timestamp() if created_at is None else F.lit(created_at).cast("timestamp")
+    carried = yesterday.join(keys, list(PURCHASE_KEY), "left_anti").withColumns({"snapshot_date": F.lit(day), "snapshot_created_at": stamp})
+    again = {s: silver[s].join(keys, list(PURCHASE_KEY), "left_semi") for s in _OWN}
+    again["product_item"] = silver["product_item"].join(again["purchase"].select(*ITEM_KEY).distinct(), list(ITEM_KEY), "left_semi")
+    return carried.select(*names(SNAPSHOT)).unionByName(purchase_snapshot(again, created_at, day))
 
 
 def judge_snapshot(wide: DataFrame, flag_columns: Mapping[str, str]) -> DataFrame:

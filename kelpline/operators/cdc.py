@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..sources.contracts import METADATA, SOURCES, Source, names, source
 
+#: What was observed first: by time, rows without one last, then by batch and file (SQL, least first, nulls least).
+FIRST = ("ingestion_ts is null", "ingestion_ts", "batch_id", "source_file")
 ORDERING = ("transaction_datetime", "transaction_date", "ingestion_ts", "record_hash")
 
 
@@ -37,15 +39,18 @@ def enrich(df: DataFrame, source_name: str, batch_id: str, source_file: str | No
     return cast_to_contract(df, spec).withColumns(added)
 
 
-def collapse_resends(df: DataFrame, keys: Sequence[str], hash_col: str = "record_hash", first: Sequence[Column] | None = None) -> DataFrame:
+def collapse_resends(df: DataFrame, keys: Sequence[str], hash_col: str = "record_hash", first: Sequence[str] = FIRST) -> DataFrame:
     """One row per key and hash, the first observed, with ``resend_duplicate_count``.
 
-    One exchange: the count is a window over the same partitions.  Null keys form a group like any value.
+    An aggregate: resends meet within a task before they are exchanged, so a payload that is sent again and again moves once a
+    task.  ``first`` compares rows, the least is kept and nulls are least; rows that compare alike are alike but for columns
+    outside it, of which one's are kept.  Null keys form a group like any value.
     """
-    same = Window.partitionBy(*keys, hash_col)
-    order = first or (F.col("ingestion_ts").asc_nulls_last(), F.col("batch_id").asc_nulls_first(), F.col("source_file").asc_nulls_first())
-    counted = df.withColumns({"resend_duplicate_count": F.count(F.lit(1)).over(same), "_place": F.row_number().over(same.orderBy(*order))})
-    return counted.where("_place = 1").drop("_place")
+    by = [*keys, hash_col]
+    rest = [c for c in df.columns if c not in by]
+    kept = F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), F.struct(*(F.expr(x) for x in first)))
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("resend_duplicate_count"), kept.alias("_kept"))
+    return found.select(*(F.col(c) if c in by else F.col("_kept").getField(c).alias(c) for c in df.columns), "resend_duplicate_count")
 
 
 def number_versions(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDERING) -> DataFrame:

@@ -92,7 +92,7 @@ L_SQL = """SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_pa
 
 @query(f"""SELECT l_orderkey, l_linenumber, record_hash, COUNT(*) AS resend_duplicate_count, MIN(ship) AS first_ship FROM ({L_SQL}) GROUP BY 1, 2, 3""")
 def resend_dedup(spark, d):
-    kept = cdc.collapse_resends(line_events(spark, d), LINE_KEYS, first=(F.col("ship").asc_nulls_last(), F.col("l_partkey"), F.col("l_suppkey")))
+    kept = cdc.collapse_resends(line_events(spark, d), LINE_KEYS, first=("ship is null", "ship", "l_partkey", "l_suppkey"))
     return kept.select(*LINE_KEYS, "record_hash", "resend_duplicate_count", F.col("ship").alias("first_ship"))
 
 
@@ -370,10 +370,10 @@ CHECKS = {"low_value": "o_totalprice < 20000", "not_approved": "o_orderstatus <>
  FROM (SELECT k, ROW_NUMBER() OVER (ORDER BY k) AS r FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE {c}))""" for n, c in CHECKS.items()))
 def dq_results_single_pass(spark, d):
     """All rules in one pass; a failing row is an event per rule it breaks."""
-    broken = F.array_compact(F.array(*(F.when(F.expr(c), F.lit(n)) for n, c in CHECKS.items())))
+    broken = X.flags({n: F.expr(c) for n, c in CHECKS.items()})
     events = _read(spark, d, "orders").select(X.business_key(["o_orderkey"]).alias("key"), F.explode(broken).alias("rule_name"))
     counts = events.groupBy("rule_name").agg(F.count("*").alias("n"))
-    first = quality.first_keys(events, ["rule_name"], "key").groupBy("rule_name").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
+    first = quality.least_keys(events, ["rule_name"], "key").groupBy("rule_name").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
     rules = spark.createDataFrame([(n,) for n in CHECKS], "rule_name string")
     return rules.join(counts, "rule_name", "left").join(first, "rule_name", "left").select("rule_name", F.coalesce("n", F.lit(0)).alias("impacted_record_count"), F.coalesce("keys", F.lit("")).alias("impacted_business_keys"))
 

@@ -46,3 +46,9 @@ def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Remove a folder when the driver's file systems close, which is after all that may still read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
