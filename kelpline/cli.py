@@ -12,7 +12,7 @@ from .plans.dates import FULL, INCREMENTAL, target_day
 from .sources.csv_files import folder_loads
 from .sources.scripts import run_script
 from .sources.session import session
-from .sources.tables import TableStore
+from .sources.staged import StagedStore
 
 
 def parser() -> argparse.ArgumentParser:
@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     mode = FULL if a.reset else a.mode
     day = target_day(a.process_date) if mode == INCREMENTAL else None
-    store = TableStore(session(warehouse=a.warehouse), a.namespace)
+    store = StagedStore(session(warehouse=a.warehouse), a.namespace)
     if a.layer == "tables":
         print("\n".join(store.tables()))
         return 0
@@ -56,6 +56,8 @@ def main(argv: list[str] | None = None) -> int:
         print(summary)
         return int(summary.run_status == "failed")
     store.prepare(a.layer, reset=mode == FULL)
+    if a.layer == "bronze" and mode == FULL:
+        store.prepare("keys", reset=True)
     if a.layer == "bronze":
         print(loads.load_bronze(store, folder_loads(store.spark, a.data_dir, day), a.batch_id or str(uuid.uuid4()), a.ingestion_ts))
     elif a.layer == "silver":

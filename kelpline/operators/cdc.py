@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..sources.contracts import METADATA, SOURCES, Source, names, source
+from ..sources.contracts import METADATA, SOURCES, KeySet, Source, names, source
 
 #: What was observed first: by time, rows without one last, then by batch and file (SQL, least first, nulls least).
 FIRST = ("ingestion_ts is null", "ingestion_ts", "batch_id", "source_file")
@@ -64,11 +64,13 @@ def number_versions(df: DataFrame, keys: Sequence[str], order: Sequence[str] = O
     return numbered.withColumn("event_latest_rank", F.col("event_count_for_key") - F.col("event_version_number") + 1)
 
 
-def with_exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], their_keys: Sequence[str], flag: str) -> DataFrame:
-    """``flag``: whether the keys occur in the other frame.  A null key never does."""
-    known = other.select(*(F.col(t).alias(f"_{flag}_{i}") for i, t in enumerate(their_keys))).where(X.all_present(f"_{flag}_{i}" for i in range(len(their_keys)))).distinct().withColumn(flag, F.lit(True))
+def with_exists_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], their_keys: Sequence[str], flag: str, unique: bool = False) -> DataFrame:
+    """``flag``: whether the keys occur in the other frame.  A null key never does.  ``unique``: the other frame is a set of keys."""
+    known = other.select(*(F.col(t).alias(f"_{flag}_{i}") for i, t in enumerate(their_keys)))
+    if not unique:
+        known = known.where(X.all_present(f"_{flag}_{i}" for i in range(len(their_keys)))).distinct()
     same = X.all_true(F.col(k) == F.col(f"_{flag}_{i}") for i, k in enumerate(keys))
-    return df.join(known, same, "left").select(*df.columns, F.coalesce(flag, F.lit(False)).alias(flag))
+    return df.join(known.withColumn(flag, F.lit(True)), same, "left").select(*df.columns, F.coalesce(flag, F.lit(False)).alias(flag))
 
 
 def assess(df: DataFrame, spec: Source) -> DataFrame:
@@ -92,11 +94,15 @@ def standardize(bronze: DataFrame, spec: Source) -> DataFrame:
     return number_versions(collapse_resends(cleaned, spec.keys), spec.keys)
 
 
-def silver_frame(spec: Source, own: DataFrame, bronze: Mapping[str, DataFrame]) -> DataFrame:
-    """Silver rows of a source's own bronze rows, which may be those of some keys.  References look at all history of the other source."""
+def silver_frame(spec: Source, own: DataFrame, bronze: Mapping[str, DataFrame], known: Mapping[KeySet, DataFrame] | None = None) -> DataFrame:
+    """Silver rows of a source's own bronze rows, which may be those of some keys.
+
+    References look at all history of the other source: at its ``known`` set of keys, if there is one, else at its rows.
+    """
     df = standardize(own, spec)
     for link in spec.links:
-        df = with_exists_flag(df, bronze[link.source], link.keys, link.their_keys, link.flag)
+        held = (known or {}).get(KeySet(link.source, link.their_keys))
+        df = with_exists_flag(df, bronze[link.source] if held is None else held, link.keys, link.their_keys, link.flag, held is not None)
     return assess(df, spec).select(*names(spec.silver_ddl))
 
 

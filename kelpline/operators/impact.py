@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 from functools import reduce
 
@@ -21,12 +21,16 @@ def union_keys(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).distinct()
 
 
-def impacted_keys(bronze: Mapping[str, DataFrame], day: date) -> dict[str, DataFrame]:
-    """Keys of each source whose rows may change because of what arrived on ``day``, directly or over a reference."""
+def impacted_keys(bronze: Mapping[str, DataFrame], day: date, history: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Keys of each source whose rows may change because of what arrived on ``day``, directly or over a reference.
+
+    ``history`` gives the purchases to look for given item keys in; all of them, if there is none.
+    """
     today = {n: f.where(F.col("transaction_date") == F.lit(day)) for n, f in bronze.items()}
     purchases, extras, costs = (keys_of(today[n], PURCHASE_KEY) for n in ("purchase", "purchase_extra_info", "order_transaction_cost_hist"))
     items = keys_of(today["product_item"], ITEM_KEY)
-    over_items = keys_of(bronze["purchase"].join(items, list(ITEM_KEY), "left_semi"), PURCHASE_KEY)
+    purchases_ever = history(items) if history else bronze["purchase"]
+    over_items = keys_of(purchases_ever.join(items, list(ITEM_KEY), "left_semi"), PURCHASE_KEY)
     return {
         "purchase": union_keys(purchases, extras, over_items),
         "product_item": union_keys(items, keys_of(today["purchase"], ITEM_KEY)),
@@ -47,10 +51,15 @@ def on_dates(rows: DataFrame, dates: Sequence[date], date_col: str = "transactio
     return rows.where(F.col(date_col).isin(*dates)) if dates else rows.where("false")
 
 
-def history_of(rows: DataFrame, spec: Source, dates: Sequence[date]) -> DataFrame:
-    """All rows, of whatever date, of the keys that have a row on one of the dates; null keys count as keys."""
-    keys = on_dates(rows, dates).select(*(F.col(k).alias(f"_{k}") for k in spec.keys)).distinct()
-    return rows.join(keys, X.all_true(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in spec.keys), "left_semi")
+def keys_on(rows: DataFrame, spec: Source, dates: Sequence[date]) -> DataFrame:
+    """Keys that have a row on one of the dates; null keys count as keys."""
+    return on_dates(rows, dates).select(*spec.keys).distinct()
+
+
+def history_of(rows: DataFrame, spec: Source, dates: Sequence[date], among: DataFrame | None = None) -> DataFrame:
+    """All rows, of whatever date, of the keys that have a row on one of the dates, found ``among`` some rows that hold them all."""
+    keys = keys_on(rows, spec, dates).withColumnsRenamed({k: f"_{k}" for k in spec.keys})
+    return (rows if among is None else among).join(keys, X.all_true(F.col(k).eqNullSafe(F.col(f"_{k}")) for k in spec.keys), "left_semi")
 
 
 def dates_of(frame: DataFrame) -> list[date]:

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bitemporal, cdc, impact, metrics, quality
-from ..sources.contracts import GMV_TABLE, SNAPSHOT_TABLE, SOURCES, schema_of
-from ..sources.session import delete_at_exit, shared_dir
+from ..sources.contracts import GMV_TABLE, GMV_VIEW, SNAPSHOT_TABLE, SOURCES, schema_of
+from ..sources.session import delete_at_exit, delete_folders, shared_dir
+from ..sources.staged import StagedStore
+from ..sources.tables import qualified
+from . import loads
 from .catalogue import ORACLE_SQL, _read, query
 
 DAY = date(2024, 1, 6)
@@ -115,7 +119,7 @@ def _silver_sql(name: str) -> str:
     key, cleaned, links, warnings = _ORACLE[name]
     complete = " AND ".join(f"{k} IS NOT NULL" for k in key.split(", "))
     flagged = ", ".join(f"{sql} AS {flag}" for flag, sql in links.items())
-    return f"""s_{name} AS (SELECT *, CASE WHEN NOT complete OR NOT dated THEN 'error' WHEN len(flags) > 0 THEN 'warning' ELSE 'valid' END AS quality_status FROM (SELECT *, {_named(_COMMON | warnings)} AS flags FROM (
+    return f"""s_{name} AS MATERIALIZED (SELECT *, CASE WHEN NOT complete OR NOT dated THEN 'error' WHEN len(flags) > 0 THEN 'warning' ELSE 'valid' END AS quality_status FROM (SELECT *, {_named(_COMMON | warnings)} AS flags FROM (
  SELECT *, {complete} AS complete, transaction_datetime IS NOT NULL AND transaction_date IS NOT NULL AS dated, {flagged} FROM (
  SELECT *, COUNT(*) OVER (PARTITION BY {key}) AS event_count_for_key, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY transaction_datetime NULLS FIRST, transaction_date NULLS FIRST, ingestion_ts NULLS FIRST, record_hash NULLS FIRST) AS event_version_number,
  ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY transaction_datetime DESC NULLS LAST, transaction_date DESC NULLS LAST, ingestion_ts DESC NULLS LAST, record_hash DESC NULLS LAST) AS event_latest_rank FROM (
@@ -422,3 +426,72 @@ def dq_run_log(spark, d):
 @query(f"""{_FAILED_SQL} SELECT table_name, rule_name, k AS business_key FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, rule_name ORDER BY k NULLS LAST) AS nth FROM failed) WHERE nth <= 5 AND rule_name NOT IN ('bronze_schema_contract_match', 'bronze_freshness_lag_days')""")
 def dq_quarantine(spark, d):
     return evaluated(spark, d)[2].select("table_name", "rule_name", "business_key")
+
+
+# -- the load path ------------------------------------------------------------------
+
+_LOADED = "snapshot_date, gmv_date, subsidiary, gmv_daily_amount, gmv_daily_purchase_count, gmv_daily_item_quantity, gmv_mtd_amount, quality_status"
+_PUBLISHED_SQL = f"""daily AS (SELECT {_GRAIN}, CAST({_SUMS.replace(' AS amount', ' AS DOUBLE) AS gmv_daily_amount', 1).replace('AS purchases', 'AS gmv_daily_purchase_count').replace('AS quantity', 'AS gmv_daily_item_quantity')},
+ CASE WHEN bool_or(quality_status = 'error') THEN 'error' WHEN bool_or(quality_status = 'warning') THEN 'warning' ELSE 'valid' END AS quality_status FROM gold WHERE is_metric_eligible GROUP BY ALL),
+published AS (SELECT *, SUM(gmv_daily_amount) OVER (PARTITION BY snapshot_date, subsidiary, date_trunc('month', gmv_date) ORDER BY gmv_date ROWS UNBOUNDED PRECEDING) AS gmv_mtd_amount FROM daily)"""
+#: The same tables as they were when nothing after the day had come.
+_UNTIL_SQL = _SNAPSHOT_SQL
+for _name in BRONZE:
+    _UNTIL_SQL = _UNTIL_SQL.replace(f"b_{_name} AS MATERIALIZED (", f"b_{_name} AS MATERIALIZED (SELECT * FROM (", 1)
+_UNTIL_SQL = _UNTIL_SQL.replace("), b_", f") WHERE transaction_date <= DATE '{DAY}'), b_").replace("), s_purchase AS", f") WHERE transaction_date <= DATE '{DAY}'), s_purchase AS", 1)
+
+
+def _published(store: StagedStore, days: DataFrame) -> DataFrame:
+    """Rows of a namespace that is then removed."""
+    kept = stored(days, "published")
+    store.spark.sql(f"DROP DATABASE {qualified(None, store.namespace)} CASCADE")
+    delete_folders(store.spark, [f"{store.spark.conf.get('spark.sql.warehouse.dir')}/{store.namespace}-staged"])
+    return kept
+
+
+def _loaded(spark: SparkSession, raw: dict[str, DataFrame]) -> StagedStore:
+    """All layers of some raw events, loaded in full into a namespace of their own."""
+    store = StagedStore(spark, f"load_{uuid4().hex[:12]}")
+    for layer in ("bronze", "keys", "silver", "snapshot", "gmv"):
+        store.prepare(layer)
+    for name, events in raw.items():
+        loads.append_events(store, events, name, "first")
+    loads.load_silver(store)
+    loads.load_snapshot(store, created_at=CREATED)
+    loads.load_gmv(store)
+    return store
+
+
+@query(f"{_SNAPSHOT_SQL}, {_PUBLISHED_SQL} SELECT {_LOADED} FROM published")
+def load_full(spark, d):
+    """Raw events through bronze, silver, snapshot and revenue tables, read back from the last."""
+    store = _loaded(spark, bronze(spark, d))
+    return _published(store, store.read(GMV_TABLE).select(*_LOADED.split(", ")))
+
+
+@query(f"{_UNTIL_SQL}, {_PUBLISHED_SQL} SELECT {_LOADED} FROM published WHERE snapshot_date = DATE '{DAY}'")
+def load_one_day(spark, d):
+    """A full load of all but the last day, then an incremental run of that day, read back through the view of the newest day."""
+    raw = bronze(spark, d)
+    store = _loaded(spark, {n: f.where(F.col("transaction_date") < F.lit(DAY)) for n, f in raw.items()})
+    for name, events in raw.items():
+        loads.append_events(store, events.where(F.col("transaction_date") == F.lit(DAY)), name, "second")
+    loads.load_silver(store, loads.INCREMENTAL, DAY)
+    loads.load_snapshot(store, loads.INCREMENTAL, DAY, CREATED)
+    loads.load_gmv(store, loads.INCREMENTAL, DAY)
+    return _published(store, spark.table(store.name(GMV_VIEW)).select(*_LOADED.split(", ")))
+
+
+@query(f"""{_RESULTS_SQL} SELECT 'ops_data_quality_results' AS table_name, COUNT(*) AS rows, COUNT(*) FILTER (WHERE n > 0) AS failed FROM results
+UNION ALL SELECT 'ops_pipeline_run_log', 11, (SELECT COUNT(DISTINCT table_name) + 1 FROM results WHERE n > 0)
+UNION ALL SELECT 'ops_data_quality_quarantine', COUNT(*), COUNT(DISTINCT (table_name, rule_name)) FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY table_name, rule_name ORDER BY k NULLS LAST) AS nth FROM failed) WHERE nth <= 5 AND rule_name NOT IN ('bronze_schema_contract_match', 'bronze_freshness_lag_days')""")
+def load_quality_outputs(spark, d):
+    """The three outputs of a run over tables that break every rule, appended to the ops tables and counted there."""
+    store = StagedStore(spark, f"load_{uuid4().hex[:12]}")
+    store.prepare("ops")
+    loads.append_outputs(store, evaluated(spark, d))
+    bad = {"ops_data_quality_results": "rule_status = 'failed'", "ops_pipeline_run_log": "run_status <> 'succeeded'"}
+    counts = [store.read(t).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(c)).alias("failed")) for t, c in bad.items()]
+    held = store.read("ops_data_quality_quarantine")
+    counts.append(held.agg(F.lit("ops_data_quality_quarantine").alias("table_name"), F.count(F.lit(1)).alias("rows"), F.count_distinct("table_name", "rule_name").alias("failed")))
+    return _published(store, reduce(DataFrame.unionAll, counts))

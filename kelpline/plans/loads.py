@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bitemporal, cdc, impact, metrics, quality
-from ..sources.contracts import GMV_TABLE, OPS_TABLES, SNAPSHOT_TABLE, SOURCES
+from ..operators import bitemporal, cdc, impact, keysets, metrics, quality
+from ..sources.contracts import FILTERS_TABLE, GMV_TABLE, ITEM_KEY, KEY_SETS, OPS_TABLES, SNAPSHOT_TABLE, SOURCES, KeySet
 from ..sources.csv_files import Load
 from ..sources.tables import TableStore, require_unique
 from .dates import FULL, INCREMENTAL, check_mode
@@ -20,7 +21,53 @@ def load_bronze(store: TableStore, loads: Iterable[Load], batch_id: str, ingesti
     """Append raw events; reruns append again, which silver absorbs."""
     loads = list(loads)
     require_unique(load.source_name for load in loads)
-    return {load.source_name: store.append(cdc.enrich(load.df, load.source_name, batch_id, load.source_file, ingestion_ts), SOURCES[load.source_name].bronze_table) for load in loads}
+    ensure_keys(store)
+    return {load.source_name: append_events(store, cdc.enrich(load.df, load.source_name, batch_id, load.source_file, ingestion_ts), load.source_name, batch_id) for load in loads}
+
+
+def append_events(store: TableStore, events: DataFrame, name: str, batch_id: str) -> int:
+    """Append a batch of one source, then what it adds to key sets and day filters.
+
+    A run that ends in between leaves keys out until the batch is loaded again or silver is refreshed in full.
+    """
+    written = store.append(events, SOURCES[name].bronze_table)
+    if written:
+        for held in KEY_SETS:
+            if held.source == name:
+                store.append(keysets.new_keys(events, store.read(held.table), held.keys).withColumn("batch_id", F.lit(batch_id)), held.table)
+        store.append(reduce(DataFrame.unionByName, [_filters(events, name, keys, batch_id) for keys in filtered_keys(name)]), FILTERS_TABLE)
+    return written
+
+
+def filtered_keys(name: str) -> list[tuple[str, ...]]:
+    """The keys that a source's days are looked up by: its own, and those that others refer to."""
+    return list(dict.fromkeys([SOURCES[name].keys, *(k.keys for k in KEY_SETS if k.source == name)]))
+
+
+def _filters(events: DataFrame, name: str, keys: tuple[str, ...], batch_id: str) -> DataFrame:
+    return keysets.day_filters(events, keys).withColumns({"source": F.lit(name), "key_name": F.lit(keys[0]), "batch_id": F.lit(batch_id)})
+
+
+def ensure_keys(store: TableStore, rebuild: bool = False) -> None:
+    """Make key sets and day filters of the raw events that are there, unless there are some (or with ``rebuild``)."""
+    if store.has(FILTERS_TABLE) and not rebuild:
+        return
+    store.prepare("keys")
+    bronze = read_layer(store, "bronze")
+    for held in KEY_SETS:
+        whole = keysets.new_keys(bronze[held.source], bronze[held.source].limit(0), held.keys)
+        store.replace_all(whole.withColumn("batch_id", F.lit("all")), held.table)
+    parts = [_filters(df, name, keys, "all") for name, df in bronze.items() for keys in filtered_keys(name)]
+    store.replace_all(reduce(DataFrame.unionByName, parts), FILTERS_TABLE)
+
+
+def rows_near(store: TableStore, bronze: Mapping[str, DataFrame], name: str, wanted: DataFrame, keys: Sequence[str], also: Iterable[date] = ()) -> DataFrame:
+    """A source's rows of the days that may hold one of the wanted keys, of days given, and without a day; all without filters."""
+    if not store.has(FILTERS_TABLE):
+        return bronze[name]
+    filters = store.read(FILTERS_TABLE).where((F.col("source") == name) & (F.col("key_name") == keys[0]))
+    days = {*impact.dates_of(keysets.days_that_may_hold(filters, wanted, keys)), *also}
+    return bronze[name].where(F.col("transaction_date").isin(*days) | F.col("transaction_date").isNull())
 
 
 def read_layer(store: TableStore, layer: str) -> dict[str, DataFrame]:
@@ -30,28 +77,59 @@ def read_layer(store: TableStore, layer: str) -> dict[str, DataFrame]:
 def load_silver(store: TableStore, mode: str = FULL, day: date | None = None) -> dict[str, int]:
     """Replace silver, or only the days that hold rows of keys impacted on ``day``.
 
-    An incremental run numbers versions only of keys that have a row on one of these days.
+    An incremental run numbers versions only of keys that have a row on one of these days, looks for them only on days whose
+    filters may hold them, and takes references from the key sets.
     """
     bronze = read_layer(store, "bronze")
     if check_mode(mode) == FULL:
+        if store.has(FILTERS_TABLE):
+            ensure_keys(store, rebuild=True)
         return {name: store.replace_all(df, SOURCES[name].silver_table) for name, df in cdc.silver_frames(bronze).items()}
     if day is None:
         raise ValueError("an incremental run needs its day")
-    keys, written = impact.impacted_keys(bronze, day), {}
-    for name, spec in SOURCES.items():
-        days = impact.dates_of(impact.touched_dates(bronze[name], keys[name], spec.keys, day))
-        frame = cdc.silver_frame(spec, impact.history_of(bronze[name], spec, days), bronze)
-        written[name] = store.replace_partitions(impact.on_dates(frame, days), spec.silver_table)
+    written = {}
+    for name, (days, history) in impacted_history(store, bronze, day).items():
+        frame = cdc.silver_frame(SOURCES[name], history, bronze, known_keys(store))
+        written[name] = store.replace_partitions(impact.on_dates(frame, days), SOURCES[name].silver_table)
     return written
 
 
+def known_keys(store: TableStore) -> dict[KeySet, DataFrame]:
+    return {held: store.read(held.table) for held in KEY_SETS} if store.has(FILTERS_TABLE) else {}
+
+
+def impacted_history(store: TableStore, bronze: Mapping[str, DataFrame], day: date) -> dict[str, tuple[list[date], DataFrame]]:
+    """Of each source, the days to publish again and all rows of the keys that these hold."""
+    keys = impact.impacted_keys(bronze, day, lambda items: rows_near(store, bronze, "purchase", items, ITEM_KEY, [day]))
+    found = {}
+    for name, spec in SOURCES.items():
+        near = rows_near(store, bronze, name, keys[name], spec.keys, [day])
+        days = impact.dates_of(impact.touched_dates(near, keys[name], spec.keys, day))
+        among = rows_near(store, bronze, name, impact.keys_on(bronze[name], spec, days), spec.keys, days)
+        found[name] = days, impact.history_of(bronze[name], spec, days, among)
+    return found
+
+
 def load_snapshot(store: TableStore, mode: str = FULL, day: date | None = None, created_at: str | None = None) -> int:
+    """All days, or one: from the day before it, if that is published and nothing older came since, else from all history."""
     silver = read_layer(store, "silver")
     if check_mode(mode) == FULL:
         return store.replace_all(bitemporal.purchase_snapshot(silver, created_at), SNAPSHOT_TABLE)
     if day is None:
         raise ValueError("an incremental run needs its day")
-    return store.replace_day(bitemporal.purchase_snapshot(silver, created_at, day), SNAPSHOT_TABLE, "snapshot_date", day)
+    yesterday = store.read(SNAPSHOT_TABLE, day - timedelta(1), "snapshot_date")
+    published = yesterday.agg(F.min("snapshot_created_at")).first()[0]
+    if published is None or came_since(silver, published, day):
+        rows = bitemporal.purchase_snapshot(silver, created_at, day)
+    else:
+        rows = bitemporal.next_snapshot(yesterday, silver, day, created_at)
+    return store.replace_day(rows, SNAPSHOT_TABLE, "snapshot_date", day)
+
+
+def came_since(silver: Mapping[str, DataFrame], published: datetime, day: date) -> bool:
+    """Whether rows of days before ``day`` were taken in after that time."""
+    late = [f.where((F.col("transaction_date") < F.lit(day)) & (F.coalesce(F.col("ingestion_ts") >= F.lit(published), F.lit(True)))).select("transaction_date") for f in silver.values()]
+    return not reduce(DataFrame.unionAll, late).isEmpty()
 
 
 def load_gmv(store: TableStore, mode: str = FULL, day: date | None = None) -> tuple[int, bool]:
@@ -74,13 +152,16 @@ class QualitySummary:
     quarantine_rows: int
 
 
+def append_outputs(store: TableStore, outputs: Sequence[DataFrame]) -> dict[str, int]:
+    """Append run log, results and quarantine; returns the rows written of each."""
+    return {table: store.append(df.withColumn(f"{stamp[:-3]}_date", F.to_date(stamp)), table) for (table, (_, stamp)), df in zip(OPS_TABLES.items(), outputs)}
+
+
 def load_quality(store: TableStore, run_id: str, pipeline_name: str = quality.PIPELINE, sample_limit: int = quality.SAMPLE_LIMIT) -> QualitySummary:
     """Evaluate all rules and append run log, results and quarantine."""
     tables = {t: store.read(t) for t in quality.table_order()}
     outputs = quality.evaluate(tables, run_id, pipeline_name, sample_limit=sample_limit)
-    written = {}
-    for (table, (_, stamp)), df in zip(OPS_TABLES.items(), outputs):
-        written[table] = store.append(df.withColumn(f"{stamp[:-3]}_date", F.to_date(stamp)), table)
+    written = append_outputs(store, outputs)
     whole = outputs[0].where("table_name = 'all_tables'").first()
     return QualitySummary(whole["run_status"], whole["error_result_count"], whole["warning_result_count"], written["ops_data_quality_results"], written["ops_data_quality_quarantine"])
 
@@ -88,7 +169,7 @@ def load_quality(store: TableStore, run_id: str, pipeline_name: str = quality.PI
 def refresh(store: TableStore, loads: Iterable[Load], batch_id: str, mode: str = FULL, day: date | None = None, created_at: str | None = None, ingestion_ts: datetime | str | None = None) -> dict[str, object]:
     """All layers in order."""
     full = check_mode(mode) == FULL
-    for layer in ("bronze", "silver", "snapshot", "gmv"):
+    for layer in ("bronze", "silver", "snapshot", "gmv", *(["keys"] if full else [])):
         store.prepare(layer, reset=full)
     return {
         "bronze": load_bronze(store, loads, batch_id, ingestion_ts),

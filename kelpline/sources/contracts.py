@@ -36,9 +36,9 @@ def names(ddl: str) -> list[str]:
 
 def schema_of(ddl: str) -> StructType:
     """A struct type from DDL without a running session."""
-    from pyspark.sql.types import ArrayType, BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, TimestampType
+    from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, DoubleType, IntegerType, LongType, StringType, StructField, TimestampType
 
-    kinds = {"bigint": LongType, "int": IntegerType, "double": DoubleType, "string": StringType, "date": DateType, "timestamp": TimestampType, "boolean": BooleanType}
+    kinds = {"binary": BinaryType, "bigint": LongType, "int": IntegerType, "double": DoubleType, "string": StringType, "date": DateType, "timestamp": TimestampType, "boolean": BooleanType}
     fields = []
     for part in ddl.split(", "):
         name, kind = part.split()
@@ -167,6 +167,29 @@ SOURCES = {
 }
 
 
+@dataclass(frozen=True)
+class KeySet:
+    """Keys of a source that have occurred in any of its rows: what reference flags look up, and what day filters are kept of."""
+
+    source: str
+    keys: tuple[str, ...]
+
+    @property
+    def table(self) -> str:
+        return f"keys_{self.source}_by_{self.keys[0]}"
+
+    @property
+    def ddl(self) -> str:
+        return ", ".join(f"{k} bigint" for k in self.keys) + ", batch_id string"
+
+
+#: One for each pair of a source and keys that a link refers to.
+KEY_SETS = tuple(dict.fromkeys(KeySet(link.source, link.their_keys) for s in SOURCES.values() for link in s.links))
+#: Which days may hold a key: hashed keys of a batch's day as bitmaps of 32,768 bits, ``part`` of each hash's space.
+FILTERS_TABLE = "bronze_day_filters"
+FILTERS = "source string, key_name string, transaction_date date, batch_id string, part bigint, bits binary"
+
+
 def source(name: str) -> Source:
     if name not in SOURCES:
         raise ValueError(f"unknown source {name!r}; known are {', '.join(sorted(SOURCES))}")

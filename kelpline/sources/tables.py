@@ -5,21 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .contracts import GMV, GMV_TABLE, GMV_VIEW, OPS_TABLES, SNAPSHOT, SNAPSHOT_TABLE, SOURCES, schema_of
+from .contracts import FILTERS, FILTERS_TABLE, GMV, GMV_TABLE, GMV_VIEW, KEY_SETS, OPS_TABLES, SNAPSHOT, SNAPSHOT_TABLE, SOURCES, schema_of
 
-LAYERS = ("bronze", "silver", "snapshot", "gmv", "ops")
+LAYERS = ("bronze", "keys", "silver", "snapshot", "gmv", "ops")
 
 
 def qualified(namespace: str | None, table: str, catalog: str | None = None) -> str:
     return ".".join(f"`{x}`" for x in (catalog, namespace, table) if x)
 
 
-def layer_tables(layer: str) -> dict[str, tuple[StructType, str]]:
-    """A layer's tables: schema and partition column.  Ops tables get a date column from their time stamp."""
+def layer_tables(layer: str) -> dict[str, tuple[StructType, str | None]]:
+    """A layer's tables: schema and partition column, if any.  Ops tables get a date column from their time stamp."""
+    if layer == "keys":
+        return {k.table: (schema_of(k.ddl), None) for k in KEY_SETS} | {FILTERS_TABLE: (schema_of(FILTERS), "source")}
     if layer == "bronze":
         return {s.bronze_table: (schema_of(s.bronze_ddl), "transaction_date") for s in SOURCES.values()}
     if layer == "silver":
@@ -45,15 +47,15 @@ class TableStore:
     def name(self, table: str) -> str:
         return qualified(self.namespace, table, self.catalog)
 
-    def ddl(self, table: str, schema: StructType, partition: str) -> str:
+    def ddl(self, table: str, schema: StructType, partition: str | None) -> str:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        return f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING {self.table_format} PARTITIONED BY (`{partition}`)"
+        return f"CREATE TABLE IF NOT EXISTS {self.name(table)} ({columns}) USING {self.table_format}" + (f" PARTITIONED BY (`{partition}`)" if partition else "")
 
     def prepare(self, layer: str, reset: bool = False) -> None:
         """Create the layer's tables, after dropping them (and what hangs on them) with ``reset``."""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {qualified(None, self.namespace, self.catalog)}")
         if reset and layer == "gmv":
-            self.spark.sql(f"DROP VIEW IF EXISTS {self.name(GMV_VIEW)}")
+            self.drop_current_view()
         for table, (schema, partition) in layer_tables(layer).items():
             if reset:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self.name(table)}")
@@ -64,38 +66,60 @@ class TableStore:
         df = self.spark.table(self.name(table))
         return df if day is None else df.where(F.col(column) == F.lit(day))
 
-    def _insert(self, df: DataFrame, table: str, mode: str, overwrite: bool) -> int:
-        """Write once; the rows written are counted on the way."""
-        from pyspark.sql import Observation
+    @property
+    def versioned(self) -> bool:
+        """Whether the tables lie in a catalog of their own, which takes writes by the second writer interface."""
+        return self.catalog not in (None, "spark_catalog")
 
+    def _insert(self, df: DataFrame, table: str, overwrite: bool, mode: str | None = None) -> int:
+        """Write once; the rows written are counted on the way."""
         seen, target = Observation(), self.spark.table(self.name(table)).columns
         rows = df.select(*target).observe(seen, F.count(F.lit(1)).alias("n"))
-        # insertInto takes the mode from the session alone, so loads of one session must not run at the same time
-        before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
-        try:
-            rows.write.insertInto(self.name(table), overwrite=overwrite)
-        finally:
-            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        if self.versioned:
+            writer = rows.writeTo(self.name(table))
+            if not overwrite:
+                writer.append()
+            elif mode == "dynamic":
+                writer.overwritePartitions()
+            else:
+                writer.overwrite(F.lit(True))
+        elif not overwrite:
+            rows.write.insertInto(self.name(table))
+        else:
+            # insertInto takes the mode from the session alone, so such loads of one session must not run at the same time
+            before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+            self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+            try:
+                rows.write.insertInto(self.name(table), overwrite=True)
+            finally:
+                self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
         return seen.get["n"]
 
     def append(self, df: DataFrame, table: str) -> int:
-        return self._insert(df, table, "dynamic", False)
+        return self._insert(df, table, False)
 
     def replace_all(self, df: DataFrame, table: str) -> int:
-        return self._insert(df, table, "static", True)
+        return self._insert(df, table, True, "static")
 
     def replace_partitions(self, df: DataFrame, table: str) -> int:
         """Overwrite exactly the days that the frame has; none if it is empty."""
-        return self._insert(df, table, "dynamic", True)
+        return self._insert(df, table, True, "dynamic")
 
     def replace_day(self, df: DataFrame, table: str, column: str, day: date) -> int:
         """Overwrite one day in a single commit; a day that has no rows any more loses its partition."""
         written = self.replace_partitions(df.where(F.col(column) == F.lit(day)), table)
         if not written:
-            self.spark.sql(f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION (`{column}` = DATE '{day}')")
+            gone = f"DELETE FROM {self.name(table)} WHERE `{column}` = DATE '{day}'" if self.versioned else f"ALTER TABLE {self.name(table)} DROP IF EXISTS PARTITION (`{column}` = DATE '{day}')"
+            self.spark.sql(gone)
         return written
 
+    def has(self, table: str) -> bool:
+        return self.spark.catalog.tableExists(self.name(table))
+
+    def drop_current_view(self) -> None:
+        if not self.versioned:
+            self.spark.sql(f"DROP VIEW IF EXISTS {self.name(GMV_VIEW)}")
+
     def current_view_sql(self) -> str:
         t = self.name(GMV_TABLE)
         return f"CREATE OR REPLACE VIEW {self.name(GMV_VIEW)} AS SELECT g.* FROM {t} g CROSS JOIN (SELECT max(snapshot_date) AS newest FROM {t}) m WHERE g.snapshot_date = m.newest"
