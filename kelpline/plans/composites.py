@@ -454,8 +454,7 @@ def _loaded(spark: SparkSession, raw: dict[str, DataFrame]) -> StagedStore:
     store = StagedStore(spark, f"load_{uuid4().hex[:12]}")
     for layer in ("bronze", "keys", "silver", "snapshot", "gmv"):
         store.prepare(layer)
-    for name, events in raw.items():
-        loads.append_events(store, events, name, "first")
+    loads.append_events(store, raw, "first")
     loads.load_silver(store)
     loads.load_snapshot(store, created_at=CREATED)
     loads.load_gmv(store)
@@ -474,8 +473,7 @@ def load_one_day(spark, d):
     """A full load of all but the last day, then an incremental run of that day, read back through the view of the newest day."""
     raw = bronze(spark, d)
     store = _loaded(spark, {n: f.where(F.col("transaction_date") < F.lit(DAY)) for n, f in raw.items()})
-    for name, events in raw.items():
-        loads.append_events(store, events.where(F.col("transaction_date") == F.lit(DAY)), name, "second")
+    loads.append_events(store, {n: f.where(F.col("transaction_date") == F.lit(DAY)) for n, f in raw.items()}, "second")
     loads.load_silver(store, loads.INCREMENTAL, DAY)
     loads.load_snapshot(store, loads.INCREMENTAL, DAY, CREATED)
     loads.load_gmv(store, loads.INCREMENTAL, DAY)

@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..operators import bitemporal, cdc, impact, keysets, metrics, quality
 from ..sources.contracts import FILTERS_TABLE, GMV_TABLE, ITEM_KEY, KEY_SETS, OPS_TABLES, SNAPSHOT_TABLE, SOURCES, KeySet
 from ..sources.csv_files import Load
 from ..sources.tables import TableStore, require_unique
 from .dates import FULL, INCREMENTAL, check_mode
 
+T = TypeVar("T")
+
+
+def each(store: TableStore, f: Callable[[str], T], names: Iterable[str]) -> dict[str, T]:
+    """``f`` of every name; side by side where loads of different tables don't disturb each other."""
+    names = list(names)
+    if not store.side_by_side or len(names) < 2:
+        return {n: f(n) for n in names}
+    with ThreadPoolExecutor(len(names)) as pool:
+        return dict(zip(names, pool.map(f, names)))
+
 
 def load_bronze(store: TableStore, loads: Iterable[Load], batch_id: str, ingestion_ts: datetime | str | None = None) -> dict[str, int]:
     """Append raw events; reruns append again, which silver absorbs."""
     loads = list(loads)
     require_unique(load.source_name for load in loads)
     ensure_keys(store)
-    return {load.source_name: append_events(store, cdc.enrich(load.df, load.source_name, batch_id, load.source_file, ingestion_ts), load.source_name, batch_id) for load in loads}
+    return append_events(store, {x.source_name: cdc.enrich(x.df, x.source_name, batch_id, x.source_file, ingestion_ts) for x in loads}, batch_id)
 
 
-def append_events(store: TableStore, events: DataFrame, name: str, batch_id: str) -> int:
-    """Append a batch of one source, then what it adds to key sets and day filters.
+def append_events(store: TableStore, events: Mapping[str, DataFrame], batch_id: str) -> dict[str, int]:
+    """Append a batch of some sources, then what it adds to key sets and, all sources in one write, to day filters.
 
     A run that ends in between leaves keys out until the batch is loaded again or silver is refreshed in full.
     """
-    written = store.append(events, SOURCES[name].bronze_table)
-    if written:
+
+    def one(name: str) -> int:
+        written = store.append(events[name], SOURCES[name].bronze_table)
         for held in KEY_SETS:
-            if held.source == name:
-                store.append(keysets.new_keys(events, store.read(held.table), held.keys).withColumn("batch_id", F.lit(batch_id)), held.table)
-        store.append(reduce(DataFrame.unionByName, [_filters(events, name, keys, batch_id) for keys in filtered_keys(name)]), FILTERS_TABLE)
+            if held.source == name and written:
+                store.append(keysets.new_keys(events[name], store.read(held.table), held.keys).withColumn("batch_id", F.lit(batch_id)), held.table)
+        return written
+
+    written = each(store, one, events)
+    filters = [_filters(events[name], name, keys, batch_id) for name, n in written.items() if n for keys in filtered_keys(name)]
+    if filters:
+        store.append(reduce(DataFrame.unionByName, filters), FILTERS_TABLE)
     return written
 
 
@@ -54,11 +74,12 @@ def ensure_keys(store: TableStore, rebuild: bool = False) -> None:
         return
     store.prepare("keys")
     bronze = read_layer(store, "bronze")
-    for held in KEY_SETS:
-        whole = keysets.new_keys(bronze[held.source], bronze[held.source].limit(0), held.keys)
-        store.replace_all(whole.withColumn("batch_id", F.lit("all")), held.table)
     parts = [_filters(df, name, keys, "all") for name, df in bronze.items() for keys in filtered_keys(name)]
-    store.replace_all(reduce(DataFrame.unionByName, parts), FILTERS_TABLE)
+    made = {FILTERS_TABLE: reduce(DataFrame.unionByName, parts)}
+    for held in KEY_SETS:
+        rows = bronze[held.source]
+        made[held.table] = rows.select(*held.keys).where(X.all_present(held.keys)).distinct().withColumn("batch_id", F.lit("all"))
+    each(store, lambda table: store.replace_all(made[table], table), made)
 
 
 def rows_near(store: TableStore, bronze: Mapping[str, DataFrame], name: str, wanted: DataFrame, keys: Sequence[str], also: Iterable[date] = ()) -> DataFrame:
@@ -84,14 +105,17 @@ def load_silver(store: TableStore, mode: str = FULL, day: date | None = None) ->
     if check_mode(mode) == FULL:
         if store.has(FILTERS_TABLE):
             ensure_keys(store, rebuild=True)
-        return {name: store.replace_all(df, SOURCES[name].silver_table) for name, df in cdc.silver_frames(bronze).items()}
+        frames = cdc.silver_frames(bronze)
+        return each(store, lambda name: store.replace_all(frames[name], SOURCES[name].silver_table), frames)
     if day is None:
         raise ValueError("an incremental run needs its day")
-    written = {}
-    for name, (days, history) in impacted_history(store, bronze, day).items():
-        frame = cdc.silver_frame(SOURCES[name], history, bronze, known_keys(store))
-        written[name] = store.replace_partitions(impact.on_dates(frame, days), SOURCES[name].silver_table)
-    return written
+    found, known = impacted_history(store, bronze, day), known_keys(store)
+
+    def publish(name: str) -> int:
+        days, history = found[name]
+        return store.replace_partitions(impact.on_dates(cdc.silver_frame(SOURCES[name], history, bronze, known), days), SOURCES[name].silver_table)
+
+    return each(store, publish, found)
 
 
 def known_keys(store: TableStore) -> dict[KeySet, DataFrame]:
@@ -101,13 +125,15 @@ def known_keys(store: TableStore) -> dict[KeySet, DataFrame]:
 def impacted_history(store: TableStore, bronze: Mapping[str, DataFrame], day: date) -> dict[str, tuple[list[date], DataFrame]]:
     """Of each source, the days to publish again and all rows of the keys that these hold."""
     keys = impact.impacted_keys(bronze, day, lambda items: rows_near(store, bronze, "purchase", items, ITEM_KEY, [day]))
-    found = {}
-    for name, spec in SOURCES.items():
+
+    def of(name: str) -> tuple[list[date], DataFrame]:
+        spec = SOURCES[name]
         near = rows_near(store, bronze, name, keys[name], spec.keys, [day])
         days = impact.dates_of(impact.touched_dates(near, keys[name], spec.keys, day))
         among = rows_near(store, bronze, name, impact.keys_on(bronze[name], spec, days), spec.keys, days)
-        found[name] = days, impact.history_of(bronze[name], spec, days, among)
-    return found
+        return days, impact.history_of(bronze[name], spec, days, among)
+
+    return each(store, of, SOURCES)
 
 
 def load_snapshot(store: TableStore, mode: str = FULL, day: date | None = None, created_at: str | None = None) -> int:

@@ -21,9 +21,11 @@ class StagedStore(TableStore):
     replaced are partitions of the new generation at the place where they lie already, so nothing is copied.  Until the view is
     replaced, and if writing fails, readers have the old rows whole.  The generation before stays for readers that began with it;
     the one before that is removed.  No session setting is changed, so loads of different tables can run side by side; two loads
-    of one table can't.
+    of one table can't, not even two appends.
     """
 
+    side_by_side = True
+
     # -- generations -------------------------------------------------------
 
     def _generations(self, table: str) -> tuple[str, str | None]:

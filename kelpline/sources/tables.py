@@ -38,6 +38,9 @@ def layer_tables(layer: str) -> dict[str, tuple[StructType, str | None]]:
 class TableStore:
     """Named tables of one namespace."""
 
+    #: Whether loads of different tables may run at the same time; not here, where overwriting goes by a session's setting.
+    side_by_side = False
+
     def __init__(self, spark: SparkSession, namespace: str = "kelpline", catalog: str | None = None, table_format: str = "parquet") -> None:
         """``table_format``: of new tables, as the catalog knows it; with a transactional one, readers never see half a replacement."""
         if not namespace:

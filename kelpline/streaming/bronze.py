@@ -28,6 +28,6 @@ def ingest(store: TableStore, source_name: str, folder: str, checkpoint: str, tr
         batch_id = f"stream-{zlib.crc32(checkpoint.encode()):08x}-{number}"
         done = store.read(spec.bronze_table).where((F.col("batch_id") == batch_id) & (F.col("source_file") == folder))
         if done.isEmpty():  # a batch that is replayed after a failure was written whole or not at all
-            append_events(store, cdc.enrich(align(batch, spec), source_name, batch_id, folder), source_name, batch_id)
+            append_events(store, {source_name: cdc.enrich(align(batch, spec), source_name, batch_id, folder)}, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

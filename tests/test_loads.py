@@ -272,7 +272,7 @@ def test_filters_choose_the_days_to_read_and_key_sets_replace_history(spark, sto
     for layer in ("bronze", "silver"):
         store.prepare(layer)
     columns = SOURCES["purchase"].schema
-    for d in range(1, 21):
+    for d in (1, 2, 3, 4, 5, 20):
         day = date(2023, 1, d)
         rows = [Row(**{f.name: None for f in columns} | {"purchase_id": d * 100 + i, "purchase_partition": 1, "prod_item_id": d, "prod_item_partition": 1, "transaction_datetime": datetime(2023, 1, d), "transaction_date": day}) for i in range(5)]
         if d == 20:
@@ -294,7 +294,7 @@ def test_filters_choose_the_days_to_read_and_key_sets_replace_history(spark, sto
     assert not any("bronze_purchase_events" in f for f in items.inputFiles()) and any("keys_purchase_by_prod_item_id" in f for f in items.inputFiles())
     kept = {h.table: sorted(map(tuple, store.read(h.table).select(*h.keys).collect())) for h in KEY_SETS}
     loads.ensure_keys(store, rebuild=True)
-    assert kept == {h.table: sorted(map(tuple, store.read(h.table).select(*h.keys).collect())) for h in KEY_SETS} and len(kept["keys_purchase_by_purchase_id"]) == 100
+    assert kept == {h.table: sorted(map(tuple, store.read(h.table).select(*h.keys).collect())) for h in KEY_SETS} and len(kept["keys_purchase_by_purchase_id"]) == 30
 
 
 def test_filters_never_miss_a_day(spark):
