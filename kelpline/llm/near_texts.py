@@ -8,7 +8,8 @@ whatever the white space) are one class from the start.
 1. a pass over the texts gives each its class, fingerprint and bands;
 2. classes meet by band; those with a partner within the radius go on;
 3. their texts are read again for the shingles, which meet by the same bands.  Each group is searched breadth-first, so a group
-   of many near copies gives spanning links and not all pairs.  A band of more than ``HOT`` such classes is divided by second bands.
+   of many near copies gives spanning links and not all pairs.  A band of more than ``PART`` such classes is dealt to several tasks
+   (``hot_groups``), which changes no result.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import cut, map_rows, sent
 from .components import components
+from .hot_groups import links_of_large
 from .simhash import component_ids, distances, fingerprints_from, links_in_buckets, pivot_table, shingle_hashes, whole_groups, within
 
 WIDTH, SIMILARITY, RADIUS, PIVOTS = 5, 0.8, 22, 16
 #: Bands, and the minima that a band holds: texts of similarity 0.8 share no band with a probability of 0.0002.
 BANDS, MINIMA = 16, 4
-HOT = 20_000
+#: Classes of a band that one task compares, about 2 kB each for texts of 500 words; a larger band is dealt to several.
+PART = 10_000
 NONE = np.uint64(2**64 - 1)
 
 
@@ -156,8 +159,8 @@ def partners(classes: DataFrame) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "code").mapInArrow(meet, "bucket bigint, code bigint, size bigint").dropDuplicates(["bucket", "code"])
 
 
-def links_of(partnered: DataFrame, sets: DataFrame) -> DataFrame:
-    """Verified links (``a``, ``b``) of the classes that meet in a bucket."""
+def compared(rows: DataFrame) -> DataFrame:
+    """Verified links (``a``, ``b``) of the rows (``bucket``, ``code``, ``fp``, ``shingles``) that meet in a bucket."""
     pivots = pivot_table(PIVOTS)
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +172,18 @@ def links_of(partnered: DataFrame, sets: DataFrame) -> DataFrame:
                     i, j = np.array(links).T + a
                     yield pa.RecordBatch.from_arrays([pa.array(code[i]), pa.array(code[j])], names=["a", "b"])
 
-    divided = F.when(F.col("size") > HOT, F.transform("bands", lambda b: F.xxhash64("bucket", b))).otherwise(F.array("bucket"))
-    rows = partnered.join(sets, "code").select(F.explode(divided).alias("bucket"), "code", "fp", "shingles")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "code").mapInArrow(meet, "a bigint, b bigint")
+    each = rows.select("bucket", "code", "fp", "shingles")
+    return each.repartition("bucket").sortWithinPartitions("bucket", "code").mapInArrow(meet, "a bigint, b bigint")
+
+
+def links_of(partnered: DataFrame, sets: DataFrame) -> DataFrame:
+    """Verified links (``a``, ``b``) of the classes that meet in a bucket, enough to connect all that are connected."""
+    large = F.col("size") > PART
+    links = compared(partnered.where(~large).join(sets, "code"))
+    if partnered.where(large).isEmpty():
+        return links
+    rows = partnered.where(large).join(sets, "code").select("bucket", "code", "size", "fp", "shingles")
+    return links.unionByName(links_of_large(rows, compared, PART))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

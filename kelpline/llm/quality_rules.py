@@ -1,12 +1,13 @@
 """Quality rules with risk-controlled cutoffs (operator 6).
 
 Base statistics come from whole texts.  On top, each rule rejects a document whose ratio passes a cutoff; the cutoffs are
-chosen on labelled good documents so that, with the stated confidence over all rules and strata together, a rule rejects at
-most its share of a stratum's good documents.  Cutoffs of one rule and stratum are tested from the mildest on with the exact
-binomial tail (the Clopper-Pearson bound), and testing stops at the first that fails, which needs no further correction; rules
-and strata share half the error by Bonferroni.  The other half (all of it if no stratum stands alone) is for the pool of all strata with too few labelled documents for
-cutoffs of their own: there one sequence lowers the cutoffs of all rules together, and each step is tested as a whole, so neither
-risk nor error is split over rules and 300 to 370 documents are enough.  The pool's risk is that of its strata taken together.
+chosen on labelled good documents so that, with the stated confidence over all strata together, at most ``RISK`` of a
+stratum's good documents are rejected.  One sequence a stratum lowers the cutoffs of all rules together; its steps are tested from the
+mildest on with the exact binomial tail (the Clopper-Pearson bound), each as a whole, and testing stops at the first that fails,
+so neither steps nor rules need a further correction.  Strata share the error by Bonferroni.
+
+Strata with too few labelled good documents for any certificate (436, where four share the error) are one more group, the pool, which takes in the
+smallest of the others until it has enough.  Its risk is that of its strata taken together; the others keep cutoffs of their own.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ RULES = {
 CUTOFFS = tuple(round(0.95 * 0.9**i, 6) for i in range(48))
 #: Largest share of a stratum's good documents that all rules together may reject, and the chance that this fails anywhere.
 RISK, ERROR = 0.01, 0.05
-#: The mildest of the pool's sequence is the first of ``CUTOFFS`` in all rules; a rule's cutoff falls no further than this place.
-POOL_LAST = {"symbols": len(CUTOFFS) - 1, "dup_lines": 10, "repeats": 5, "long_words": 16}
+#: A sequence begins with the first of ``CUTOFFS`` in all rules; a rule's cutoff falls no further than this place.  Set by hand to what prose
+#: doesn't come near (a third as many repeated lines as words, half of all words in repeated windows, 17 characters a word) and
+#: computed from no table: symbols alone have no such place, so they decide where a sequence ends.
+LAST = {"symbols": len(CUTOFFS) - 1, "dup_lines": 10, "repeats": 5, "long_words": 16}
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -113,38 +116,36 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoffs(histogram: dict[tuple[str, str], list[int]], risk: float = RISK, error: float = ERROR) -> dict[tuple[str, str], float]:
-    """The lowest certified cutoff of each (stratum, rule); none where even the mildest can't be certified.
-
-    histogram: good holdout documents by the number of ``CUTOFFS`` that their ratio passes (0 to all of them).
-    """
-    share, level, chosen = risk / len(RULES), error / max(1, len(histogram)), {}
-    for key, counts in histogram.items():
-        n = sum(counts)
-        passing = np.cumsum(counts[::-1])[::-1]  # documents that pass at least so many cutoffs
-        for i, cutoff in enumerate(CUTOFFS):
-            hit = int(passing[len(CUTOFFS) - i])  # cutoffs fall: a ratio over this one is over all that follow
-            if hit > share * n or binomial_tail(hit, n, share) > level:
-                break
-            chosen[key] = cutoff
-    return chosen
-
-
-def choose_pooled(counts: list[int], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
-    """The pool's cutoffs by rule after the last certified step; none if even the first can't be certified.
+def choose_cutoffs(counts: list[int], risk: float = RISK, error: float = ERROR) -> dict[str, float]:
+    """A group's cutoffs by rule after the last certified step; none if even the first can't be certified.
 
     counts: good documents by the number of steps (0 to all) that reject them by any rule.
     """
     n, chosen = sum(counts), {}
-    rejected = np.cumsum(counts[::-1])[::-1]
+    rejected = np.cumsum(counts[::-1])[::-1]  # documents that at least so many steps reject
     for step in range(len(CUTOFFS)):
-        hit = int(rejected[len(CUTOFFS) - step])
+        hit = int(rejected[len(CUTOFFS) - step])  # cutoffs fall: what this step rejects all that follow do
         if hit > risk * n or binomial_tail(hit, n, risk) > error:
             break
-        chosen = {rule: CUTOFFS[min(step, POOL_LAST[rule])] for rule in RULES}
+        chosen = {rule: CUTOFFS[min(step, LAST[rule])] for rule in RULES}
     return chosen
 
 
+def groups_of(sizes: dict[str, int], risk: float = RISK, error: float = ERROR) -> tuple[list[str], list[str], list[str]]:
+    """Strata with a certificate of their own, those without, and the strata whose documents make the latters' pool.
+
+    As many strata as possible stand alone, where the error is shared by these and, if any stratum is left, the pool.
+    """
+    by_size = sorted(sizes, key=lambda s: (-sizes[s], s))
+    least = lambda alone: math.log(error / (alone + (alone < len(sizes)))) / math.log1p(-risk)
+    m = max((m for m, s in enumerate(by_size, 1) if sizes[s] >= least(m)), default=0)
+    alone, left = by_size[:m], by_size[m:]
+    pool = list(left)
+    while left and len(pool) < len(by_size) and sum(sizes[s] for s in pool) < least(m):
+        pool.append(by_size[-len(pool) - 1])
+    return alone, left, pool
+
+
 def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
     """Ids whose labels are all 1."""
     return labels.groupBy(id_col).agg(F.min("quality").alias("quality")).where("quality = 1").select(id_col)
@@ -153,42 +154,27 @@ def good_ids(labels: DataFrame, id_col: str) -> DataFrame:
 def certified(stats: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id") -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from all labelled good documents that the base rules let pass.
 
-    Only counts per stratum, rule and cutoff reach the driver, and the pool's counts per step.  Strata that have labelled good
-    documents, but too few for any certificate of their own, have the pool's cutoffs; strata without any have none.
+    Only counts per stratum and step reach the driver.  Strata without labelled good documents have no cutoffs.
     """
-    good = good_ids(labels, id_col)
     passed = [F.expr(" + ".join(f"int(coalesce({value} > {c}D, false))" for c in CUTOFFS)).alias(rule) for rule, value in RULES.items()]
-    held = stats.where(~base_failed()).join(good, id_col, "left_semi").select("stratum", *passed)
-    sizes = {r["stratum"]: r["count"] for r in held.groupBy("stratum").count().collect()}
-    large = own_strata(sizes, risk, error / 2)
-    mine = held.where(F.col("stratum").isin(large))
-    counts = mine.unpivot(["stratum"], list(RULES), "rule", "over").groupBy("stratum", "rule", "over").count()
-    histogram: dict[tuple[str, str], list[int]] = {}
-    for r in counts.collect():
-        histogram.setdefault((r["stratum"], r["rule"]), [0] * (len(CUTOFFS) + 1))[r["over"]] = r["count"]
-    chosen = choose_cutoffs(histogram, risk, error / 2)
+    held = stats.where(~base_failed()).join(good_ids(labels, id_col), id_col, "left_semi").select("stratum", *passed)
     # cutoffs fall: a ratio over so many is over them from that place of the end on
-    steps = F.greatest(*[F.when(F.col(rule) >= len(CUTOFFS) - POOL_LAST[rule], F.col(rule)).otherwise(0) for rule in RULES])
-    pool = [0] * (len(CUTOFFS) + 1)
-    for r in held.where(~F.col("stratum").isin(large)).groupBy(steps.alias("steps")).count().collect():
-        pool[r["steps"]] = r["count"]
-    for rule, cutoff in choose_pooled(pool, risk, error / 2 if large else error).items():
-        chosen |= {(stratum, rule): cutoff for stratum in sizes if stratum not in large}
-    return chosen
-
-
-def own_strata(sizes: dict[str, int], risk: float, error: float) -> list[str]:
-    """The most strata with enough documents for cutoffs of their own, where the error is shared by just these strata and their rules."""
-    by_size = sorted(sizes, key=lambda s: (-sizes[s], s))
-    least = lambda m: math.log(error / m / len(RULES)) / math.log1p(-risk / len(RULES))
-    return by_size[: max((m for m, s in enumerate(by_size, 1) if sizes[s] >= least(m)), default=0)]
+    steps = F.greatest(*[F.when(F.col(rule) >= len(CUTOFFS) - LAST[rule], F.col(rule)).otherwise(0) for rule in RULES])
+    counts: dict[str, list[int]] = {}
+    for r in held.groupBy("stratum", steps.alias("steps")).count().collect():
+        counts.setdefault(r["stratum"], [0] * (len(CUTOFFS) + 1))[r["steps"]] = r["count"]
+    alone, left, pool = groups_of({s: sum(c) for s, c in counts.items()}, risk, error)
+    share = error / max(1, len(alone) + bool(left))
+    chosen = {(s, rule): cutoff for s in alone for rule, cutoff in choose_cutoffs(counts[s], risk, share).items()}
+    together = choose_cutoffs([sum(c) for c in zip(*(counts[s] for s in pool))], risk, share) if left else {}
+    return chosen | {(s, rule): cutoff for s in left for rule, cutoff in together.items()}
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Every row's ``id_col``, ``STATS``, ``base_failed``, ``failed_rules`` and ``kept``.
 
     Null and empty texts have no words and fail the base rules.  A null stratum is one of its own.  Repeated rows are judged
-    alike.  Without labels, or with too few for the pool of small strata, only the base rules apply there.  Other columns are not read.
+    alike.  Without labels, or with too few even in the pool, only the base rules apply.  Other columns are not read.
     """
     stats = cut(document_statistics(docs, id_col, text_col, stratum_col), "quality-stats")
     chosen = certified(stats, labels, risk, error, id_col)

@@ -94,16 +94,14 @@ base AS (SELECT r, doc_id, stratum, len(words) AS n_words, CAST(coalesce(list_su
 stats AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / nullif(word_chars, 0) AS v1, n_dup_lines / nullif(n_words, 0) AS v2, n_repeat_words / nullif(n_words, 0) AS v3, word_chars / nullif(n_words, 0) / 100 AS v4 FROM base),
 held AS (SELECT * FROM stats WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1)),
 cuts AS (SELECT list_transform(range(48), lambda i: round(0.95e0 * pow(0.9e0, i), 6)) AS c), places AS (SELECT unnest(range(48)) AS i),
-sizes AS (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, stratum) AS m FROM held GROUP BY 1),
-alone AS (SELECT stratum, n FROM sizes WHERE m <= (SELECT coalesce(max(m), 0) FROM sizes WHERE n >= ln(0.025e0 / m / 4) / ln(1 - 0.0025e0))),
-own AS (SELECT stratum, any_value(a.n) AS n, i, count(*) FILTER (WHERE v1 > c[i + 1]) AS h1, count(*) FILTER (WHERE v2 > c[i + 1]) AS h2, count(*) FILTER (WHERE v3 > c[i + 1]) AS h3, count(*) FILTER (WHERE v4 > c[i + 1]) AS h4
- FROM held JOIN alone a USING (stratum) CROSS JOIN places CROSS JOIN cuts GROUP BY stratum, i),
-pool AS (SELECT i, count(*) AS n, count(*) FILTER (WHERE v1 > c[i + 1] OR v2 > c[least(i, 10) + 1] OR v3 > c[least(i, 5) + 1] OR v4 > c[least(i, 16) + 1]) AS hit FROM held CROSS JOIN places CROSS JOIN cuts WHERE stratum NOT IN (SELECT stratum FROM alone) GROUP BY i),
-trials AS (SELECT stratum, rule, i, n, hit, 0.0025e0 AS p, 0.025e0 / 4 / (SELECT count(*) FROM alone) AS level FROM own UNPIVOT (hit FOR rule IN (h1, h2, h3, h4))
- UNION ALL SELECT NULL, 'pool', i, n, hit, 0.01e0, CASE WHEN EXISTS (SELECT 1 FROM alone) THEN 0.025e0 ELSE 0.05e0 END FROM pool),
-sure AS (SELECT stratum, rule, max(i) AS i FROM trials WHERE hit <= p * n AND list_sum(list_transform(range(hit + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)))) <= level GROUP BY 1, 2),
-limits AS (SELECT stratum, max(c[i + 1]) FILTER (WHERE rule = 'h1') AS l1, max(c[i + 1]) FILTER (WHERE rule = 'h2') AS l2, max(c[i + 1]) FILTER (WHERE rule = 'h3') AS l3, max(c[i + 1]) FILTER (WHERE rule = 'h4') AS l4 FROM sure CROSS JOIN cuts WHERE rule <> 'pool' GROUP BY 1
- UNION ALL SELECT sizes.stratum, c[i + 1], c[least(i, 10) + 1], c[least(i, 5) + 1], c[least(i, 16) + 1] FROM sure CROSS JOIN cuts CROSS JOIN sizes WHERE rule = 'pool' AND sizes.stratum NOT IN (SELECT stratum FROM alone))
+sizes AS (SELECT stratum, n, m, sum(n) OVER (ORDER BY m DESC) - n AS smaller, count(*) OVER () AS strata FROM (SELECT stratum, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, stratum) AS m FROM held GROUP BY 1)),
+split AS (SELECT coalesce(max(m) FILTER (WHERE n >= ln(0.05e0 / (m + CAST(m < strata AS INT))) / ln(1 - 0.01e0)), 0) AS alone, max(strata) AS strata FROM sizes),
+shares AS (SELECT alone, alone < strata AS pooled, 0.05e0 / (alone + CAST(alone < strata AS INT)) AS level FROM split),
+members AS (SELECT stratum AS g, stratum FROM sizes CROSS JOIN shares WHERE m <= alone
+ UNION ALL SELECT NULL, stratum FROM sizes CROSS JOIN shares WHERE pooled AND (m > alone OR smaller < ln(level) / ln(1 - 0.01e0))),
+trials AS (SELECT g, i, count(*) AS n, count(*) FILTER (WHERE v1 > c[i + 1] OR v2 > c[least(i, 10) + 1] OR v3 > c[least(i, 5) + 1] OR v4 > c[least(i, 16) + 1]) AS hit FROM held JOIN members USING (stratum) CROSS JOIN places CROSS JOIN cuts GROUP BY g, i),
+sure AS (SELECT g, max(i) AS i FROM trials CROSS JOIN shares WHERE hit <= 0.01e0 * n AND list_sum(list_transform(range(hit + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.01e0) + (n - k) * ln(1 - 0.01e0)))) <= level GROUP BY g),
+limits AS (SELECT stratum, c[i + 1] AS l1, c[least(i, 10) + 1] AS l2, c[least(i, 5) + 1] AS l3, c[least(i, 16) + 1] AS l4 FROM sizes CROSS JOIN shares JOIN sure ON sure.g IS NOT DISTINCT FROM CASE WHEN m <= alone THEN stratum END CROSS JOIN cuts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(v1 > l1, FALSE) AND NOT coalesce(v2 > l2, FALSE) AND NOT coalesce(v3 > l3, FALSE) AND NOT coalesce(v4 > l4, FALSE) AS kept
 FROM stats LEFT JOIN limits USING (stratum)""",
     "op13_lexical_search": """

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from kelpline.llm import bpe_codec, common, conv_quality, lm_scores, near_texts, nn_descent, packing, quality_rules, queries, simhash, substring_dedup, token_counts, url_filter, url_table
+from kelpline.llm import bpe_codec, common, conv_quality, hot_groups, lm_scores, near_texts, nn_descent, packing, quality_rules, queries, simhash, substring_dedup, token_counts, url_filter, url_table
 from kelpline.llm.components import components
 from kelpline.llm.fast_encode import fast
 from kelpline.llm.queries import TOKENIZER
@@ -212,7 +212,15 @@ def test_near_texts_by_brute_force(spark, docs, empty):
 
 
 def test_hot_bands_are_divided(spark, monkeypatch):
-    monkeypatch.setattr(near_texts, "HOT", 20)
+    """Near copies of one text, and a second text that only one odd copy connects: same groups, but no task has a whole band."""
+    monkeypatch.setattr(near_texts, "PART", 20)
+    sizes, compared = [], near_texts.compared
+
+    def watched(rows):
+        sizes.extend(r["count"] for r in rows.groupBy("bucket").count().collect())
+        return compared(rows)
+
+    monkeypatch.setattr(near_texts, "compared", watched)
     rng = random.Random(4)
     base, rows = [f"w{i}" for i in range(300)], []
     for i in range(200):
@@ -221,6 +229,28 @@ def test_hot_bands_are_divided(spark, monkeypatch):
         rows.append((i, " ".join(copy)))
     got = near_texts.near_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert len(got) == 200 and {r["component_id"] for r in got} == {0}
+    assert len(sizes) > 10 and max(sizes) <= 60
+
+
+def test_large_groups_by_brute_force(spark):
+    """Numbers link if they are at most 1 apart: chains over many parts, which only the meeting of strays can put together."""
+    rng = random.Random(8)
+    numbers = sorted(rng.sample(range(3000), 1900)) + list(range(10_000, 10_090))
+    rows = [(b, n, len(numbers)) for b in (1,) for n in numbers] + [(2, n, 45) for n in range(20_000, 20_045)]
+    largest = []
+
+    def compare(frame):
+        largest.append(frame.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0)
+        a, b = frame.select("bucket", F.col("code").alias("a")), frame.select("bucket", F.col("code").alias("b"))
+        return a.join(b, "bucket").where("a > b and a - b <= 1").select("a", "b")
+
+    links = hot_groups.links_of_large(spark.createDataFrame(rows, "bucket bigint, code bigint, size bigint"), compare, 300)
+    roots = {r["node"]: r["root"] for r in components(links).collect()}
+    present, least = {n for _, n, _ in rows}, {}
+    for n in sorted(present):
+        least[n] = least[n - 1] if n - 1 in present else n
+        assert roots.get(n, n) == least[n]
+    assert max(largest) < 900
 
 
 @pytest.mark.parametrize("distinct", [10, 3_000_000, 2_000_000_000])
@@ -327,15 +357,29 @@ def test_statistics_by_brute_force(docs):
         assert tuple(got[key][s] for s in quality_rules.STATS) == want
 
 
-def test_cutoffs_are_certified():
-    n, size = 20_000, len(quality_rules.CUTOFFS)
-    clean = [n] + [0] * size
-    some = [n - 400] + [0] * (size - 31) + [400] + [0] * 30
-    chosen = quality_rules.choose_cutoffs({("a", "symbols"): clean, ("b", "symbols"): some, ("c", "symbols"): [100] + [0] * size})
-    assert chosen[("a", "symbols")] == quality_rules.CUTOFFS[-1]
-    passing = quality_rules.CUTOFFS[30 - 1 + 0]  # 400 of 20,000 pass every cutoff after the thirtieth
-    assert chosen[("b", "symbols")] >= passing * 0.9 and ("c", "symbols") not in chosen
+def test_binomial_tail():
     assert quality_rules.binomial_tail(2, 5, 0.5) == pytest.approx(0.5)
+    assert quality_rules.binomial_tail(0, 299, 0.01) < 0.05 < quality_rules.binomial_tail(0, 298, 0.01)
+
+
+def test_groups_share_the_error():
+    """Four strata of which three stand alone; the pool of the fourth takes in the smallest of them."""
+    assert quality_rules.groups_of({"en": 1973, "fr": 488, "de": 475, "es": 307}) == (["en", "fr", "de"], ["es"], ["es", "de"])
+    assert quality_rules.groups_of({"en": 214, "fr": 47, "de": 36, "es": 30}) == ([], ["en", "fr", "de", "es"], ["en", "fr", "de", "es"])
+    assert quality_rules.groups_of({"en": 299}) == (["en"], [], []) and quality_rules.groups_of({}) == ([], [], [])
+    assert quality_rules.groups_of({"a": 900, "b": 10}) == (["a"], ["b"], ["b", "a"])
+
+
+def test_strata_have_cutoffs_of_their_own(spark):
+    """What is usual in one language is rejected in the other."""
+    text = lambda mark, n: " ".join(f"word{i}" + mark * (i < n) for i in range(60))
+    rows = [(i, text("#", 30 if i % 2 else 0), "code" if i % 2 else "prose") for i in range(1000)]
+    rows += [(2000, text("#", 30), "prose"), (2001, text("#", 30), "code"), (2002, text("##", 60), "code"), (2003, text("#", 30), "other")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id bigint, quality int")
+    want = {*range(1000), 2001, 2003}
+    assert {r["doc_id"] for r in quality_rules.judge(frame, marks).where("kept").collect()} == want
+    assert {r["doc_id"] for r in quality_rules.kept_documents(frame, marks).collect()} == want
 
 
 def test_judgement(docs, labels, empty, spark):
@@ -362,13 +406,13 @@ def test_small_strata_are_certified_together(spark):
     assert {r["doc_id"] for r in quality_rules.kept_documents(frame, marks).collect()} == want
 
 
-def test_pooled_cutoffs_hold_their_risk():
+def test_cutoffs_hold_their_risk():
     size = len(quality_rules.CUTOFFS)
-    assert quality_rules.choose_pooled([366] + [0] * size, error=0.025) == {}
-    assert quality_rules.choose_pooled([368] + [0] * size, error=0.025)["symbols"] == quality_rules.CUTOFFS[-1]
+    assert quality_rules.choose_cutoffs([366] + [0] * size, error=0.025) == {}
+    assert quality_rules.choose_cutoffs([368] + [0] * size, error=0.025)["symbols"] == quality_rules.CUTOFFS[-1]
     counts = [980] + [0] * size
     counts[20] = 20  # 2 % are rejected from the 29th step on
-    assert quality_rules.choose_pooled(counts, error=0.025)["symbols"] == quality_rules.CUTOFFS[27]
+    assert quality_rules.choose_cutoffs(counts, error=0.025)["symbols"] == quality_rules.CUTOFFS[27]
 
 
 def test_network_learns_and_scores_whole_texts(docs, labels, empty):
