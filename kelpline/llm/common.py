@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from uuid import uuid4
 
 import numpy as np
@@ -124,8 +125,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-#: Folders that ``cut`` has written and nobody has removed yet, oldest first.
+#: Folders that ``cut`` has written and nobody has removed yet, oldest first, and those of the run in progress (each thread's own).
 WRITTEN: list[str] = []
+OWN: ContextVar[list[str] | None] = ContextVar("OWN", default=None)
+
+
+@contextmanager
+def own_folders() -> Iterator[list[str]]:
+    """What ``cut`` writes inside, in this thread: runs side by side in one driver know their tables apart."""
+    token = OWN.set([])
+    try:
+        yield OWN.get()
+    finally:
+        OWN.reset(token)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -134,6 +146,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     WRITTEN.append(path)
+    if OWN.get() is not None:
+        OWN.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,8 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import filter_rows, map_rows, sent
 
 WIDTH, FILTERS, CHUNK = 6, 16, 512
-#: Bound on labelled rows that the network learns from, per label, and on the chunks of each; it scores all rows whole.
-SAMPLE_PER_LABEL, SAMPLE_CHUNKS = 2_000, 64
+#: Bounds on the labelled rows that the network learns from, per label: their number, and the bytes of their texts.  Rows are whole.
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 2_000, 64_000_000
 THRESHOLD = 0.3
 
 
@@ -85,7 +85,7 @@ class ConvNet:
         features = np.concatenate([np.maximum.reduceat(hidden, first, axis=0), np.add.reduceat(hidden, first, axis=0) / chunks[:, None]], axis=1)
         return 1 / (1 + np.exp(-np.clip(features.astype(np.float64) @ self.v.astype(np.float64) + float(self.c[0]), -60, 60)))
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch_bytes: int = 150_000, rate: float = 0.01, seed: int = 7) -> ConvNet:
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int = 7) -> ConvNet:
         """Adam on the cross-entropy, both labels weighted alike."""
         rng, params = np.random.default_rng(seed), [self.w, self.b, self.v, self.c]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -93,8 +93,7 @@ class ConvNet:
         weight = 0.5 / np.maximum(share, 1e-9)
         for epoch in range(epochs):
             order = rng.permutation(len(texts))
-            sizes = np.cumsum([len(texts[i]) for i in order]) // batch_bytes
-            for group in np.split(order, np.flatnonzero(np.diff(sizes)) + 1):
+            for group in np.split(order, range(batch, len(order), batch)):
                 step += 1
                 grads = self.gradients([texts[i] for i in group], labels[group], weight)
                 lr = rate * (1 - epoch / epochs)
@@ -105,18 +104,21 @@ class ConvNet:
                     p -= lr * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
         return self
 
-    def gradients(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, texts: list[bytes], labels: np.ndarray, weight: np.ndarray, block: int = 512) -> list[np.ndarray]:
         flat, starts, chunks = self.lay_out(texts)
-        at = starts[:, None] + np.arange(CHUNK)
         ends = np.append(starts[1:], len(flat))
         ends[np.cumsum(chunks) - 1] -= WIDTH - 1
-        real = at < ends[:, None]
-        at = np.where(real, at, starts[:, None])
-        act = self.w[0][flat[at]]
-        for j in range(1, WIDTH):
-            act += self.w[j][flat[at + j]]
-        best = act.argmax(axis=1)  # chunk, filter
-        top = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0] + self.b
+        where, top = np.empty((len(starts), FILTERS), np.int64), np.empty((len(starts), FILTERS), np.float32)
+        for i in range(0, len(starts), block):  # activations of so many chunks at a time, however long a text is
+            first = starts[i : i + block, None]
+            at = first + np.arange(CHUNK)
+            at = np.where(at < ends[i : i + block, None], at, first)
+            act = self.w[0][flat[at]]
+            for j in range(1, WIDTH):
+                act += self.w[j][flat[at + j]]
+            best = act.argmax(axis=1)  # chunk, filter
+            top[i : i + block] = np.take_along_axis(act, best[:, None, :], axis=1)[:, 0] + self.b
+            where[i : i + block] = np.take_along_axis(at, best, axis=1)
         hidden = np.maximum(top, 0)
         begin = np.cumsum(chunks) - chunks
         most, mean = np.maximum.reduceat(hidden, begin, axis=0), np.add.reduceat(hidden, begin, axis=0) / chunks[:, None]
@@ -128,48 +130,36 @@ class ConvNet:
         down = down + np.where(hidden == most[owner], err[owner, None] * self.v[:FILTERS], 0)
         down = (down * (top > 0)).astype(np.float32)
         gw = np.zeros_like(self.w)
-        where = np.take_along_axis(at, best, axis=1)
         column = np.broadcast_to(np.arange(FILTERS), where.shape)
         for j in range(WIDTH):
             np.add.at(gw[j], (flat[where + j], column), down)
         return [gw, down.sum(axis=0), (err @ features).astype(np.float32), np.array([err.sum()], np.float32)]
 
 
-def spread_chunks(text: str | None, most: int) -> bytes:
-    """The text's bytes, or where it has more chunks than ``most``, so many of them from all over it."""
-    data = text.encode() if text else b""
-    n = -(-len(data) // CHUNK)
-    if n <= most:
-        return data
-    return b"".join(data[CHUNK * i : CHUNK * (i + 1)] for i in np.linspace(0, n - 1, most).astype(int).tolist())
+def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, most_bytes: int, id_col: str, text_col: str) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
+    """A bounded sample of labelled, not held-out rows (label and whole text), and how many such rows each label has in all.
 
-
-def training_rows(docs: DataFrame, labels: DataFrame, per_label: int, chunks: int, id_col: str, text_col: str) -> tuple[list[tuple[int, bytes]], dict[int, int]]:
-    """A bounded sample of labelled, not held-out rows (label and bytes), and how many such rows each label has in all.
-
-    Of each label these are the rows with the least hashes of id and text, so a run is repeated exactly.  An id with several
-    labels has the least.
+    Of each label these are the rows with the least hashes of id and text, so a run is repeated exactly: at most ``per_label``, and no
+    more than come to ``most_bytes`` (the first in any case).  Repeated rows are learnt from once.  An id with several labels has the least.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("quality")).where(~held_out(id_col))
     usable = docs.select(id_col, text_col).join(sent(known), id_col).withColumn("place", F.xxhash64(id_col, text_col))
-    odds = {r["quality"]: r["count"] for r in usable.groupBy("quality").count().collect()}
-
-    def make() -> Callable[[list[list]], list[list]]:
-        return lambda columns: [columns[0], columns[1], [spread_chunks(t, chunks) for t in columns[2]]]
-
-    # a threshold on the hash leaves few rows to sort
-    likely = [(F.col("quality") == label) & (F.pmod("place", F.lit(1 << 20)) < int(min(1.0, 1.5 * per_label / n + 1e-4) * (1 << 20))) for label, n in odds.items()]
-    rows: list[tuple[int, bytes]] = []
-    for one in likely:
-        some = map_rows(usable.where(one), ["quality", "place", text_col], "quality int, place bigint, data binary", make, [pa.int32(), pa.int64(), pa.binary()])
-        first = some.orderBy(F.pmod("place", F.lit(1 << 20)), "place", "data").limit(per_label).collect()
-        rows += [(r["quality"], bytes(r["data"])) for r in first]
+    counted = usable.groupBy("quality").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("place").alias("different")).collect()
+    odds, key, rows = {r["quality"]: r["rows"] for r in counted}, F.pmod("place", F.lit(1 << 20)), []
+    for label, n in ((r["quality"], r["different"]) for r in counted):
+        # a threshold on the hash leaves few rows to sort
+        some = usable.where((F.col("quality") == label) & (key < int(min(1.0, 2.0 * per_label / n + 1e-4) * (1 << 20))))
+        sizes = some.select(key.alias("key"), "place", F.coalesce(F.octet_length(text_col), F.lit(0)).alias("bytes")).distinct().orderBy("key", "place").limit(per_label).collect()
+        fits = max(1, int(np.searchsorted(np.cumsum([r["bytes"] for r in sizes]), most_bytes, "right")))
+        for last in sizes[:fits][-1:]:
+            taken = some.where((key < last["key"]) | ((key == last["key"]) & (F.col("place") <= last["place"])))
+            rows += [(label, (r[text_col] or "").encode()) for r in taken.select("place", text_col).dropDuplicates(["place"]).collect()]
     return sorted(rows), odds
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, chunks: int = SAMPLE_CHUNKS, id_col: str = "doc_id", text_col: str = "text") -> ConvNet:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text") -> ConvNet:
     """A network from at most ``per_label`` rows of each label; without rows of both labels it gives every text the share of label 1."""
-    rows, odds = training_rows(docs, labels, per_label, chunks, id_col, text_col)
+    rows, odds = training_rows(docs, labels, per_label, most_bytes, id_col, text_col)
     net, y = ConvNet(), np.array([r[0] for r in rows], np.int64)
     true = (odds.get(1, 0) + 1) / (odds.get(0, 0) + 1)
     if len(set(y.tolist())) < 2:

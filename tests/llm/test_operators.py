@@ -438,19 +438,30 @@ def test_network_is_held_to_rows_it_has_not_seen(spark):
     assert figures["rows"] > 50 and figures["auc"] >= 0.95 and figures["accuracy"] >= 0.85
 
 
-def test_training_takes_long_texts_and_is_bounded(spark):
+def test_training_takes_whole_texts_and_is_bounded(spark):
     long = "".join(chr(97 + i % 26) for i in range(400_000))
     rows = [(i, long if i == 1 else f"text {i}") for i in range(400)] + [(2, "again"), (None, "x")]
     frame = spark.createDataFrame([(*r, 5, "p") for r in rows], "doc_id bigint, text string, quality int, place string")
     marks = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400)] + [(1, 1), (3, 0)], "doc_id bigint, quality int")
-    got, odds = conv_quality.training_rows(frame, marks, 30, 8, "doc_id", "text")
+    got, odds = conv_quality.training_rows(frame, marks, 30, 10**9, "doc_id", "text")
     learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
     good = [i for i in learnt if i % 4 and i != 3]
     again = int(2 in learnt)
     assert odds == {1: len(good) + again, 0: len(learnt) - len(good)}  # an id with two labels has the least
-    assert Counter(y for y, _ in got) == {0: 30, 1: 30} and max(len(b) for _, b in got) <= 8 * conv_quality.CHUNK
-    assert len(conv_quality.spread_chunks(long, 8)) == 7 * conv_quality.CHUNK + len(long) % conv_quality.CHUNK  # the last chunk is shorter
-    assert got == conv_quality.training_rows(frame.repartition(7), marks, 30, 8, "doc_id", "text")[0]
+    texts = {t.encode() for _, t in rows}
+    assert Counter(y for y, _ in got) == {0: 30, 1: 30} and all(b in texts for _, b in got)
+    assert got == conv_quality.training_rows(frame.repartition(7).unionAll(frame), marks, 30, 10**9, "doc_id", "text")[0]  # repeats are learnt once
+    every = conv_quality.training_rows(frame, marks, 1000, 10**9, "doc_id", "text")[0]
+    assert (1, long.encode()) in every and len(every) == sum(odds.values())
+    few = conv_quality.training_rows(frame, marks, 1000, 100, "doc_id", "text")[0]
+    assert all(sum(len(b) for y, b in few if y == label) <= max(100, max(len(b) for y, b in few if y == label)) for label in (0, 1)) and len({y for y, _ in few}) == 2
+
+
+def test_gradients_of_blocks_equal_those_at_once():
+    net, rng = conv_quality.ConvNet(), random.Random(6)
+    texts = [bytes(rng.randrange(256) for _ in range(n)) for n in (5, 30_000, 700)]
+    once, blocks = (net.gradients(texts, np.array([0, 1, 1]), np.ones(2), block=n) for n in (10**6, 7))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(once, blocks))
 
 
 def test_network_equals_direct_convolution():
