@@ -15,8 +15,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpline.llm import common, conv_quality, near_texts, packing, quality_rules, substring_dedup
-from kelpline.llm.common import cut, table
+from kelpline.llm import conv_quality, near_texts, packing, quality_rules, substring_dedup
+from kelpline.llm.common import WRITTEN, cut, drop_folders, own_folders, table
 from kelpline.llm.queries import TOKENIZER
 
 
@@ -52,10 +52,10 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each one's rows are written to the shared folder and read again as the next one's documents."""
     docs = table(spark, sf_dir, "documents")
-    before = len(common.WRITTEN)
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        common.drop_folders(spark, common.WRITTEN[before:-1])  # the stage's own tables, and its predecessor's rows
+    with own_folders() as written:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            drop_folders(spark, [f for f in written[:-1] if f in WRITTEN])  # the stage's own tables, and its predecessor's rows
     return docs
 
 
