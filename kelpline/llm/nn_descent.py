@@ -4,8 +4,9 @@ Equal vectors are one node.  Nodes lie in parts of about ``PART_NODES``, each a
 parts with the messages sent to them.  Vectors (in bytes) lie apart from neighbour lists, which alone are rewritten in each round,
 and numbers are sent as byte planes, compressed.
 
-* start: hyperplanes fitted on a bounded sample put nodes into blocks, random splits divide a block down to leaves of ``LEAF``
-  nodes, and neighbours are compared within leaves;
+* start: hyperplanes put nodes into blocks, some levels at a time: each block's planes are fitted in a task of its own, on a sample
+  of that block, so neither the driver nor any task sees a sample that grows with the table.  Random splits divide a block down to
+  leaves of ``LEAF`` nodes, and neighbours are compared within leaves;
 * descent: a node and those that list it introduce their best neighbours to each other (neighbours of neighbours); rounds go on
   until few lists change;
 * search: each query's beam asks the parts of unseen neighbours for their similarity and, where it is good enough, for their
@@ -28,13 +29,16 @@ from .common import cut, drop_cut, packed, unpacked
 NEIGHBOURS, LISTED, PART_NODES = 32, 16, 4096
 #: Blocks' target size, how often nodes are dealt to blocks, splits of each block, and nodes of a leaf.
 BLOCK, TREES, SPLITS, LEAF = 16_384, 2, 8, 256
-#: Planes are fitted to this many sampled vectors a block, for 2 ** DEEPEST blocks at most; beyond that, blocks grow.
-SAMPLE, DEEPEST = 32, 14
+#: Planes are fitted to twice this many sampled vectors a block to be made, and blocks are divided by this many planes deep at once.
+SAMPLE, STEP = 32, 6
+#: Nodes so near to a plane lie on it: one vector's product differs in its last bits from batch to batch.
+ON_PLANE = 1e-5
 BEAM, EXPANDED, QUERY_NODES = 160, 24, 128
 STABLE = 0.02  # descent ends once a round changes a smaller share of all list entries
 NONE = -1
 
 BASE = "part bigint, ids binary, vectors binary"
+PLANES = "part bigint, normals binary, middles binary"
 STATE = "part bigint, ids binary, near binary, sims binary, fresh binary, worst binary, changed bigint"
 MESSAGE = "part bigint, sender bigint, a binary, b binary, sims binary, fresh binary"
 
@@ -158,45 +162,83 @@ def proposals(a: np.ndarray, b: np.ndarray, sims: np.ndarray, parts: int) -> lis
 # -- start ---------------------------------------------------------------
 
 
-def fit_trees(sample: np.ndarray, depth: int, trees: int, seed: int = 3) -> list[list[tuple[np.ndarray, float]]]:
-    """Trees of hyperplanes in heap order; each splits its part of the sample in halves."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(trees):
-        nodes, rows = [], {1: np.arange(len(sample))}
-        for node in range(1, 1 << depth):
-            own = rows.pop(node)
-            normal = rng.normal(size=sample.shape[1]).astype(np.float32)
-            shade = sample[own] @ normal
-            middle = float(np.median(shade)) if len(own) else 0.0
-            nodes.append((normal, middle))
-            rows[2 * node], rows[2 * node + 1] = own[shade <= middle], own[shade > middle]
-        out.append(nodes)
-    return out
+def drawn(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 to 1 for each id, the same on every run."""
+    h = (ids.astype(np.int64).view(np.uint64) + np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(32)).astype(np.float64) / 2.0**32
+
+
+def right(shade: np.ndarray, middle: float, ids: np.ndarray, salt: int) -> np.ndarray:
+    """Which nodes lie beyond a plane; those on it, such as vectors alike in bytes, are dealt out to both sides."""
+    return np.where(np.abs(shade - middle) < ON_PLANE, drawn(ids, salt) < 0.5, shade > middle)
 
 
-def leaves(x: np.ndarray, tree: list[tuple[np.ndarray, float]]) -> np.ndarray:
+def fit_planes(ids: np.ndarray, x: np.ndarray, depth: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Normals and middles of a tree of hyperplanes in heap order; each splits its part of the sample in halves."""
+    rng, normals, middles, rows = np.random.default_rng(seed), [], [], {1: np.arange(len(x))}
+    for node in range(1, 1 << depth):
+        own = rows.pop(node)
+        normal = rng.normal(size=x.shape[1]).astype(np.float32)
+        shade = x[own] @ normal
+        middle = np.float32(np.partition(shade, len(shade) // 2)[len(shade) // 2]) if len(own) else np.float32(0)
+        far = right(shade, middle, ids[own], node)
+        rows[2 * node], rows[2 * node + 1] = own[~far], own[far]
+        normals.append(normal)
+        middles.append(middle)
+    return np.array(normals, np.float32), np.array(middles, np.float32)
+
+
+def leaves(ids: np.ndarray, x: np.ndarray, normals: np.ndarray, middles: np.ndarray) -> np.ndarray:
+    """The heap number of each node's leaf."""
     node = np.ones(len(x), np.int64)
-    while len(tree) and node[0] <= len(tree):
+    while len(node) and node[0] <= len(middles):
         new = np.empty_like(node)
         for v in np.unique(node):
             own = np.flatnonzero(node == v)
-            new[own] = 2 * v + (x[own] @ tree[v - 1][0] > tree[v - 1][1])
+            new[own] = 2 * v + right(x[own] @ normals[v - 1], middles[v - 1], ids[own], int(v))
         node = new
     return node
 
 
-def dealt(trees: list, dim: int) -> Callable[[dict], list[tuple]]:
-    """A part's nodes -> a message per tree and block."""
+def sampled(share: float) -> Callable[[dict], list[tuple]]:
+    def run(row: dict) -> list[tuple]:
+        ids = unpacked(row["ids"])
+        some = drawn(ids, row["part"] + (1 << 40)) < share
+        small = np.frombuffer(row["vectors"], np.int8).reshape(len(ids), -1)
+        return [(row["part"], packed(ids[some]), small[some].tobytes())] if some.any() else []
+
+    return run
+
+
+def fitted(depth: int, dim: int) -> Callable[[pa.Table], pa.Table]:
+    """A block's sample -> its planes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, ids = rows["part"][0].as_py(), numbers(rows["ids"].to_pylist())
+        order = np.argsort(ids)
+        normals, middles = fit_planes(ids[order], unit(b"".join(rows["vectors"].to_pylist()), dim)[order], depth, part)
+        return table_of([(part, normals.tobytes(), middles.tobytes())], PLANES)
+
+    return run
+
+
+def dealt(trees: int, depth: int, dim: int) -> Callable[[dict], list[tuple]]:
+    """Nodes of a block with its planes -> a row per block below it; a block without a sample, so with few nodes, stays whole."""
 
     def run(row: dict) -> list[tuple]:
-        ids, x = unpacked(row["ids"]), unit(row["vectors"], dim)
-        small, rows = np.frombuffer(row["vectors"], np.int8).reshape(-1, dim), []
-        for t, tree in enumerate(trees):
-            leaf = leaves(x, tree)
-            for v in np.unique(leaf):
-                own = np.flatnonzero(leaf == v)
-                rows.append((int(v) * len(trees) + t, 0, packed(ids[own]), small[own].tobytes(), None, None))
-        return rows
+        if row["normals"] is None:
+            return [(row["part"], row["ids"], row["vectors"])]
+        ids, small = unpacked(row["ids"]), np.frombuffer(row["vectors"], np.int8).reshape(-1, dim)
+        leaf = leaves(ids, unit(row["vectors"], dim), np.frombuffer(row["normals"], np.float32).reshape(-1, dim), np.frombuffer(row["middles"], np.float32))
+        above, tree = divmod(row["part"], trees)
+        out = []
+        for v in np.unique(leaf):
+            own = np.flatnonzero(leaf == v)
+            below = (above << depth) + int(v) - (1 << depth)
+            out.append((below * trees + tree, packed(ids[own]), small[own].tobytes()))
+        return out
 
     return run
 
@@ -218,7 +260,7 @@ def compared(k: int, leaf: int, splits: int, parts: int, dim: int) -> Callable[[
     """One block -> the best pairs within its leaves, to their owners' parts."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids, x = numbers(block["a"].to_pylist()), unit(b"".join(block["b"].to_pylist()), dim)
+        ids, x = numbers(block["ids"].to_pylist()), unit(b"".join(block["vectors"].to_pylist()), dim)
         rng, near, best = np.random.default_rng(block["part"][0].as_py()), None, None
         for _ in range(splits if len(ids) > leaf else 1):
             owner, other, sims = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
@@ -348,6 +390,15 @@ def joined(left: DataFrame, right: DataFrame, f: Callable[[pa.Table, pa.Table],
     return left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(f, schema)
 
 
+def one_row(dim: int) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        ids, small = numbers(rows["ids"].to_pylist()), np.frombuffer(b"".join(rows["vectors"].to_pylist()), np.int8).reshape(-1, dim)
+        order = np.argsort(ids)
+        return table_of([(rows["part"][0].as_py(), packed(ids[order]), small[order].tobytes())], BASE)
+
+    return run
+
+
 def node_vectors(nodes: DataFrame, dim: int, parts: int) -> DataFrame:
     """Nodes (``node`` long, ``vector`` array<double>) -> a row per part."""
 
@@ -358,24 +409,39 @@ def node_vectors(nodes: DataFrame, dim: int, parts: int) -> DataFrame:
             small = in_bytes(x / np.abs(x).max(axis=1, keepdims=True)) if len(x) else np.zeros((0, dim), np.int8)
             yield from table_of([(p, packed(ids[at]), small[at].tobytes()) for p, at in by_part(ids, parts)], BASE).to_batches()
 
-    def one_row(rows: pa.Table) -> pa.Table:
-        ids, small = numbers(rows["ids"].to_pylist()), np.frombuffer(b"".join(rows["vectors"].to_pylist()), np.int8).reshape(-1, dim)
-        order = np.argsort(ids)
-        return table_of([(rows["part"][0].as_py(), packed(ids[order]), small[order].tobytes())], BASE)
+    return nodes.select("node", "vector").mapInArrow(parted, BASE).groupBy("part").applyInArrow(one_row(dim), BASE)
 
-    return nodes.select("node", "vector").mapInArrow(parted, BASE).groupBy("part").applyInArrow(one_row, BASE)
 
+def blocks_of(base: DataFrame, count: int, dim: int, block: int = BLOCK, trees: int = TREES) -> tuple[DataFrame, list[DataFrame]]:
+    """Every node with its vector in a block of about ``block`` nodes of each tree, some rows a block; and the tables written on the way.
 
-def start_lists(base: DataFrame, nodes: DataFrame, count: int, dim: int, k: int, parts: int, block: int = BLOCK, trees: int = TREES, splits: int = SPLITS, leaf: int = LEAF) -> DataFrame:
+    A block's number is that of its heap node times the trees, plus the tree's.  Blocks are divided ``STEP`` planes deep at a time;
+    between two such steps a block's rows are put together to some of about ``PART_NODES`` nodes.
+    """
+    depth, made = max(0, int(np.ceil(np.log2(max(1, count) / block)))), []
+    trees = trees if depth else 1
+    rows = base.select(F.explode(F.array(*(F.lit(trees + t).cast("bigint") for t in range(trees)))).alias("part"), "ids", "vectors")
+    for above in range(0, depth, STEP):
+        more = min(STEP, depth - above)
+        if above:
+            pieces = max(1, -(-count // (PART_NODES << above)))
+            rows = cut(rows.groupBy("part", F.pmod(F.xxhash64("ids"), F.lit(pieces)).alias("piece")).applyInArrow(one_row(dim), BASE), "ann-dealt")
+            made.append(rows)
+        share = min(1.0, 2 * SAMPLE * 2 ** (above + more) / max(1, count))
+        planes = cut(rows.mapInArrow(each_row(sampled(share), BASE), BASE).groupBy("part").applyInArrow(fitted(more, dim), PLANES), "ann-planes")
+        made.append(planes)
+        rows = rows.join(planes, "part", "left").mapInArrow(each_row(dealt(trees, more, dim), BASE), BASE)
+    return rows, made
+
+
+def start_lists(base: DataFrame, count: int, dim: int, k: int, parts: int, block: int = BLOCK, trees: int = TREES, splits: int = SPLITS, leaf: int = LEAF) -> DataFrame:
     """Every node's first list."""
-    depth = min(DEEPEST, max(0, int(np.ceil(np.log2(max(1, count) / block)))))
-    share = min(1.0, 2 * SAMPLE * 2**depth / max(1, count)) if depth else 0.0
-    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vector").collect() if depth else []
-    sample = np.array([r[0] for r in some]).reshape(-1, dim)
-    planes = fit_trees(unit(in_bytes(sample), dim) if len(sample) else np.zeros((0, dim), np.float32), depth, trees if depth else 1)
+    blocks, made = blocks_of(base, count, dim, block, trees)
     blank = base.select("part", "ids", *(F.lit(None).cast(t).alias(c) for c, t in (("near", "binary"), ("sims", "binary"), ("fresh", "binary"), ("worst", "binary"), ("changed", "bigint"))))
-    pairs = base.mapInArrow(each_row(dealt(planes, dim), MESSAGE), MESSAGE).groupBy("part").applyInArrow(compared(k, leaf, splits, parts, dim), MESSAGE)
-    return cut(joined(blank, pairs, merged(k, k), STATE), "ann-lists")
+    pairs = blocks.groupBy("part").applyInArrow(compared(k, leaf, splits, parts, dim), MESSAGE)
+    lists = cut(joined(blank, pairs, merged(k, k), STATE), "ann-lists")
+    drop_cut(base.sparkSession, made)
+    return lists
 
 
 def descend(base: DataFrame, lists: DataFrame, dim: int, k: int, listed: int, parts: int) -> DataFrame:
@@ -393,7 +459,7 @@ def build_graph(nodes: DataFrame, count: int, dim: int, k: int = NEIGHBOURS, lis
     """Nodes (``node`` long, ``vector`` array<double>) -> vectors and neighbour lists by part, and the number of parts."""
     parts = max(1, -(-count // part_nodes))
     base = cut(node_vectors(nodes, dim, parts), "ann-base")
-    lists = start_lists(base, nodes, count, dim, k, parts, **start)
+    lists = start_lists(base, count, dim, k, parts, **start)
     while True:
         lists = descend(base, lists, dim, k, listed, parts)
         if (lists.agg(F.sum("changed")).first()[0] or 0) <= STABLE * count * k:

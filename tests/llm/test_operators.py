@@ -643,6 +643,30 @@ def test_neighbours(spark):
     assert [got[10_000][i][0] for i in range(1, 6)] == [50, 10_001, 10_002, 10_003, 10_004]
 
 
+def test_planes_are_fitted_some_levels_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "STEP", 2)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 12))
+    rows = [(i, (centres[i % 40] + 0.5 * rng.normal(size=12)).tolist()) for i in range(2400)]
+    rows += [(3000 + i, (centres[0] + 1e-7 * rng.normal(size=12)).tolist()) for i in range(600)]  # one vector in bytes
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    nodes = frame.toDF("node", "vector")
+    blocks, made = nn_descent.blocks_of(nn_descent.node_vectors(nodes, 12, 4), 3000, 12, 150, 2)
+    assert len(made) == 5  # planes of three steps, and blocks put together between them
+    found = {}
+    for r in blocks.collect():
+        found.setdefault(r["part"], []).extend(nn_descent.unpacked(r["ids"]).tolist())
+    for tree in (0, 1):
+        own = [x for p, x in found.items() if p % 2 == tree]
+        assert sorted(sum(own, [])) == [r[0] for r in rows]
+        assert max(map(len, own)) < 450 and len(own) > 16  # equal bytes are dealt to both sides of a plane
+    got = {}
+    for r in nn_descent.nearest(frame, F.col("query_id") % 50 == 0, block=150, leaf=64, part_nodes=700).where("query_id < 3000").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = exact(rows, [r[0] for r in rows if r[0] % 50 == 0 and r[0] < 2400], 5)
+    assert np.mean([len(got[q] & set(w)) / 5 for q, w in want.items() if q % 40]) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, -1.0])], "vec_id bigint, embedding array<float>")
     got = nn_descent.nearest(frame, F.col("query_id") % 50 == 0).orderBy("rank").collect()
