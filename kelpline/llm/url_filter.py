@@ -13,7 +13,7 @@ from .url_table import labelled_urls
 
 BITS, SIZES = 16, (3, 4, 5)
 #: Rules: verdict, host (it and all its subdomains) and path prefix.  The longest that fits wins.
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
 def host_and_path(url: F.Column) -> tuple[F.Column, F.Column]:

@@ -560,6 +560,25 @@ def test_urls(spark):
         url_filter.train_table(own, most=1)
 
 
+def test_rules_say_what_the_contract_says(spark, tmp_path):
+    says = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    assert {d + p: v for v, d, p in url_filter.RULES} == says
+    urls = {
+        "http://a.com/en/": "com/en/",
+        "http://example.com/en/8": "com/en/",
+        "http://www.example.com/en/71": "example.com/en/7",
+        "http://net/de/": "net/de/",
+        "http://casino-bonus.net/de/8": "net/de/",  # the rule decides, whatever the model would say
+        "http://m.example.net/de/7": "net/de/",
+        "http://example.net/de/8": "example.net/de/8",
+        "http://m.example.net/de/81?x": "example.net/de/8",
+        "http://a.b.org/es/": "org/es/",
+    }
+    spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    rows = queries.op4_url_filter(spark, str(tmp_path)).collect()
+    assert {(r["page_id"], r["rule"], r["verdict"]) for r in rows} == {(i, rule, says[rule]) for i, rule in enumerate(urls.values())}
+
+
 def parsed(url):
     """An independent reading of host, path and the fitting rule."""
     if url is None or "://" not in url:
