@@ -1,6 +1,8 @@
 """Files to published tables: full and incremental runs, quality outputs, streaming and the command line."""
 
+import glob
 import random
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
@@ -11,10 +13,11 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kelpline import cli
-from kelpline.operators import keysets, quality
-from kelpline.plans import dates, loads
+from kelpline.operators import bitemporal, cdc, keysets, quality
+from kelpline.plans import composites, dates, loads
 from kelpline.sources.contracts import GMV_TABLE, KEY_SETS, SNAPSHOT_TABLE, SOURCES
 from kelpline.sources.csv_files import Load, folder_loads, item_lookup
+from kelpline.sources.session import DROP_SHUFFLES, dropping_shuffles
 from kelpline.sources.staged import StagedStore
 from kelpline.sources.tables import TableStore, layer_tables, qualified
 from kelpline.streaming.bronze import ingest
@@ -324,3 +327,56 @@ def test_writes_of_a_catalog_of_its_own_change_no_setting(spark):
         assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "static"
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+
+
+def test_a_full_load_by_slices_is_whole_and_keeps_nothing_that_it_exchanged(spark, monkeypatch):
+    """Small slices give the rows of a single write, those without a key too, and are published at once; shuffle files go with their query."""
+    raw = composites.bronze(spark, "/root/testdata/sf0.001")
+    keyless = raw["purchase"].where("purchase_id < 20").withColumn("purchase_id", F.lit(None).cast("bigint"))
+    store = StagedStore(spark, f"s{uuid.uuid4().hex[:8]}")
+    for layer in ("bronze", "keys", "silver", "snapshot"):
+        store.prepare(layer)
+    spark.conf.set(DROP_SHUFFLES, "false")  # as in a session that isn't ours
+    monkeypatch.setattr(loads, "SLICE_ROWS", 900)
+    parts, real, held = {}, StagedStore._insert, shuffle_files(spark)
+
+    def insert(self, df, table, *rest):
+        n = real(self, df, table, *rest)
+        parts.setdefault(table.split("__")[0], []).append(n)
+        return n
+
+    monkeypatch.setattr(StagedStore, "_insert", insert)
+    with dropping_shuffles(spark):
+        loads.append_events(store, raw | {"purchase": raw["purchase"].unionByName(keyless)}, "b")
+        written = loads.load_silver(store)
+        days = loads.load_snapshot(store, created_at=composites.CREATED)
+        for _ in range(100):
+            if shuffle_files(spark) <= held:
+                break
+            time.sleep(0.1)
+        assert shuffle_files(spark) <= held
+    assert spark.conf.get(DROP_SHUFFLES) == "false"
+    spark.conf.set(DROP_SHUFFLES, "true")
+    assert (len(parts["silver_purchase_cdc"]), len(parts[SNAPSHOT_TABLE])) == (3, 5) and 0 < max(parts[SNAPSHOT_TABLE]) < days / 2
+    assert written["purchase"] == sum(parts["silver_purchase_cdc"]) and days == sum(parts[SNAPSHOT_TABLE]) == store.read(SNAPSHOT_TABLE).count()
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    whole, silver = cdc.silver_frames(loads.read_layer(store, "bronze")), loads.read_layer(store, "silver")
+    assert silver["purchase"].where("purchase_id is null").count() > 0
+    for name in SOURCES:
+        assert rows(silver[name]) == rows(whole[name].select(*silver[name].columns))
+    one = bitemporal.purchase_snapshot(silver, composites.CREATED)
+    assert rows(store.read(SNAPSHOT_TABLE)) == rows(one.select(*store.read(SNAPSHOT_TABLE).columns))
+    assert all(f.endswith(".zstd.parquet") for f in store.read(SNAPSHOT_TABLE).inputFiles())
+    torn = one.withColumn("snapshot_created_at", F.raise_error(F.lit("torn")).cast("timestamp"))
+    with pytest.raises(Exception, match="torn"):
+        store.replace_by([one, torn], SNAPSHOT_TABLE)  # the first part was written
+    assert store.read(SNAPSHOT_TABLE).count() == days
+    spark.sql(f"DROP DATABASE `{store.namespace}` CASCADE")
